@@ -1,6 +1,9 @@
 """All registered queries."""
 
-from workloads import templates  # noqa: F401
+from workloads import (  # noqa: F401
+    cleaning, dashboards, duplicates, files, fitting, private, profiling, scores, synthetic,
+    templates,
+)
 from workloads.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
