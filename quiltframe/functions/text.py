@@ -9,13 +9,15 @@ from quiltframe.constants import (
 
 
 # All Unicode whitespace; \s alone covers ASCII only, and trim() only spaces.
-SPACE = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-         r"\x{202f}\x{205f}\x{3000}]")
+LINE_SPACE = (r"\t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+              r"\x{202f}\x{205f}\x{3000}")
+SPACE = f"[ {LINE_SPACE}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(value: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -42,22 +44,24 @@ def model_label(value: Column) -> Column:
     )
 
 
-def looks_boolean(value: Column) -> Column:
-    return F.lower(strip(value)).isin(BOOLEAN_WORDS)
+def looks_boolean(text: Column) -> Column:
+    """Whether stripped text is a yes/no word."""
+    return F.lower(text).isin(BOOLEAN_WORDS)
 
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def word_count(value: Column) -> Column:
-    text = strip(value)
+def word_count(text: Column) -> Column:
+    """Words of stripped text."""
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, f"{SPACE}+")))
 
 
 def squeeze(value: Column) -> Column:
     """Lower-case text with outer whitespace removed and inner runs made one space."""
-    return F.regexp_replace(strip(F.lower(value)), f"{SPACE}+", " ")
+    # A lone blank is left as it is, so ordinary prose has almost nothing to replace.
+    return F.regexp_replace(strip(F.lower(value)), f"{SPACE}{{2,}}|[{LINE_SPACE}]", " ")
 
 
 def fingerprint(values: list[Column]) -> Column:
@@ -80,11 +84,13 @@ def name_in_email(name: Column, email: Column) -> Column:
 
 def as_number(value: Column) -> Column:
     """Text as double, NULL when it is no finite number."""
-    number = value.cast("string").try_cast("double")
+    text = value.cast("string")
+    number = F.when((F.length(text) <= LONGEST_NUMBER) & text.rlike("[0-9]"), text.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 
-ISO_TIME = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?\s*$"
+ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
+LONGEST_TIME, LONGEST_NUMBER = 40, 400
 # Pattern of the text and the datetime format that reads it.
 OTHER_TIMES = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
@@ -97,8 +103,12 @@ OTHER_TIMES = [
 
 def as_time(value: Column) -> Column:
     """Text as timestamp without zone, NULL when it reads as no date."""
-    text = strip(value)
-    parsed = F.when(text.rlike(ISO_TIME), text.try_cast("timestamp_ntz"))
+    return stripped_time(strip(value))
+
+
+def stripped_time(text: Column) -> Column:
+    parsed = F.when((F.length(text) > LONGEST_TIME) | ~text.rlike("[0-9]"), None)
+    parsed = parsed.when(text.rlike(ISO_TIME), text.try_cast("timestamp_ntz"))
     for pattern, layout in OTHER_TIMES:
         parsed = parsed.when(
             text.rlike(pattern), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")

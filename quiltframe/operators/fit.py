@@ -16,12 +16,15 @@ from quiltframe import constants as K
 from quiltframe.functions.cells import col, present
 from quiltframe.functions.text import as_number, as_time, digits, model_label, strip
 from quiltframe.operators.frequency import value_counts
+from quiltframe.operators.lookup import Vocabulary, vocabulary_sizes
 from quiltframe.operators.profile import (
     ColumnProfile, PersonColumns, email_domains, india_context, india_phone_style, linked_groups,
     person_columns, profile_columns,
 )
+from quiltframe.operators.scratch import store
 
 KDE_MIN_VALUES = 5
+DRAWN_BY_LABEL = [*K.CLOSED_ROLES, "city", "pincode", "text_open"]
 NUMBERED = r"^(.*?)(\d+)$"
 
 
@@ -85,6 +88,9 @@ class TableModel:
     person: PersonColumns = PersonColumns(None, None, None, None)
     india_mode: bool = False
     india_phone: bool = False
+    label_table: DataFrame | None = None     # column, value, n of the columns drawn by label
+    number_table: DataFrame | None = None    # the same for numeric columns, values as DOUBLE
+    sizes: dict = field(default_factory=dict)
 
     @property
     def roles(self) -> dict[str, str]:
@@ -96,25 +102,53 @@ class TableModel:
     def kinds(self) -> dict[str, str]:
         return {p.name: p.kind for p in self.profiles}
 
-    def labels(self, name: str) -> DataFrame:
-        """(value, n) of a categorical column."""
-        return value_counts(self.sample, [name], label=model_label).select("value", "n")
-
-    def numbers(self, name: str) -> DataFrame:
-        """(value, n) of a numeric column, values as DOUBLE."""
-        return _counted(self.sample.select(_number(self.sample, name).alias("value")))
+    def count_values(self) -> None:
+        """Count the values of all columns drawn by frequency: two passes over the sample
+        whatever the number of columns, kept in the scratch folder by column."""
+        by_label = [n for n, r in self.roles.items()
+                    if self.kinds[n] == "categorical" and r in DRAWN_BY_LABEL]
+        by_number = [n for n, m in self.numeric.items() if m.smooth]
+        tables = []
+        if by_label:
+            counts = value_counts(self.sample, by_label, label=model_label)
+            self.label_table = store(counts, "labels", ["column"])
+            tables.append(self.label_table)
+        if by_number:
+            wide = self.sample.select(*[_number(self.sample, n).alias(n) for n in by_number])
+            cells = wide.unpivot([], [col(n) for n in by_number], "column", "value")
+            counts = cells.where("value is not null").groupBy("column", "value").agg(
+                F.count(F.lit(1)).alias("n"))
+            self.number_table = store(counts, "numbers", ["column"])
+            tables.append(self.number_table)
+        for table in tables:
+            for row in table.groupBy("column").agg(*vocabulary_sizes()).collect():
+                self.sizes[row["column"]] = (row["total"], row["values"], row["bytes"])
+
+    def _column_of(self, table: DataFrame, name: str) -> DataFrame:
+        return table.where(F.col("column") == name).select("value", "n")
+
+    def labels(self, name: str) -> Vocabulary:
+        """The labels of a categorical column by frequency."""
+        return Vocabulary(self._column_of(self.label_table, name), *self.sizes.get(name, (0, 0, 0)))
+
+    def numbers(self, name: str) -> Vocabulary:
+        """The values of a numeric column by frequency."""
+        return Vocabulary(self._column_of(self.number_table, name), *self.sizes.get(name, (0, 0, 0)))
 
     def moments(self, name: str) -> DataFrame:
         """(value, n) of the distinct times of a datetime column, each counted once."""
         times = self.sample.select(time_of(self.sample, name).alias("value"))
         return times.where("value is not null").distinct().withColumn("n", F.lit(1).cast("bigint"))
 
-    def distinct_labels(self, name: str) -> DataFrame:
-        return self.labels(name).select("value", F.lit(1).cast("bigint").alias("n"))
+    def distinct_labels(self, name: str) -> Vocabulary:
+        """The labels of a column, each counted once."""
+        known = self.labels(name)
+        once = known.freq.select("value", F.lit(1).cast("bigint").alias("n"))
+        return Vocabulary(once, known.values, known.values, known.bytes)
 
     def postcodes(self, name: str) -> DataFrame:
         """The distinct six-digit codes of a column."""
-        codes = self.sample.select(digits(col(name).cast("string")).alias("value"))
+        codes = self.labels(name).freq.select(digits(F.col("value")).alias("value"))
         return codes.where(F.length("value") == 6).distinct().withColumn(
             "n", F.lit(1).cast("bigint"))
 
@@ -128,10 +162,6 @@ class TableModel:
         return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counted(values: DataFrame) -> DataFrame:
-    return values.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _number(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.NumericType):
@@ -248,7 +278,8 @@ def correlations(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fit(sample: DataFrame) -> TableModel:
-    """Model a prepared sample: one pass for the profile, one for all column models."""
+    """Model a prepared sample: a pass for the profile, one for all column models and
+    two that count the values drawn by frequency."""
     profiles = profile_columns(sample)
     model = TableModel(sample, profiles)
     model.groups = linked_groups(sample.columns)
@@ -288,4 +319,5 @@ def fit(sample: DataFrame) -> TableModel:
         r = {pair: row[f"_corr|{pair[0]}|{pair[1]}"] for pair in pairs}
         model.correlation = [
             [1.0 if a == b else r.get((a, b), r.get((b, a))) for b in names] for a in names]
+    model.count_values()
     return model

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 from quiltframe.constants import PII_PATTERNS
 from quiltframe.functions.cells import col, count_if, text_columns
-from quiltframe.functions.masks import MASKS, redact
+from quiltframe.functions.masks import MASKS, holds, redact
 
 
 def detect_pii(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, pattern, matches): cells of each text column that hold each kind of data."""
     names = text_columns(df) if names is None else names
     rows = [F.struct(F.lit(n).alias("column"), F.lit(kind).alias("pattern"),
-                     count_if(col(n).rlike(pattern)).alias("matches"))
-            for n in names for kind, pattern in PII_PATTERNS.items()]
+                     count_if(holds(col(n), kind)).alias("matches"))
+            for n in names for kind in PII_PATTERNS]
     if not rows:
         return df.sparkSession.createDataFrame([], "column string, pattern string, matches bigint")
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).where("matches > 0")
@@ -29,7 +29,7 @@ def mask_columns(df: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
         cell = col(name)
         for kind in patterns:
             if kind in MASKS:
-                cell = F.when(col(name).rlike(PII_PATTERNS[kind]), MASKS[kind](cell)).otherwise(cell)
+                cell = F.when(holds(col(name), kind), MASKS[kind](cell)).otherwise(cell)
         masked[name] = cell
     return df.withColumns(masked) if masked else df
 

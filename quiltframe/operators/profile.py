@@ -12,7 +12,9 @@ from quiltframe.functions.cells import (
     col, count_if, flat_columns, is_missing, is_numeric, is_text, is_time, normal_name,
     numeric_columns, present, text_columns,
 )
-from quiltframe.functions.text import as_number, as_time, digits, looks_boolean, strip, word_count
+from quiltframe.functions.text import (
+    as_number, digits, looks_boolean, strip, stripped_time, word_count,
+)
 from quiltframe.operators.frequency import distinct_counts, value_counts
 from quiltframe.operators.order_stats import exact_quantiles
 
@@ -38,9 +40,11 @@ def column_stats(df: DataFrame) -> DataFrame:
             "column string, n_rows bigint, n_values bigint, n_distinct bigint, email_share double,"
             "id_share double, boolean_share double, date_share double, number_share double,"
             "avg_length double, avg_words double"))
+    # Stripped once, in a projection of its own; every test below reads the result.
+    texts = df.select(*[strip(col(n).cast("string")).alias(n) for n in names])
     rows = []
     for name in names:
-        cell = strip(col(name).cast("string"))
+        cell = col(name)
         rows.append(F.struct(
             F.lit(name).alias("column"),
             F.count(F.lit(1)).alias("n_rows"),
@@ -48,13 +52,13 @@ def column_stats(df: DataFrame) -> DataFrame:
             _share(cell.rlike(K.EMAIL_CELL)).alias("email_share"),
             _share(cell.rlike(K.ID_CELL)).alias("id_share"),
             _share(looks_boolean(cell)).alias("boolean_share"),
-            _share(F.when(cell.isNotNull(), as_time(cell).isNotNull())).alias("date_share"),
+            _share(F.when(cell.isNotNull(), stripped_time(cell).isNotNull())).alias("date_share"),
             _share(F.when(cell.isNotNull(), as_number(cell).isNotNull())).alias("number_share"),
             _share(F.length(cell)).alias("avg_length"),
             _share(word_count(cell)).alias("avg_words"),
         ))
-    shares = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-    distinct = distinct_counts(value_counts(df, names, label=strip, digest_long=True))
+    shares = texts.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    distinct = distinct_counts(value_counts(texts, names, digest_long=True))
     return shares.join(F.broadcast(distinct.select("column", "n_distinct")), "column", "left").select(
         "column", "n_rows", "n_values", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
         "email_share", "id_share", "boolean_share", "date_share", "number_share", "avg_length",

@@ -86,8 +86,12 @@ class Coded:
             number = wide + D.whole(d.next(), 0, step)
         else:
             number = D.whole(d.next(), self.low, self.high)
-        return F.format_string(f"{self.prefix}%0{self.width}d" if self.width > 1
-                               else f"{self.prefix}%d", number)
+        shown = number.cast("string")
+        if self.width > 1:
+            # lpad() would cut longer numbers, which the range rules out.
+            assert len(str(self.high - 1)) <= self.width
+            shown = F.lpad(shown, self.width, "0")
+        return F.concat(F.lit(self.prefix), shown) if self.prefix else shown
 
 
 @dataclass(frozen=True)

@@ -1,22 +1,16 @@
 """Round trips through files, the run log, and row numbering."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quiltframe.operators.ordered import dense_position, rolling_mean, running_sum
-from quiltframe.operators.scratch import scratch_folder
+from quiltframe.operators.scratch import new_folder
 from quiltframe.sources import files, runlog
 from workloads.base import query, r, rounded
 
 
-def _folder(t, label: str) -> str:
-    return f"{scratch_folder(t.spark)}/quiltframe/{label}-{uuid.uuid4().hex}"
-
-
 @query("SELECT * FROM orders")
 def csv_round_trip(t):
-    path = _folder(t, "csv")
+    path = new_folder(t.spark, "csv")
     files.write_csv(t.orders, path)
     back = files.drop_time_zones(files.read_csv(t.spark, path))
     return back.select(*[F.col(f.name).cast(f.dataType) for f in t.orders.schema.fields])
@@ -24,7 +18,7 @@ def csv_round_trip(t):
 
 @query("SELECT * FROM customer")
 def json_round_trip(t):
-    path = _folder(t, "json")
+    path = new_folder(t.spark, "json")
     files.write_json(t.customer, path)
     return files.read_json(t.spark, path, t.customer.schema)
 
@@ -33,7 +27,7 @@ def json_round_trip(t):
        "WHERE l_returnflag = 'R'")
 def parquet_round_trip(t):
     """Written by return flag; the filter reads one partition folder only."""
-    path = _folder(t, "parquet")
+    path = new_folder(t.spark, "parquet")
     files.write_parquet(t.lineitem, path, partition_by=["l_returnflag"])
     back = files.read_parquet(t.spark, path).where("l_returnflag = 'R'")
     return back.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
@@ -52,7 +46,7 @@ def drop_time_zones(t):
            user_id AS records, 0::BIGINT AS columns, {r('value')} AS generation_time,
            0e0 AS quality_score FROM events ORDER BY event_id DESC LIMIT 20""")
 def run_log(t):
-    path = _folder(t, "runs")
+    path = new_folder(t.spark, "runs")
     runs = t.events.select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"),
         F.col("event_type").alias("type"), F.col("user_id").alias("records"),
