@@ -8,10 +8,8 @@ from quiltframe.constants import (
 )
 
 
-# All Unicode whitespace; \s alone covers ASCII only, and trim() only spaces.
-LINE_SPACE = (r"\t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-              r"\x{202f}\x{205f}\x{3000}")
-SPACE = f"[ {LINE_SPACE}]"
+# All Unicode whitespace, for regular expressions that start with (?U).
+SPACE = r"[\s\x1c-\x1f]"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
@@ -55,13 +53,12 @@ def digits(value: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words of stripped text."""
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, f"{SPACE}+")))
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, f"(?U){SPACE}+")))
 
 
 def squeeze(value: Column) -> Column:
     """Lower-case text with outer whitespace removed and inner runs made one space."""
-    # A lone blank is left as it is, so ordinary prose has almost nothing to replace.
-    return F.regexp_replace(strip(F.lower(value)), f"{SPACE}{{2,}}|[{LINE_SPACE}]", " ")
+    return F.regexp_replace(strip(F.lower(value)), f"(?U){SPACE}+", " ")
 
 
 def fingerprint(values: list[Column]) -> Column:
@@ -84,13 +81,13 @@ def name_in_email(name: Column, email: Column) -> Column:
 
 def as_number(value: Column) -> Column:
     """Text as double, NULL when it is no finite number."""
-    text = value.cast("string")
-    number = F.when((F.length(text) <= LONGEST_NUMBER) & text.rlike("[0-9]"), text.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    text = strip(value.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
-LONGEST_TIME, LONGEST_NUMBER = 40, 400
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+LONGEST_TIME = 40
 # Pattern of the text and the datetime format that reads it.
 OTHER_TIMES = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),

@@ -15,7 +15,7 @@ from quiltframe.functions.cells import (
 from quiltframe.functions.text import (
     as_number, digits, looks_boolean, strip, stripped_time, word_count,
 )
-from quiltframe.operators.frequency import distinct_counts, value_counts
+from quiltframe.operators.frequency import distinct_counts, in_column_order, value_counts
 from quiltframe.operators.order_stats import exact_quantiles
 
 DATE_SHARE, EMAIL_SHARE, BOOLEAN_SHARE = 0.8, 0.6, 0.8
@@ -27,42 +27,40 @@ def _share(test: Column) -> Column:
     return F.avg(test.cast("double"))
 
 
+STATS = ("email_share", "id_share", "boolean_share", "date_share", "number_share",
+         "avg_length", "avg_words")
+
+
 def column_stats(df: DataFrame) -> DataFrame:
     """One row per text or boolean column with everything type and role tests need.
 
-    One map-side aggregation gives the shares; the distinct counts come from one
-    shuffle of (column, value) pairs in which long texts travel as digests.
+    The cells are unpivoted to (column, value), so the plan does not grow with
+    the width of the table. Shares are aggregated on the map side; the distinct
+    counts come from one shuffle in which long texts travel as digests.
     """
     names = [f.name for f in df.schema.fields
              if is_text(f.dataType) or isinstance(f.dataType, T.BooleanType)]
     if not names:
-        return df.sparkSession.createDataFrame([], (
-            "column string, n_rows bigint, n_values bigint, n_distinct bigint, email_share double,"
-            "id_share double, boolean_share double, date_share double, number_share double,"
-            "avg_length double, avg_words double"))
-    # Stripped once, in a projection of its own; every test below reads the result.
+        shares = "".join(f", {s} double" for s in STATS)
+        return df.sparkSession.createDataFrame(
+            [], f"column string, n_rows bigint, n_values bigint, n_distinct bigint{shares}")
     texts = df.select(*[strip(col(n).cast("string")).alias(n) for n in names])
-    rows = []
-    for name in names:
-        cell = col(name)
-        rows.append(F.struct(
-            F.lit(name).alias("column"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count(cell).alias("n_values"),
-            _share(cell.rlike(K.EMAIL_CELL)).alias("email_share"),
-            _share(cell.rlike(K.ID_CELL)).alias("id_share"),
-            _share(looks_boolean(cell)).alias("boolean_share"),
-            _share(F.when(cell.isNotNull(), stripped_time(cell).isNotNull())).alias("date_share"),
-            _share(F.when(cell.isNotNull(), as_number(cell).isNotNull())).alias("number_share"),
-            _share(F.length(cell)).alias("avg_length"),
-            _share(word_count(cell)).alias("avg_words"),
-        ))
-    shares = texts.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    cell = F.col("value")
+    shares = texts.unpivot([], [col(n) for n in names], "column", "value").groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(cell).alias("n_values"),
+        _share(cell.rlike(K.EMAIL_CELL)).alias("email_share"),
+        _share(cell.rlike(K.ID_CELL)).alias("id_share"),
+        _share(looks_boolean(cell)).alias("boolean_share"),
+        _share(F.when(cell.isNotNull(), stripped_time(cell).isNotNull())).alias("date_share"),
+        _share(F.when(cell.isNotNull(), as_number(cell).isNotNull())).alias("number_share"),
+        _share(F.length(cell)).alias("avg_length"),
+        _share(word_count(cell)).alias("avg_words"))
     distinct = distinct_counts(value_counts(texts, names, digest_long=True))
-    return shares.join(F.broadcast(distinct.select("column", "n_distinct")), "column", "left").select(
-        "column", "n_rows", "n_values", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-        "email_share", "id_share", "boolean_share", "date_share", "number_share", "avg_length",
-        "avg_words")
+    stats = shares.join(F.broadcast(distinct.select("column", "n_distinct")), "column", "left")
+    return in_column_order(stats, names).select(
+        "column", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_values", "n_distinct")],
+        *STATS)
 
 
 @dataclass(frozen=True)
@@ -82,8 +80,7 @@ class _Stats:
         self.rows = values.get("n_rows") or 0
         self.distinct = values.get("n_distinct") or 0
         self.ratio = self.distinct / self.n if self.n else 0.0
-        for name in ("email_share", "id_share", "boolean_share", "date_share", "number_share",
-                     "avg_length", "avg_words"):
+        for name in STATS:
             setattr(self, name, values.get(name) or 0.0)
 
 
