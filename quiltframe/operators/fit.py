@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quiltframe import constants as K
 from quiltframe.functions.cells import col, present
 from quiltframe.functions.text import as_number, as_time, digits, model_label, strip
-from quiltframe.operators.frequency import value_counts
+from quiltframe.operators.frequency import distinct_counts, value_counts
 from quiltframe.operators.lookup import Vocabulary, vocabulary_sizes
 from quiltframe.operators.profile import (
     ColumnProfile, PersonColumns, email_domains, india_context, india_phone_style, linked_groups,
@@ -191,8 +191,20 @@ def numeric_aggregate(x: Column) -> Column:
 def time_aggregate(t: Column) -> Column:
     return F.struct(
         F.count(t).alias("n"), F.min(t).alias("first"), F.max(t).alias("last"),
-        F.bool_and(t == F.date_trunc("day", t).cast("timestamp_ntz")).alias("date_only"),
-        F.count_distinct(t).alias("distinct"))
+        F.bool_and(t == F.date_trunc("day", t).cast("timestamp_ntz")).alias("date_only"))
+
+
+def distinct_times(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Distinct times per datetime column: one shuffle of (column, time) pairs.
+
+    Counted apart from the other statistics, whose buffers would otherwise be
+    kept once per distinct time.
+    """
+    if not names:
+        return {}
+    times = df.select(*[time_of(df, n).cast("string").alias(n) for n in names])
+    return {r["column"]: r["n_distinct"]
+            for r in distinct_counts(value_counts(times, names)).collect()}
 
 
 def id_aggregate(v: Column) -> Column:
@@ -225,10 +237,10 @@ def numeric_model(name: str, row) -> NumericModel:
                         decimals == 0 and bool(row["six_digit"]))
 
 
-def time_model(row) -> TimeModel:
+def time_model(row, distinct: int) -> TimeModel:
     if not row["n"]:
         return TimeModel()
-    return TimeModel(row["n"], row["first"], row["last"], bool(row["date_only"]), row["distinct"])
+    return TimeModel(row["n"], row["first"], row["last"], bool(row["date_only"]), distinct)
 
 
 def id_model(row, common_prefix) -> IdModel:
@@ -278,8 +290,8 @@ def correlations(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fit(sample: DataFrame) -> TableModel:
-    """Model a prepared sample: a pass for the profile, one for all column models and
-    two that count the values drawn by frequency."""
+    """Model a prepared sample in a fixed number of passes: profile, column models,
+    distinct times, and the values of labels and numbers drawn by frequency."""
     profiles = profile_columns(sample)
     model = TableModel(sample, profiles)
     model.groups = linked_groups(sample.columns)
@@ -305,12 +317,13 @@ def fit(sample: DataFrame) -> TableModel:
     for a, b in pairs:
         parts.append(F.corr(_number(sample, a), _number(sample, b)).alias(f"_corr|{a}|{b}"))
     row = sample.agg(*parts).first()
+    distinct = distinct_times(sample, [p.name for p in profiles if p.kind == "datetime"])
 
     for p in profiles:
         if p.kind == "numeric":
             model.numeric[p.name] = numeric_model(p.name, row[p.name])
         elif p.kind == "datetime":
-            model.times[p.name] = time_model(row[p.name])
+            model.times[p.name] = time_model(row[p.name], distinct.get(p.name, 0))
         elif p.kind == "id":
             model.ids[p.name] = id_model(row[p.name], _top_prefix(sample, p.name))
         else:

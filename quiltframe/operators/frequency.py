@@ -9,7 +9,7 @@ map task before anything is shuffled.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltframe.functions.cells import col, flat_columns, present
+from quiltframe.functions.cells import col, flat_columns, is_text, present
 
 LONG_TEXT = 64
 
@@ -28,7 +28,7 @@ def value_counts(df: DataFrame, names: list[str] | None = None, *,
         text = present(df, name).cast("string")
         if label is not None:
             text = label(text)
-        if digest_long:
+        if digest_long and is_text(df.schema[name].dataType):
             text = F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.sha2(text, 256))
         return text.alias(name)
 

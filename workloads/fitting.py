@@ -44,7 +44,8 @@ def time_models(t):
     rows = []
     for table, c in TIMES:
         df = getattr(t, table)
-        m = M.time_model(df.agg(M.time_aggregate(M.time_of(df, c)).alias("m")).first()["m"])
+        m = M.time_model(df.agg(M.time_aggregate(M.time_of(df, c)).alias("m")).first()["m"],
+                         M.distinct_times(df, [c])[c])
         rows.append((c, m.n, m.first, m.last, m.date_only, m.distinct, m.span_days, m.span_seconds))
     return t.spark.createDataFrame(
         rows, "column string, n bigint, first timestamp_ntz, last timestamp_ntz, date_only boolean, "
