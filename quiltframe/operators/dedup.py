@@ -18,6 +18,7 @@ from quiltframe.functions.cells import col, flat_columns, is_missing, is_text
 from quiltframe.functions.text import as_time
 from quiltframe.operators.frequency import distinct_counts, in_column_order, value_counts
 from quiltframe.operators.near import drop_near_duplicates
+from quiltframe.operators.scratch import store
 from quiltframe.operators.skew import join_by_key
 
 
@@ -197,28 +198,32 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
                 consistency_check: bool = True, auto_resolve: bool = True,
                 keep_strategy: str = "latest",
                 similarity_threshold: float = SIMILARITY_THRESHOLD,
-                near_columns: list[str] | None = None) -> DedupRun:
+                near_columns: list[str] | None = None, store_steps: bool = False) -> DedupRun:
     """Conflicts, exact duplicates, near-duplicates, then one row per key.
 
     Conflicting columns are settled before rows are dropped by key: afterwards
     there would be nothing left to compare. `order_by` names the columns that
-    number the rows; without it the whole row decides.
+    number the rows; without it the whole row decides. `store_steps` keeps the
+    result of each step in the scratch folder, so that neither the next step nor
+    the report computes it again; the input of the near-duplicate step, which
+    reads it twice, is always kept.
     """
     named = key_patterns([c for c in df.columns if c not in (order_by or [])], data_type)
     keys = named.strict_columns
     run = DedupRun(df, named, [("input", df)])
 
-    def step(name: str, result: DataFrame) -> None:
-        run.df = result
-        run.stages.append((name, result))
+    def step(name: str, result: DataFrame, keep: bool = False) -> None:
+        run.df = store(result, name) if keep or store_steps else result
+        run.stages.append((name, run.df))
 
     if consistency_check:
         settled = run.df
         if keys and named.conflict_columns:
             settled = resolve_conflicts(settled, keys[0], named.conflict_columns)
-        step("inconsistent_duplicates", drop_exact(settled, None, order_by))
+        step("inconsistent_duplicates", drop_exact(settled, None, order_by),
+             keep=remove_near and not remove_exact)
     if remove_exact:
-        step("exact_duplicates", drop_exact(run.df, keys, order_by))
+        step("exact_duplicates", drop_exact(run.df, keys, order_by), keep=remove_near)
     if remove_near:
         columns = near_columns or named.unique_columns or [
             c for c in flat_columns(run.df) if c not in (order_by or [])]

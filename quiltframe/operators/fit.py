@@ -274,13 +274,23 @@ def _top_prefix(sample: DataFrame, name: str):
     return find
 
 
+PAIRS_PER_PASS = 300
+
+
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r): Pearson correlation of every pair, over rows where both are present."""
+    """(a, b, r): Pearson correlation of every pair, over rows where both are present.
+
+    Up to PAIRS_PER_PASS pairs share one aggregation; more would outgrow the
+    generated code of a single one.
+    """
     x = {n: _number(df, n) for n in names}
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
                       F.corr(x[a], x[b]).alias("r"))
              for i, a in enumerate(names) for b in names[i:]]
-    half = df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    half = None
+    for i in range(0, len(pairs), PAIRS_PER_PASS):
+        part = df.agg(F.array(*pairs[i:i + PAIRS_PER_PASS]).alias("pairs")).select(F.inline("pairs"))
+        half = part if half is None else half.unionByName(part)
     mirrored = half.select("a", "b", "r", F.explode(
         F.when(F.col("a") == F.col("b"), F.array(F.lit(False)))
         .otherwise(F.array(F.lit(False), F.lit(True)))).alias("_flip"))
@@ -312,10 +322,6 @@ def fit(sample: DataFrame) -> TableModel:
             "categorical": lambda: F.struct(F.min(F.length(model_label(text))).alias("shortest")),
         }[p.kind]()
         parts.append(part.alias(p.name))
-    names = model.correlated
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    for a, b in pairs:
-        parts.append(F.corr(_number(sample, a), _number(sample, b)).alias(f"_corr|{a}|{b}"))
     row = sample.agg(*parts).first()
     distinct = distinct_times(sample, [p.name for p in profiles if p.kind == "datetime"])
 
@@ -328,9 +334,10 @@ def fit(sample: DataFrame) -> TableModel:
             model.ids[p.name] = id_model(row[p.name], _top_prefix(sample, p.name))
         else:
             model.shortest_label[p.name] = row[p.name]["shortest"] or 1
+    names = model.correlated
     if len(names) > 1:
-        r = {pair: row[f"_corr|{pair[0]}|{pair[1]}"] for pair in pairs}
-        model.correlation = [
-            [1.0 if a == b else r.get((a, b), r.get((b, a))) for b in names] for a in names]
+        found = correlations(sample, names).collect()  # columns squared
+        r = {(pair["a"], pair["b"]): pair["r"] for pair in found}
+        model.correlation = [[1.0 if a == b else r[a, b] for b in names] for a in names]
     model.count_values()
     return model

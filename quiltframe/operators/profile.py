@@ -74,8 +74,8 @@ class ColumnProfile:
 class _Stats:
     """Collected statistics of one column; shares of an empty column are 0."""
 
-    def __init__(self, row):
-        values = row.asDict() if row else {}
+    def __init__(self, values: dict | None):
+        values = values or {}
         self.n = values.get("n_values") or 0
         self.rows = values.get("n_rows") or 0
         self.distinct = values.get("n_distinct") or 0
@@ -160,7 +160,7 @@ def report_role(name: str, dtype: T.DataType, s: _Stats) -> str:
 
 
 def _stats_by_column(df: DataFrame) -> dict[str, _Stats]:
-    return {r["column"]: _Stats(r) for r in column_stats(df).collect()}  # one row per column
+    return {r["column"]: _Stats(r.asDict()) for r in column_stats(df).collect()}  # one row per column
 
 
 def profile_columns(df: DataFrame) -> list[ColumnProfile]:

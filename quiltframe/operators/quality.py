@@ -1,8 +1,8 @@
 """Quality of a table, optionally against the sample it was made from.
 
-Per-column scores come from three shared inputs: one row-level aggregation, one
-(column, value) frequency table and, against a sample, one full outer join of
-two frequency tables. Each metric is computed once and scores are averaged over
+Per-column scores come from shared inputs: one row-level aggregation, one table of
+(column, value) counts and, against a sample, one full outer join of two such
+tables. A report reads the table twice, not once per metric; what is left are
 tables with one row per column.
 """
 
@@ -26,31 +26,61 @@ METRICS = [
 ]
 
 
-def completeness(df: DataFrame) -> DataFrame:
+def completeness(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """One row: share of present cells; 0 for an empty table."""
+    if stats is not None:
+        cells = F.sum("n_rows")
+        return stats.agg(F.when(cells > 0, F.sum("n_values") / cells).otherwise(0.0)
+                         .alias("completeness"))
     n, k = F.count(F.lit(1)), len(df.columns)
     missing = sum((count_if(is_missing(df, c)) for c in df.columns), F.lit(0))
     return df.agg(F.when(n * k > 0, 1 - missing / (n * F.lit(k))).otherwise(0.0)
                   .alias("completeness"))
 
 
-def column_uniqueness(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(column, n_rows, n_values, n_distinct, id_share) per column.
+def table_stats(df: DataFrame) -> DataFrame:
+    """One row per flat column with all that column scores need, from two passes.
 
-    id_share is the share of present cells shaped like ABC-123.
+    n_rows, n_values, id_share (share of present cells shaped like ABC-123),
+    n_times, first and last (cells read as dates; text and time columns only)
+    come from one aggregation; n_distinct and entropy from one table of value
+    counts in which long texts are digests.
     """
-    names = names or flat_columns(df)
-    shares = df.agg(F.array(*[F.struct(
-        F.lit(n).alias("column"), F.count(F.lit(1)).alias("n_rows"),
-        F.count(present(df, n)).alias("n_values"),
-        (_share(col(n).cast("string").rlike(K.ID_CELL)) if is_text(df.schema[n].dataType)
-         else F.lit(0.0)).alias("id_share")) for n in names]).alias("rows")
-    ).select(F.inline("rows"))
-    distinct = value_counts(df, names, digest_long=True).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_distinct"))
-    return shares.join(F.broadcast(distinct), "column", "left").select(  # one row per column
-        "column", "n_rows", "n_values", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-        F.coalesce("id_share", F.lit(0.0)).alias("id_share"))
+    return _with_value_stats(_cell_stats(df, times=True), df)
+
+
+def column_uniqueness(df: DataFrame) -> DataFrame:
+    """`table_stats` without reading any dates."""
+    return _with_value_stats(_cell_stats(df, times=False), df)
+
+
+def _cell_stats(df: DataFrame, times: bool) -> DataFrame:
+    rows, none = [], F.lit(None).cast("timestamp_ntz")
+    for name in flat_columns(df):
+        dtype = df.schema[name].dataType
+        shape = _share(col(name).cast("string").rlike(K.ID_CELL)) if is_text(dtype) else F.lit(0.0)
+        dated = times and (is_text(dtype) or is_time(dtype))
+        t = time_of(df, name) if dated else none
+        rows.append(F.struct(
+            F.lit(name).alias("column"), F.lit(is_text(dtype)).alias("is_text"),
+            F.count(F.lit(1)).alias("n_rows"), F.count(present(df, name)).alias("n_values"),
+            F.coalesce(shape, F.lit(0.0)).alias("id_share"),
+            (F.count(t) if dated else F.lit(0).cast("bigint")).alias("n_times"),
+            (F.min(t) if dated else none).alias("first"),
+            (F.max(t) if dated else none).alias("last")))
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def _with_value_stats(cells: DataFrame, df: DataFrame) -> DataFrame:
+    values = value_counts(df, digest_long=True).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_distinct"), entropy().alias("entropy"))
+    return cells.join(F.broadcast(values), "column", "left").withColumn(  # one row per column
+        "n_distinct", F.coalesce("n_distinct", F.lit(0)))
+
+
+def _local(small: DataFrame) -> DataFrame:
+    """A table of one row per column, computed once and kept as a literal table."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
 
 
 def _ratio() -> Column:
@@ -80,51 +110,50 @@ def id_uniqueness(stats: DataFrame, df: DataFrame) -> DataFrame:
     ).alias("id_uniqueness"))
 
 
-def open_diversity(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+def _diversity() -> Column:
+    return F.when(F.col("n_distinct") > 1, F.col("entropy") / F.ln(F.col("n_distinct").cast("double"))
+                  ).otherwise(0.0)
+
+
+def diversity_by_column(stats: DataFrame, names: list[str]) -> DataFrame:
+    """(column, n_distinct, diversity): entropy relative to its maximum, ln of the labels."""
+    return stats.where(F.col("column").isin(names)).select(
+        "column", "n_distinct", _diversity().alias("diversity"))
+
+
+def open_diversity(stats: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Mean normalized entropy of the open columns.
 
     An empty or constant column scores 0; without open columns the score is 1.
     """
-    names = [c for c in df.columns if roles.get(c) in K.OPEN_ROLES]
-    if not names:
-        return df.sparkSession.createDataFrame([(1.0,)], "diversity double")
-    scores = diversity_by_column(df, names)
-    total = F.coalesce(F.sum("diversity"), F.lit(0.0))
-    return scores.agg((total / F.lit(len(names))).alias("diversity"))
-
-
-def diversity_by_column(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, n_distinct, diversity) of the columns that have any value."""
-    freq = value_counts(df, names, digest_long=True)
-    k = F.count(F.lit(1))
-    return freq.groupBy("column").agg(
-        k.alias("n_distinct"),
-        F.when(k > 1, entropy() / F.ln(k.cast("double"))).otherwise(0.0).alias("diversity"))
-
-
-def date_diversity_by_column(df: DataFrame) -> DataFrame:
-    """(column, diversity) of columns that are dates in at least 80 % of the rows."""
-    names = [f.name for f in df.schema.fields if is_time(f.dataType) or is_text(f.dataType)]
-    rows = []
-    for name in names:
-        t = time_of(df, name)
-        rows.append(F.struct(
-            F.lit(name).alias("column"), F.count(F.lit(1)).alias("n_rows"),
-            F.count(t).alias("n"), F.min(t).alias("first"), F.max(t).alias("last")))
-    if not rows:
-        return df.sparkSession.createDataFrame([], "column string, diversity double")
-    ranges = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-    times = df.select(*[time_of(df, n).cast("string").alias(n) for n in names])
-    distinct = value_counts(times, names).groupBy("column").agg(F.count(F.lit(1)).alias("k"))
+    names = [c for c, r in roles.items() if r in K.OPEN_ROLES]
+    return stats.where(F.col("column").isin(names)).agg(
+        F.coalesce(F.avg(_diversity()), F.lit(1.0)).alias("diversity"))
+
+
+def date_diversity_by_column(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(column, diversity) of columns that are dates in at least 80 % of the rows.
+
+    Different texts may be one date, so the few text columns that qualify are
+    counted again by their parsed values.
+    """
+    stats = _local(table_stats(df)) if stats is None else stats
+    dated = stats.where((F.col("n_times") > 0) & (F.col("n_times") >= 0.8 * F.col("n_rows")))
+    texts = [r["column"] for r in dated.where("is_text").select("column").collect()]
+    distinct = dated.where("not is_text").select("column", F.col("n_distinct").alias("k"))
+    if texts:
+        parsed = df.select(*[time_of(df, n).cast("string").alias(n) for n in texts])
+        distinct = distinct.unionByName(value_counts(parsed, texts).groupBy("column").agg(
+            F.count(F.lit(1)).alias("k")))
     span = F.greatest(F.datediff("last", "first"), F.lit(0)).cast("bigint")
-    room = F.greatest(F.lit(1), F.least(F.col("n"), F.when(span > 0, span + 1).otherwise(F.col("k"))))
-    return ranges.join(F.broadcast(distinct), "column").where(  # one row per column
-        F.col("n") >= 0.8 * F.col("n_rows")).select(
+    room = F.greatest(F.lit(1), F.least(
+        F.col("n_times"), F.when(span > 0, span + 1).otherwise(F.col("k"))))
+    return dated.join(F.broadcast(distinct), "column").select(  # one row per column
         "column", F.least(F.lit(1.0), F.col("k") / room).alias("diversity"))
 
 
-def date_diversity(df: DataFrame) -> DataFrame:
-    return date_diversity_by_column(df).agg(
+def date_diversity(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    return date_diversity_by_column(df, stats).agg(
         F.coalesce(F.avg("diversity"), F.lit(1.0)).alias("date_diversity"))
 
 
@@ -260,12 +289,14 @@ def quality_report(df: DataFrame, sample: DataFrame | None = None,
                    roles: dict[str, str] | None = None) -> DataFrame:
     """One row with every metric, the overall score first. Undefined metrics are NULL."""
     roles = roles or infer_report_roles(df, sample)
-    stats = column_uniqueness(df)
+    stats = _local(table_stats(df))
     name, email = name_and_email_columns(df, roles)
+    whole = stats if len(flat_columns(df)) == len(df.columns) else None
     parts = [
-        completeness(df), id_uniqueness(stats, df), date_diversity(df), open_diversity(df, roles),
-        enum_fidelity(df, sample, roles), name_email_coherence(df, name, email),
-        numeric_fidelity(df, sample, roles), open_uniqueness(stats, roles), privacy_score(stats),
+        completeness(df, whole), id_uniqueness(stats, df), date_diversity(df, stats),
+        open_diversity(stats, roles), enum_fidelity(df, sample, roles),
+        name_email_coherence(df, name, email), numeric_fidelity(df, sample, roles),
+        open_uniqueness(stats, roles), privacy_score(stats),
     ]
     # Every part is exactly one row.
     row = reduce(lambda a, b: a.join(F.broadcast(b)), parts)

@@ -51,7 +51,10 @@ def test_context(spark):
 
 
 def test_linked_groups_and_person_columns():
-    assert P.linked_groups(["Product", "category", "x", "unit_price"]) == [["Product", "category", "unit_price"]]
+    assert P.linked_groups(["Product_Name", "category", "x", "unit_price"]) == [
+        ["Product_Name", "category", "unit_price"]]
+    # The first specification takes two of its columns and leaves the product alone.
+    assert P.linked_groups(["product", "category", "unit_price"]) == [["category", "unit_price"]]
     assert P.linked_groups(["crop_name", "yield_kg"]) == [["crop_name", "yield_kg"]]
     assert P.linked_groups(["product", "x"]) == []
     profiles = [P.ColumnProfile(n, None, "categorical", r) for n, r in

@@ -102,8 +102,8 @@ def test_privacy_differs_from_id_uniqueness(spark):
 
 def test_constant_and_empty_columns(spark):
     df = spark.createDataFrame([("a", None), ("a", None)], "city string, phone string")
-    assert Q.open_diversity(df, {"city": "city", "phone": "phone"}).first()[0] == 0.0
-    assert Q.open_diversity(df, {}).first()[0] == 1.0
+    assert Q.open_diversity(Q.column_uniqueness(df), {"city": "city", "phone": "phone"}).first()[0] == 0.0
+    assert Q.open_diversity(Q.column_uniqueness(df), {}).first()[0] == 1.0
     empty = spark.createDataFrame([], "a int")
     assert Q.completeness(empty).first()[0] == 0.0
     assert Q.privacy_score(Q.column_uniqueness(empty)).first()[0] == 0.0
