@@ -25,6 +25,17 @@ def rows_of(df: DataFrame, key: str) -> DataFrame:
     return df.select(col(key).cast("bigint").alias("row_id"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core row ids to work on when a scan has fewer splits than there are cores.
+
+    Making a row costs far more than moving its id. Scans with enough splits,
+    which is any large table, stay as they are. Meant for plans without a
+    shuffle: counting the splits of any other plan would run it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "row_id")
+
+
 def template_columns(template: str) -> list[str]:
     return list(TEMPLATES[template])
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quiltframe.plans.template_specs import TEMPLATES
-from quiltframe.plans.templates import AS_OF, make_rows, rows_of
+from quiltframe.plans.templates import AS_OF, make_rows, rows_of, spread
 from workloads.base import ORACLES, QUERIES, Tables, r, rounded
 from workloads.sqltext import template_sql
 
@@ -52,7 +52,7 @@ def _sql(template: str, table: str, key: str) -> str:
 
 def _register(name, template, table, key):
     def run(spark, folder):
-        made = make_rows(rows_of(getattr(Tables(spark, folder), table), key), template)
+        made = make_rows(spread(rows_of(getattr(Tables(spark, folder), table), key)), template)
         return rounded(made, 6) if template == "Time Series Data" else made
 
     QUERIES[name] = run
@@ -65,7 +65,7 @@ for entry in MADE:
 
 def template_subset(spark, folder):
     """The reduced personal and sales tables: a choice of template columns."""
-    return make_rows(rows_of(Tables(spark, folder).orders, "o_orderkey"), "Sales Transactions",
+    return make_rows(spread(rows_of(Tables(spark, folder).orders, "o_orderkey")), "Sales Transactions",
                      columns=["product", "quantity", "unit_price", "total", "region", "rating"])
 
 
@@ -77,8 +77,9 @@ ORACLES["template_subset"] = (
 
 def template_means(spark, folder):
     """Means of a made table, computed without writing it out."""
-    made = make_rows(rows_of(Tables(spark, folder).lineitem.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k")), "k"), "System Metrics")
+    keys = Tables(spark, folder).lineitem.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"))
+    made = make_rows(spread(rows_of(keys, "k")), "System Metrics")
     return rounded(made.groupBy("hostname").agg(
         F.count(F.lit(1)).alias("n"), F.avg("cpu_usage").alias("cpu"),
         F.avg("memory_usage").alias("memory")))
