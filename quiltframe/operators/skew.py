@@ -7,19 +7,22 @@ from quiltframe.functions.cells import col
 
 # A key is hot when it holds at least this share, so at most 1 / share keys are.
 HOT_SHARE = 1 / 1000
-SMALL_TABLE = 1_000_000
+SMALL_TABLE = 4_000_000
 
 
 def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
-                sizes: DataFrame | None = None) -> DataFrame:
+                sizes: DataFrame | None = None, at_most: int | None = None) -> DataFrame:
     """Inner join of many rows to a table with one row, or a few rows, per key.
 
     `per_key[weight]` tells how many of `rows` have the key. Keys above HOT_SHARE
     of all rows, of which there can be at most 1000, are broadcast, so their rows
     stay where they are; the rest take an ordinary shuffle join without a hot
     key. Keys must not be NULL. `sizes` holds one row per key where `per_key`
-    has several.
+    has several. `at_most` is a bound on the number of rows, if one is known: a
+    small one saves the pass that weighs the keys.
     """
+    if at_most is not None and at_most <= SMALL_TABLE:
+        return rows.join(per_key.drop(weight), keys, "inner")
     total, top = (per_key if sizes is None else sizes).agg(F.sum(weight), F.max(weight)).first()
     if not total or total <= SMALL_TABLE or top < total * HOT_SHARE:
         return rows.join(per_key.drop(weight), keys, "inner")

@@ -66,10 +66,11 @@ def missing_values(df: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def type_counts(df: DataFrame) -> DataFrame:
-    """(type, columns) of a table."""
-    kinds = [f.dataType.simpleString() for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(
-        [(k, kinds.count(k)) for k in sorted(set(kinds))], "type string, columns bigint")
+    """(type, columns, cells): columns per data type and the present cells in them."""
+    columns = [F.struct(F.lit(f.dataType.simpleString()).alias("type"),
+                        count_if(~is_missing(df, f.name)).alias("cells")) for f in df.schema.fields]
+    return df.agg(F.array(*columns).alias("rows")).select(F.inline("rows")).groupBy("type").agg(
+        F.count(F.lit(1)).alias("columns"), F.sum("cells").alias("cells"))
 
 
 def iqr_outliers(df: DataFrame, names: list[str] | None = None) -> DataFrame:

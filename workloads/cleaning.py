@@ -97,14 +97,15 @@ def strip_text(t):
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'FALSE' ELSE o_orderstatus END AS status,
-       CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'TRUE' WHEN '2' THEN 'FALSE' WHEN '3' THEN 'TRUE'
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'TRUE' WHEN '2-HIGH' THEN 'FALSE' WHEN '3-MEDIUM' THEN 'TRUE'
        ELSE 'Maybe' END AS label, CASE WHEN o_totalprice > 250000 THEN 'TRUE' ELSE 'FALSE' END AS dear
        FROM orders""")
 def unify_booleans(t):
-    first = F.left("o_orderpriority", F.lit(1))
+    priority = F.col("o_orderpriority")
     orders = t.orders.select(
         "o_orderkey", F.col("o_orderstatus").alias("status"),
-        F.when(first == "1", " Yes").when(first == "2", "no").when(first == "3", "T ")
+        F.when(priority == "1-URGENT", " Yes").when(priority == "2-HIGH", "no")
+        .when(priority == "3-MEDIUM", "T ")
         .otherwise(" Maybe ").alias("label"), (F.col("o_totalprice") > 250000).alias("dear"))
     return C.unify_booleans(orders)
 

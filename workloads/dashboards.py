@@ -56,7 +56,8 @@ TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "s
 
 
 @query("SELECT CASE column_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items())
-       + " END AS type, count(*) AS columns FROM (DESCRIBE lineitem) GROUP BY 1")
+       + " END AS type, count(*) AS columns, (count(*) * (SELECT count(*) FROM lineitem))::BIGINT AS cells "
+         "FROM (DESCRIBE lineitem) GROUP BY 1")
 def type_counts(t):
     return S.type_counts(t.lineitem)
 

@@ -56,7 +56,7 @@ def _entropy(c, source):
        + ') / 3')} AS diversity""")
 def open_diversity(t):
     """The mean of a key-like, a skewed and a constant column."""
-    df = t.customer.select("c_name", "c_mktsegment", F.left("c_name", F.lit(1)).alias("c_first"))
+    df = t.customer.select("c_name", "c_mktsegment", F.lit("C").alias("c_first"))
     return rounded(Q.open_diversity(Q.column_uniqueness(df), {"c_name": "person_name", "c_mktsegment": "city",
                                          "c_first": "state"}))
 
