@@ -85,7 +85,9 @@ def as_number(value: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
+# A zone at the end is allowed and dropped: the local wall clock is kept.
+ISO_TIME = (r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?"
+            r"(Z|[+-]\d{2}:\d{2})?)?$")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 LONGEST_TIME = 40
 # Pattern of the text and the datetime format that reads it.

@@ -74,12 +74,13 @@ def make_rows(rows: DataFrame, template: str, *, n: int | None = None, seed: int
 
 def generate_template(spark: SparkSession, template: str, n: int, *, seed: int = 42,
                       as_of: str = AS_OF, columns: list[str] | None = None,
-                      cleaned: bool = False, fill: list[str] = ()) -> DataFrame:
+                      cleaned: bool = False, fill: list[str] = (),
+                      partitions: int | None = None) -> DataFrame:
     """n rows of a template. With `cleaned`, validated and cleaned as well."""
     if not template:
         raise ValueError("Data type is required")
     check_row_count(n)
-    made = make_rows(row_source(spark, n), template, n=n, seed=seed, as_of=as_of,
+    made = make_rows(row_source(spark, n, partitions), template, n=n, seed=seed, as_of=as_of,
                      columns=columns)
     if cleaned:
         require_valid(made)

@@ -38,15 +38,20 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
     df.write.mode(mode).parquet(path, partitionBy=partition_by)
 
 
-def drop_time_zones(df: DataFrame, zone_columns: dict[str, str] | None = None) -> DataFrame:
+def drop_time_zones(df: DataFrame, zone_columns: dict[str, str] | None = None,
+                    zoned_texts: list[str] = ()) -> DataFrame:
     """Timestamps with a zone become timestamps without.
 
     A zoned column keeps the wall clock of the session zone. `zone_columns` maps
-    a naive column to the column holding its zone; those are put in UTC.
+    a naive column to the column holding its zone, `zoned_texts` names text
+    columns whose cells end in their own offset; both are put in UTC.
     """
     zone_columns = zone_columns or {}
     changed = {f.name: col(f.name).cast("timestamp_ntz") for f in df.schema.fields
                if isinstance(f.dataType, T.TimestampType)}
     for name, zone in zone_columns.items():
         changed[name] = F.convert_timezone(col(zone), F.lit("UTC"), col(name).cast("timestamp_ntz"))
+    for name in zoned_texts:
+        local = col(name).try_cast("timestamp").cast("timestamp_ntz")
+        changed[name] = F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
     return df.withColumns(changed) if changed else df

@@ -45,13 +45,13 @@ def test_text(spark):
 
 
 def test_parsing(spark):
-    texts = ["2024-02-30", "2024-2-3", "2024-02-03 04:05:06", "2/3/2024", "3-Feb-2024", "Feb 3, 2024",
+    texts = ["2024-02-30", "2024-2-3", "2024-02-03 04:05:06", "2024-02-03T04:05:06+05:30", "2/3/2024", "3-Feb-2024", "Feb 3, 2024",
              "2024/02/03", "12", "12d", "1e3", "nan", "-.5", ""]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     day = datetime.datetime(2024, 2, 3)
     assert [r[0] for r in df.select(as_time(F.col("s"))).collect()] == [
-        None, day, datetime.datetime(2024, 2, 3, 4, 5, 6), day, day, day, day, *[None] * 6]
-    assert [r[0] for r in df.select(as_number(F.col("s"))).collect()] == [None] * 7 + [
+        None, day, *[datetime.datetime(2024, 2, 3, 4, 5, 6)] * 2, day, day, day, day, *[None] * 6]
+    assert [r[0] for r in df.select(as_number(F.col("s"))).collect()] == [None] * 8 + [
         12.0, None, 1000.0, None, -0.5, None]
 
 

@@ -32,12 +32,14 @@ def parquet_round_trip(t):
 
 
 @query("""SELECT event_id, ts AS zoned, CASE event_type WHEN 'click' THEN ts - INTERVAL 330 MINUTE
-          ELSE ts + INTERVAL 120 MINUTE END AS local FROM events""")
+          ELSE ts + INTERVAL 120 MINUTE END AS local, date_trunc('second', ts) - INTERVAL 330 MINUTE
+          AS written FROM events""")
 def drop_time_zones(t):
     events = t.events.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:30'").alias("written"),
         "event_id", F.col("ts").cast("timestamp").alias("zoned"), F.col("ts").alias("local"),
         F.when(F.col("event_type") == "click", "+05:30").otherwise("-02:00").alias("zone"))
-    return files.drop_time_zones(events, {"local": "zone"}).drop("zone")
+    return files.drop_time_zones(events, {"local": "zone"}, ["written"]).drop("zone")
 
 
 @query(f"""SELECT CAST(ts AS VARCHAR) AS "timestamp", coalesce(event_type, 'Unknown') AS data_type,

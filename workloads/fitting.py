@@ -59,7 +59,7 @@ TAIL = r"regexp_extract({c}, '(\d+)$', 1)"
        AS width, max(regexp_extract(c_name, '(\d+)$', 1)::BIGINT) + 1 AS start, false AS uuid FROM customer
        UNION ALL SELECT 's_code', 'SUP-', max(length(s_suppkey::VARCHAR))::INTEGER, max(s_suppkey) + 1, false FROM supplier
        UNION ALL SELECT 'o_code', 'OR', max(length(o_orderkey::VARCHAR))::INTEGER, max(o_orderkey) + 1, false FROM orders
-       UNION ALL SELECT 'p_name', '', 5, 1::BIGINT, true FROM part LIMIT 4""")
+       UNION ALL SELECT 'p_name', '', 5, 1::BIGINT, true FROM (SELECT count(*) FROM part)""")
 def id_models(t):
     """One prefix with #, a plain one, two prefixes sharing their start, and no numbering."""
     tables = [
