@@ -68,6 +68,23 @@ def test_near_duplicates_without_order_column(spark):
         ("north river maple grovx", 1.0), ("piano", 2.0)}
 
 
+def test_near_duplicates_with_text_keys(spark):
+    rows = [(f"k{i:04d}", t) for i, t, _ in fixture_rows()]
+    want, _ = greedy([(k, 0, squeezed(t)) for k, t in rows])
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert {r["id"]: r["leader"] for r in N.near_duplicate_groups(df, ["text"], "id").collect()} == want
+
+
+def test_crowded_band_of_unlike_rows(spark):
+    """Short rows that share bands but are all unlike: nothing is dropped or capped."""
+    df = spark.range(300).select("id", F.concat(F.lit("item "), F.sha2(F.col("id").cast("string"), 256)
+                                                .substr(1, 12), F.lit(" of lot")).alias("text"))
+    rows = [(r["id"], 0, r["text"]) for r in df.orderBy("id").collect()]
+    want, _ = greedy(rows)
+    got = {r["id"]: r["leader"] for r in N.near_duplicate_groups(df, ["text"], "id").collect()}
+    assert got == want
+
+
 def test_similar_keys_form_one_group(spark):
     """Consecutive numbered keys are similar: one hot group, found without all pairs."""
     df = spark.range(400).select("id", F.format_string("txn20250101%04d", "id").alias("text"))
