@@ -61,9 +61,11 @@ def squeeze(value: Column) -> Column:
     return F.regexp_replace(strip(F.lower(value)), f"(?U){SPACE}+", " ")
 
 
-def fingerprint(values: list[Column]) -> Column:
+def fingerprint(values: list[Column], length: int | None = FINGERPRINT_LENGTH) -> Column:
+    """Squeezed cells joined by bars; cut at `length` characters, None for all of them."""
     parts = [F.coalesce(squeeze(v.cast("string")), F.lit("")) for v in values]
-    return F.substring(F.concat_ws("|", *parts), 1, FINGERPRINT_LENGTH)
+    whole = F.concat_ws("|", *parts)
+    return whole if length is None else F.substring(whole, 1, length)
 
 
 def edit_similarity(left: Column, right: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiltframe.constants import (
-    KEY_ID_WORDS, KEY_PRESETS, KEY_TIME_WORDS, SIMILARITY_THRESHOLD,
+    FINGERPRINT_LENGTH, KEY_ID_WORDS, KEY_PRESETS, KEY_TIME_WORDS, SIMILARITY_THRESHOLD,
 )
 from quiltframe.functions.cells import col, flat_columns, is_missing, is_text
 from quiltframe.functions.text import as_time
@@ -198,7 +198,8 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
                 consistency_check: bool = True, auto_resolve: bool = True,
                 keep_strategy: str = "latest",
                 similarity_threshold: float = SIMILARITY_THRESHOLD,
-                near_columns: list[str] | None = None, store_steps: bool = False) -> DedupRun:
+                near_columns: list[str] | None = None, store_steps: bool = False,
+                near_length: int | None = FINGERPRINT_LENGTH) -> DedupRun:
     """Conflicts, exact duplicates, near-duplicates, then one row per key.
 
     Conflicting columns are settled before rows are dropped by key: afterwards
@@ -206,7 +207,8 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
     number the rows; without it the whole row decides. `store_steps` keeps the
     result of each step in the scratch folder, so that neither the next step nor
     the report computes it again; the input of the near-duplicate step, which
-    reads it twice, is always kept.
+    reads it twice, is always kept. `near_length` is the number of characters
+    that step compares, None for whole rows.
     """
     named = key_patterns([c for c in df.columns if c not in (order_by or [])], data_type)
     keys = named.strict_columns
@@ -228,7 +230,7 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
         columns = near_columns or named.unique_columns or [
             c for c in flat_columns(run.df) if c not in (order_by or [])]
         step("near_duplicates", drop_near_duplicates(
-            run.df, columns, order_by, similarity_threshold))
+            run.df, columns, order_by, similarity_threshold, near_length))
     if auto_resolve and keep_strategy == "most_complete":
         step("auto_resolve", keep_most_complete(run.df, keys, order_by))
     elif auto_resolve and keep_strategy == "latest" and named.timestamp_columns:

@@ -55,18 +55,18 @@ def matching_ratios(t):
     turns = t.conversations
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("said"))
     return turns.join(before, ["conv_id", "turn"]).select(
-        "conv_id", "turn", matching_ratio(fingerprint([F.col("text")]),
-                                          fingerprint([F.col("said")])).alias("ratio"))
+        "conv_id", "turn", matching_ratio(fingerprint([F.col("text")], None),
+                                          fingerprint([F.col("said")], None)).alias("ratio"))
 
 
 @query()
 def near_duplicate_groups(t):
-    return N.near_duplicate_groups(t.documents, ["text"], "doc_id")
+    return N.near_duplicate_groups(t.documents, ["text"], "doc_id", length=None)
 
 
 @query()
 def near_duplicates_removed(t):
-    return N.drop_near_duplicates(t.documents, ["text"], ["doc_id"])
+    return N.drop_near_duplicates(t.documents, ["text"], ["doc_id"], length=None)
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, (CASE WHEN l_tax = 0 THEN 1 ELSE 0 END
@@ -191,4 +191,5 @@ def dedup_report(t):
 @query()
 def deduplicated_documents(t):
     """The full run with its near-duplicate step, over whole documents."""
-    return D.deduplicate(t.documents, order_by=["doc_id"], near_columns=["text"]).df
+    return D.deduplicate(t.documents, order_by=["doc_id"], near_columns=["text"],
+                         near_length=None).df
