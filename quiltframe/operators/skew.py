@@ -3,32 +3,41 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltframe.functions.cells import col
+from quiltframe.functions.cells import col, flat_columns
 
-# A key is hot when it holds at least this share, so at most 1 / share keys are.
-HOT_SHARE = 1 / 1000
 SMALL_TABLE = 4_000_000
+MIN_SHARES = 64
 
 
 def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
                 sizes: DataFrame | None = None, at_most: int | None = None) -> DataFrame:
     """Inner join of many rows to a table with one row, or a few rows, per key.
 
-    `per_key[weight]` tells how many of `rows` have the key. Keys above HOT_SHARE
-    of all rows, of which there can be at most 1000, are broadcast, so their rows
-    stay where they are; the rest take an ordinary shuffle join without a hot
-    key. Keys must not be NULL. `sizes` holds one row per key where `per_key`
-    has several. `at_most` is a bound on the number of rows, if one is known: a
-    small one saves the pass that weighs the keys.
+    `per_key[weight]` tells how many of `rows` have the key. The rows are thought
+    of in equal shares, one per shuffle partition; a key larger than a share is
+    split into as many parts as it fills shares, and its row in `per_key` copied
+    for each part. There are fewer such keys than shares, and fewer than twice as
+    many copies, so only those keys are broadcast and little is copied.
+
+    Keys must not be NULL. `sizes` holds one row per key where `per_key` has
+    several. `at_most` is a bound on the number of rows, if one is known: a small
+    one saves the pass that weighs the keys.
     """
+    plain = per_key.drop(weight)
     if at_most is not None and at_most <= SMALL_TABLE:
-        return rows.join(per_key.drop(weight), keys, "inner")
-    total, top = (per_key if sizes is None else sizes).agg(F.sum(weight), F.max(weight)).first()
-    if not total or total <= SMALL_TABLE or top < total * HOT_SHARE:
-        return rows.join(per_key.drop(weight), keys, "inner")
-    limit = F.lit(total * HOT_SHARE)
-    hot = per_key.where(col(weight) >= limit).drop(weight)
-    cold = per_key.where(col(weight) < limit).drop(weight)
-    hot_rows = rows.join(F.broadcast(hot), keys, "inner")
-    cold_rows = rows.join(F.broadcast(hot.select(*[col(k) for k in keys])), keys, "left_anti")
-    return hot_rows.unionByName(cold_rows.join(cold, keys, "inner"))
+        return rows.join(plain, keys, "inner")
+    weighed = per_key if sizes is None else sizes
+    total, top = weighed.agg(F.sum(weight), F.max(weight)).first()
+    shares = max(MIN_SHARES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not total or total <= SMALL_TABLE or top * shares <= total:
+        return rows.join(plain, keys, "inner")
+    share = total / shares
+    large = F.broadcast(weighed.where(col(weight) > share).select(
+        *[col(k) for k in keys], F.ceil(col(weight) / F.lit(share)).alias("_parts")))
+    part = F.pmod(F.xxhash64(*[col(c) for c in flat_columns(rows)]), F.col("_parts"))
+    split = rows.join(large, keys, "left").withColumn(
+        "_part", F.when(F.col("_parts").isNotNull(), part).otherwise(F.lit(0))).drop("_parts")
+    parts = F.when(F.col("_parts").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)) \
+        .otherwise(F.array(F.lit(0).cast("bigint")))
+    copied = plain.join(large, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return split.join(copied, [*keys, "_part"], "inner").drop("_part")
