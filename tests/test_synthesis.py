@@ -163,3 +163,23 @@ def test_checks_find_faults(spark):
     found = {(r["check"], r["column"]): r["severity"] for r in S.check_synthesis(bad, model).collect()}
     assert found == {("id_collisions", "row_code"): "error", ("invented_labels", "status"): "error",
                      ("short_labels", "status"): "error", ("date_diversity", "day"): "error"}
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    orders = spark.read.parquet(ORDERS).select("o_orderdate")
+    def bounds():
+        made = S.generate_custom(orders, 200)
+        return [str(r) for r in made.select(F.col("o_orderdate").cast("string")).collect()]
+    here = bounds()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert bounds() == here
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_single_values_of_any_type(spark):
+    sample = spark.createDataFrame([("Lamp", "Home", 2.5, "2024-05-01 10:00:00", "same")] * 3,
+                                   "product_name string, category string, unit_price double, at string, tag string")
+    rows = {tuple(map(str, r)) for r in S.generate_custom(sample, 4).collect()}
+    assert rows == {("Lamp", "Home", "2.5", "2024-05-01 10:00:00", "same")}
