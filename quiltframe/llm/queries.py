@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quiltframe.llm import secret_scan
+from quiltframe.llm import language, mixture, quality_model, secret_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +18,46 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets_found(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {
-    "op2_secret_scan": op2_secret_scan,
-}
+def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(_table(spark, folder, "documents"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality_model.score(docs, quality_model.train(docs))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, folder, "labels")))
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    out = language.held_out(F.col("doc_id"))
+    found = language.identify(docs, language.train(docs, learn=~out))
+    return found.select(F.col("id").alias("doc_id"), language.held_out(F.col("id")).alias("held_out"),
+                        "lang_pred", "score")
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(_table(spark, folder, "pages")).select(*warc.digest_columns())
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_secret_scan, op4_mixture, op6_quality, op7_toxicity, op8_language, op10_warc)}
+
+# Same rows as op10: what is written comes back.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m"""
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secret_scan.duck_sql(),
+    "op10_warc": _WARC,
 }
