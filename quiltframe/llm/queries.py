@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltframe.llm import language, mixture, quality_model, secret_scan, toxicity, warc
+from quiltframe.llm import (
+    decontaminate, language, mixture, order_minhash, quality_model, secret_scan, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +16,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets_found(_table(spark, folder, "documents"))
 
@@ -22,6 +28,10 @@ def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(_table(spark, folder, "documents"))
 
 
+def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edited_pairs(_table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality_model.score(docs, quality_model.train(docs))
@@ -45,7 +55,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_secret_scan, op4_mixture, op6_quality, op7_toxicity, op8_language, op10_warc)}
+    op1_decontaminate, op2_secret_scan, op4_mixture, op5_order_minhash, op6_quality, op7_toxicity, op8_language, op10_warc)}
 
 # Same rows as op10: what is written comes back.
 _WARC = """
