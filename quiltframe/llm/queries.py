@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltframe.llm import (
-    decontaminate, language, mixture, order_minhash, quality_model, secret_scan, toxicity, warc,
+    decontaminate, jaccard_join, language, mixture, order_minhash, quality_model, secret_scan, toxicity, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,12 +50,16 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
                         "lang_pred", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.grouped(_table(spark, folder, "documents"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive(_table(spark, folder, "pages")).select(*warc.digest_columns())
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontaminate, op2_secret_scan, op4_mixture, op5_order_minhash, op6_quality, op7_toxicity, op8_language, op10_warc)}
+    op1_decontaminate, op2_secret_scan, op4_mixture, op5_order_minhash, op6_quality, op7_toxicity, op8_language, op9_jaccard_join, op10_warc)}
 
 # Same rows as op10: what is written comes back.
 _WARC = """
