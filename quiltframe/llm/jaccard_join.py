@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from quiltframe.functions.cells import col
 from quiltframe.llm.graph import components
 from quiltframe.llm.hashing import shingles
+from quiltframe.llm.runs import by_key, groups
 from quiltframe.operators.scratch import store
 from quiltframe.operators.skew import join_by_key
 
@@ -116,53 +117,20 @@ def _possible(n1, at1, n2, at2, percent: int):
         np.minimum(at1, at2) + 1 + np.minimum(n1 - at1 - 1, n2 - at2 - 1) >= need)
 
 
-def _by_key(batches: Iterator[pd.DataFrame], whole: int) -> Iterator[tuple[pd.DataFrame, bool]]:
-    """Batches of key-sorted rows, cut between keys; a key of over `whole` rows comes in parts, marked True."""
-    held: pd.DataFrame | None = None
-    long_key = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(rows):
-            continue
-        last = rows["key"].iloc[-1]
-        cut = int(np.searchsorted(rows["key"].to_numpy(), last))
-        head, held = rows.iloc[:cut], rows.iloc[cut:]
-        if long_key is not None and len(head):
-            mine = head["key"].to_numpy() == long_key
-            if mine.any():
-                yield head[mine], True
-                head = head[~mine]
-        if len(head):
-            yield head, False
-        if long_key is not None and last != long_key:
-            long_key = None
-        if len(held) > whole or long_key == last:
-            long_key = last
-            yield held, True
-            held = held.iloc[:0]
-    if held is not None and len(held):
-        yield held, long_key is not None and held["key"].iloc[0] == long_key
-
-
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return starts, np.diff(np.r_[starts, len(keys)])
-
-
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The entries of lists with several documents."""
-    for rows, part in _by_key(batches, 1 << 20):
-        starts, sizes = _groups(rows["key"].to_numpy())
+    for rows, part in by_key(batches, 1 << 20):
+        starts, sizes = groups(rows["key"].to_numpy())
         yield rows if part else rows[np.repeat(sizes > 1, sizes)]
 
 
 def _centre_pairs(percent: int):
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, centre = None, None
-        for rows, _ in _by_key(batches, 1 << 20):
+        for rows, _ in by_key(batches, 1 << 20):
             keys, ids = rows["key"].to_numpy(), rows["id"].to_numpy()
             n, at = rows["n"].to_numpy(), rows["at"].to_numpy()
-            starts, sizes = _groups(keys)
+            starts, sizes = groups(keys)
             # Rows of a key come by id; the parts of a long key share the first part's centre.
             first = np.stack([ids[starts], n[starts], at[starts]])
             if key is not None and keys[0] == key:
@@ -194,12 +162,12 @@ def _meeting(labels: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) ->
 def _crossing(percent: int):
     """(cell, id, label) of documents with a possible partner of another label in a list."""
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, part in _by_key(batches, LONG_LIST):
+        for rows, part in by_key(batches, LONG_LIST):
             if part:  # a long list: all its documents meet in a cell of their own
                 yield pd.DataFrame({"cell": rows["key"], "id": rows["id"], "label": rows["label"]})
                 continue
             keys, labels = rows["key"].to_numpy(), rows["label"].to_numpy()
-            starts, sizes = _groups(keys)
+            starts, sizes = groups(keys)
             mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
             n, at, ids = rows["n"].to_numpy(), rows["at"].to_numpy(), rows["id"].to_numpy()
             out = []
@@ -319,7 +287,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
     light = scanned.where("part IS NULL").select("id", "n", "mark")
     same = store(light.where("mark IS NOT NULL AND id IS NOT NULL").groupBy("mark").agg(
         F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
-    marked = join_by_key(light.where("mark IS NOT NULL AND id IS NOT NULL"), same, ["mark"], "copies")
+    marked = joinby_key(light.where("mark IS NOT NULL AND id IS NOT NULL"), same, ["mark"], "copies")
     members = store(marked.select("id", "n", "first").unionByName(
         light.where("mark IS NULL OR id IS NULL").select("id", "n", F.lit(None).cast("bigint").alias("first"))))
     firsts = members.where("first IS NOT NULL").select("id", "first").distinct()
@@ -384,7 +352,7 @@ def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
     members, links = join(docs, id, text, **options)
     found = components(links).withColumnRenamed("node", "first")
     sizes = members.where("first IS NOT NULL").groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
-    joined = join_by_key(members.where("first IS NOT NULL"), sizes.join(found, "first", "left"), ["first"], "rows")
+    joined = joinby_key(members.where("first IS NOT NULL"), sizes.join(found, "first", "left"), ["first"], "rows")
     alone = members.where("first IS NULL").withColumn("component", F.col("id"))
     return joined.unionByName(alone).select(
         F.col("id").alias(id), "n_shingles", F.coalesce("component", "first", "id").alias("component_id"))

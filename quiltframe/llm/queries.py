@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltframe.llm import (
-    decontaminate, jaccard_join, language, mixture, order_minhash, quality_model, secret_scan, toxicity, warc,
+    decontaminate, jaccard_join, language, mixture, order_minhash, quality_model, repeats, secret_scan, toxicity, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets_found(_table(spark, folder, "documents"))
 
 
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(_table(spark, folder, "documents"))
 
@@ -59,7 +63,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontaminate, op2_secret_scan, op4_mixture, op5_order_minhash, op6_quality, op7_toxicity, op8_language, op9_jaccard_join, op10_warc)}
+    op1_decontaminate, op2_secret_scan, op3_repeats, op4_mixture, op5_order_minhash, op6_quality, op7_toxicity, op8_language, op9_jaccard_join, op10_warc)}
 
 # Same rows as op10: what is written comes back.
 _WARC = """
