@@ -18,8 +18,9 @@ strings cover are removed. Strings stay within a text.
 4. The union of all occurrences is removed.
 
 Equal surroundings are one suffix. A piece with more than LONG suffixes is not held in
-one task: the strings around its anchors are counted by digest instead, which is the same
-test for every single string. Equal texts in one task are repeats as a whole.
+one task: its suffixes meet by longer pieces, and those of a longer piece that is crowded
+too have every string around them counted by digest, which is the same test for each
+single string. Equal texts in one task are repeats as a whole.
 
 Null texts are empty; texts shorter than `least` bytes have no repeats of their own.
 Repeated rows are repeats of each other. Rows that share an id but not the text are told
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiltframe.functions.cells import col
@@ -170,7 +171,7 @@ def _tree(least: int, gram: int, long: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, part in by_key(batches, long):
             if part:
-                yield rows.assign(start=rows["at"], stop=rows["at"]).drop(columns="key")
+                yield rows.assign(start=-1, stop=-1)
                 continue
             rows = rows.reset_index(drop=True)
             starts, sizes = groups(rows["key"].to_numpy())
@@ -193,7 +194,7 @@ def _tree(least: int, gram: int, long: int):
                     i = chosen[members]
                     out.append((ids[i], marks[i], at[i] - extension, at[i] + prefix))
             yield pd.DataFrame({
-                "id": np.concatenate([o[0] for o in out]), "mark": np.concatenate([o[1] for o in out]), "at": -1,
+                "key": None, "id": np.concatenate([o[0] for o in out]), "mark": np.concatenate([o[1] for o in out]), "at": -1,
                 "left": None, "right": None, "start": np.concatenate([o[2] for o in out]),
                 "stop": np.concatenate([o[3] for o in out])})
     return scan
@@ -203,12 +204,14 @@ def _strings(least: int, gram: int):
     """Digest and place of every string around an anchor."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for id, mark, at, left, right in zip(*(batch[c] for c in ("id", "mark", "at", "left", "right"))):
-                data = bytes(left)[::-1] + bytes(right)
-                out += [(id, mark, at - len(left) + i, _mark(data[i:i + least]))
-                        for i in range(min(len(left) + 1, len(data) - least + 1))]
-            yield pd.DataFrame(out, columns=["id", "mark", "start", "digest"])
+            for part in range(0, len(batch), 500):
+                out = []
+                for id, mark, at, left, right in zip(*(batch[c].iloc[part:part + 500] for c in (
+                        "id", "mark", "at", "left", "right"))):
+                    data = bytes(left)[::-1] + bytes(right)
+                    out += [(id, mark, at - len(left) + i, _mark(data[i:i + least]))
+                            for i in range(min(len(left) + 1, len(data) - least + 1))]
+                yield pd.DataFrame(out, columns=["id", "mark", "start", "digest"]).astype({"id": "Int64"})
     return cut
 
 
@@ -223,20 +226,38 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
     cut = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("id", "text", "keys").mapInPandas(
         _suffixes(least, gram), "key bigint, id bigint, mark binary, at bigint, left binary, right binary")
     # Whole texts have no key; they pass through with the trees' spans.
-    spans = cut.repartition(F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key").mapInPandas(
-        _with_whole(_tree(least, gram, long)),
-        "id bigint, mark binary, at bigint, left binary, right binary, start bigint, stop bigint")
-    spans = store(spans, "repeats")
-    plain = spans.where("left IS NULL").select("id", "mark", "start", "stop")
-    crowd = spans.where("left IS NOT NULL")
+    spans, crowd = _in_trees(cut, least, gram, long)
+    if crowd.isEmpty():
+        return spans
+    # Strings of `least` bytes share half of what stands around the piece, on one side at least:
+    # crowded suffixes meet again by either half. A half that occurs once joins no string.
+    half = (least - gram) // 2
+    halves = F.array(
+        F.when(F.octet_length("right") >= gram + half, F.xxhash64(F.substring("right", 1, gram + half))),
+        F.when(F.octet_length("left") >= half, F.xxhash64(F.lit(1), "key", F.substring("left", 1, half))))
+    halved = crowd.withColumn("half", F.explode(halves)).where("half IS NOT NULL")
+    often = halved.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    again = halved.join(often, "half", "left_semi").drop("key").withColumnRenamed("half", "key")
+    more, crowd = _in_trees(again.select(*cut.columns), least, gram, long)
+    spans = spans.unionByName(more)
     if crowd.isEmpty():
-        return plain
-    strings = crowd.mapInPandas(_strings(least, gram), "id bigint, mark binary, start bigint, digest binary")
-    # The same string of the same place can come from one anchor only.
+        return spans
+    strings = crowd.select("id", "mark", "at", "left", "right").distinct().mapInPandas(
+        _strings(least, gram), "id bigint, mark binary, start bigint, digest binary").distinct()
     twice = strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = strings.join(twice, "digest", "left_semi").select(
         "id", "mark", "start", (F.col("start") + least).alias("stop"))
-    return plain.unionByName(counted)
+    return spans.unionByName(counted)
+
+
+def _in_trees(cut: DataFrame, least: int, gram: int, long: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of repeats, and the suffixes of crowded pieces."""
+    # Whole texts have no key; they pass through with the trees' spans.
+    found = store(cut.repartition(F.coalesce("key", F.xxhash64("id"))).sortWithinPartitions("key").mapInPandas(
+        _with_whole(_tree(least, gram, long)),
+        "key bigint, id bigint, mark binary, at bigint, left binary, right binary, start bigint, stop bigint"), "repeats")
+    return (found.where("key IS NULL").select("id", "mark", "start", "stop"),
+            found.where("key IS NOT NULL").drop("start", "stop"))
 
 
 def _with_whole(scan):
@@ -252,17 +273,32 @@ def _with_whole(scan):
                 yield batch.astype({"key": "int64"})
 
         for out in scan(keyed()):
-            yield out.astype({"id": "Int64"})
+            yield out.astype({"key": "Int64", "id": "Int64"})
         for rows in whole:
-            yield pd.DataFrame({"id": rows["id"].astype("Int64"), "mark": rows["mark"], "at": -1, "left": None,
-                                "right": None, "start": 0, "stop": rows["at"].astype("int64")})
+            yield pd.DataFrame({"key": pd.Series([None] * len(rows), dtype="Int64"),
+                                "id": rows["id"].astype("Int64").to_numpy(), "mark": rows["mark"].to_numpy(), "at": -1, "left": None,
+                                "right": None, "start": 0, "stop": rows["at"].astype("int64").to_numpy()}) \
+                .astype({"id": "Int64"})
     return run
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans with overlapping and touching ones joined."""
+    def step(done, span):
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
+        return F.when((F.size(done) > 0) & (last["stop"] >= span["start"]), F.concat(
+            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(
+            F.concat(done, F.array(span)))
+    return F.aggregate(spans, F.array().cast("array<struct<start:bigint,stop:bigint>>"), step)
+
+
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept: the remaining bytes."""
     spans = repeated_spans(docs, id, text, **options)
-    per_doc = store(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("s")).groupBy("id").agg(
+    # A text's spans, at most a few per anchor, merged to its maximal runs.
+    runs = spans.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"))
+    per_doc = store(runs.select("id", "mark", _merged(F.col("s")).alias("s")).groupBy("id").agg(
         F.collect_list(F.struct("mark", "s")).alias("texts")).withColumnRenamed("id", "span_id"), "spans")
     if per_doc.select(F.coalesce(F.sum(F.aggregate(
             "texts", F.lit(0), lambda n, t: n + F.size(t["s"]))), F.lit(0))).first()[0] <= BROADCAST_SPANS:
