@@ -170,7 +170,12 @@ def _crossing(percent: int):
             starts, sizes = groups(keys)
             mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
             n, at, ids = rows["n"].to_numpy(), rows["at"].to_numpy(), rows["id"].to_numpy()
-            out = []
+            # Lists of two, which most are, all at once.
+            two = starts[mixed & (sizes == 2)]
+            two = two[_possible(n[two], at[two], n[two + 1], at[two + 1], percent)]
+            low = np.minimum(labels[two], labels[two + 1])
+            out = [pd.DataFrame({"cell": low, "id": ids[i], "label": labels[i]}) for i in (two, two + 1) if len(two)]
+            mixed &= sizes > 2
             for s, size in zip(starts[mixed], sizes[mixed]):
                 g = slice(s, s + size)
                 there = _meeting(labels[g], n[g], at[g], percent)
@@ -334,16 +339,22 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
     query_side = placed.where("asks").select(
         "cell", "id", "label", "asks", F.explode(every(blocks)).alias("block"), asked.alias("query_block"))
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "asks"])
-        sides = {asks: [(int(i), int(lab), np.frombuffer(g, dtype=np.uint64)) for i, lab, g in
-                        zip(part["id"], part["label"], part["grams"])] for asks, part in group.groupby("asks")}
-        return pd.DataFrame(search_cell(sides.get(False, []), sides.get(True, []), percent), columns=["a", "b"])
-
-    sides = index_side.unionByName(query_side)
-    far = sides.join(_sets(known, cells.select("id"), width), "id").groupBy("cell", "block", "query_block").applyInPandas(
-        search, "a bigint, b bigint")
-    links = store(near.unionByName(far.where("a IS NOT NULL")), "links")
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, _ in by_key(batches, 1 << 30):  # a key has two blocks at most
+            starts, sizes = groups(rows["key"].to_numpy())
+            every_row = list(zip(rows["asks"].tolist(), rows["id"].tolist(), rows["label"].tolist(), rows["grams"]))
+            out = []
+            for s, size in zip(starts.tolist(), sizes.tolist()):
+                sides = {True: [], False: []}
+                for asks, id, label, grams in every_row[s:s + size]:
+                    sides[asks].append((id, label, np.frombuffer(grams, dtype=np.uint64)))
+                out += search_cell(sides[False], sides[True], percent)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    sides = index_side.unionByName(query_side).withColumn("key", F.xxhash64("cell", "block", "query_block"))
+    far = sides.join(_sets(known, cells.select("id"), width), "id").select("key", "id", "label", "asks", "grams")
+    far = far.repartition("key").sortWithinPartitions("key", "id").mapInPandas(search, "a bigint, b bigint")
+    links = store(near.unionByName(far), "links")
     return members.select("id", F.col("n").alias("n_shingles"), "first"), links
 
 

@@ -17,7 +17,7 @@ strings cover are removed. Strings stay within a text.
    length l + r; all of them are given, each at its own place.
 4. The union of all occurrences is removed.
 
-Equal surroundings are one suffix. A piece with more than LONG suffixes is not held in
+Equal surroundings are one suffix, in the task that cuts them and in the tree. A piece with more than LONG suffixes is not held in
 one task: its suffixes meet by longer pieces, and those of a longer piece that is crowded
 too have every string around them counted by digest, which is the same test for each
 single string. Equal texts in one task are repeats as a whole.
@@ -43,6 +43,8 @@ from quiltframe.operators.scratch import store
 LEAST, GRAM = 200, 56
 LONG = 50_000
 BROADCAST_SPANS = 2_000_000
+MOST_AROUND = 300_000
+OUT = ["key", "id", "mark", "at", "left", "right", "start", "stop"]
 PLACE_BITS = np.uint64(0xFFFFFFFF)
 
 
@@ -82,24 +84,39 @@ def _suffixes(least: int, gram: int):
     """Surroundings of the anchors whose keys are in `keys`, and whole texts met before in the task."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int | None] = {}
-        columns = ["key", "id", "mark", "at", "left", "right"]
+        around: dict[bytes, tuple] = {}
+        columns = ["key", "id", "mark", "at", "left", "right", "start"]
         for batch in batches:
             out = []
+            if len(around) > MOST_AROUND:
+                around.clear()
             for id, text, wanted in zip(batch["id"], batch["text"], batch["keys"]):
                 data = _bytes(text)
                 mark = _mark(data)
                 if mark in seen:
-                    # Key null: the span [0, at) is a repeat, here and at the first copy.
+                    # Key null: the span [start, at) is a repeat, here and at the first copy.
                     for other in {id, seen[mark]} if len(data) >= least else ():
-                        out.append((None, other, mark, len(data), None, None))
+                        out.append((None, other, mark, len(data), None, None, 0))
                     continue
                 seen[mark] = id
                 keys, places = anchors(data, least, gram)
                 met = np.isin(keys, wanted)
-                out += [(key, id, mark, at, data[max(0, at - least + gram):at][::-1], data[at:at + least])
-                        for key, at in zip(keys[met].tolist(), places[met].tolist())]
+                for key, at in zip(keys[met].tolist(), places[met].tolist()):
+                    start, stop = max(0, at - least + gram), min(len(data), at + least)
+                    place = (None, id, mark, stop, None, None, start)
+                    # Surroundings met before in this task go on only once.
+                    digest = hashlib.blake2b(data[start:stop], digest_size=16, salt=(at - start).to_bytes(4)).digest()
+                    first = around.get(digest)
+                    if first is None or stop - start < least:
+                        around[digest] = place
+                        out.append((key, id, mark, at, data[start:at][::-1], data[at:stop], -1))
+                    else:
+                        out.append(place)
+                        if first:
+                            out.append(first)
+                            around[digest] = ()
             frame = pd.DataFrame(out, columns=columns)
-            yield frame.astype({"key": "Int64", "id": "Int64", "at": "Int64"})
+            yield frame.astype({"key": "Int64", "id": "Int64", "at": "Int64", "start": "Int64"})
     return cut
 
 
@@ -171,7 +188,7 @@ def _tree(least: int, gram: int, long: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, part in by_key(batches, long):
             if part:
-                yield rows.assign(start=-1, stop=-1)
+                yield rows.assign(start=-1, stop=-1)[OUT]
                 continue
             rows = rows.reset_index(drop=True)
             starts, sizes = groups(rows["key"].to_numpy())
@@ -224,7 +241,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
     wanted = found.select("id", "key").join(often, "key", "left_semi").groupBy("id").agg(
         F.collect_set("key").alias("keys")).withColumnRenamed("id", "wanted")  # at most the anchors of a text
     cut = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("id", "text", "keys").mapInPandas(
-        _suffixes(least, gram), "key bigint, id bigint, mark binary, at bigint, left binary, right binary")
+        _suffixes(least, gram),
+        "key bigint, id bigint, mark binary, at bigint, left binary, right binary, start bigint")
     # Whole texts have no key; they pass through with the trees' spans.
     spans, crowd = _in_trees(cut, least, gram, long)
     if crowd.isEmpty():
@@ -257,7 +275,7 @@ def _in_trees(cut: DataFrame, least: int, gram: int, long: int) -> tuple[DataFra
         _with_whole(_tree(least, gram, long)),
         "key bigint, id bigint, mark binary, at bigint, left binary, right binary, start bigint, stop bigint"), "repeats")
     return (found.where("key IS NULL").select("id", "mark", "start", "stop"),
-            found.where("key IS NOT NULL").drop("start", "stop"))
+            found.where("key IS NOT NULL").drop("stop"))
 
 
 def _with_whole(scan):
@@ -268,16 +286,16 @@ def _with_whole(scan):
             for batch in batches:
                 copy = batch["key"].isna()
                 if copy.any():
-                    whole.append(batch[copy][["id", "mark", "at"]])
+                    whole.append(batch[copy][["id", "mark", "start", "at"]])
                     batch = batch[~copy]
                 yield batch.astype({"key": "int64"})
 
         for out in scan(keyed()):
             yield out.astype({"key": "Int64", "id": "Int64"})
         for rows in whole:
-            yield pd.DataFrame({"key": pd.Series([None] * len(rows), dtype="Int64"),
+            yield pd.DataFrame({"key": pd.array([None] * len(rows), dtype="Int64"),
                                 "id": rows["id"].astype("Int64").to_numpy(), "mark": rows["mark"].to_numpy(), "at": -1, "left": None,
-                                "right": None, "start": 0, "stop": rows["at"].astype("int64").to_numpy()}) \
+                                "right": None, "start": rows["start"].astype("int64").to_numpy(), "stop": rows["at"].astype("int64").to_numpy()}) \
                 .astype({"id": "Int64"})
     return run
 

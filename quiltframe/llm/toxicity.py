@@ -165,9 +165,12 @@ def judge(model: dict, index: BlockMaxIndex, counts: dict[str, int], neighbours:
 def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
           neighbours: int = NEIGHBOURS, threshold: float = 0.5) -> DataFrame:
     """(id, held_out, score, predicted, evidence) for every row."""
+    # Built once and read once by each worker; bounded by the sample.
+    shared = docs.sparkSession.sparkContext.broadcast((model, index_of(model)))
+
     @F.pandas_udf("score double, evidence string")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index, known = index_of(model), {}
+        (model, index), known = shared.value, {}
         for texts in batches:
             out = []
             for text in texts:
