@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quiltframe.functions.cells import col
 from quiltframe.llm.grams import code_points, gram_vector, is_letter, train_svm
+from quiltframe.llm.sample import among_lowest
 from quiltframe.operators.scratch import store
 
 # Families of ISO 639-1 codes. Other languages are families of their own.
@@ -71,7 +72,11 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
                        (F.lit(True) if learn is None else learn).alias("learn"))
     rows = rows.where(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy("draw")
-    sample = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    low = F.lit(False)
+    for lang_, n in counts:
+        low = F.when(F.col("lang") == lang_, among_lowest(F.col("draw"), per_language, n)).otherwise(low)
+    sample = rows.where(low).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

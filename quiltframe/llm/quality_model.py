@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quiltframe.functions.cells import col
 from quiltframe.llm.grams import code_points, gram_vector, train_logistic
+from quiltframe.llm.sample import among_lowest
 
 SAMPLE = 4000
 ABSTAIN = -1
@@ -112,7 +113,9 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int =
                 "y": [posterior[tuple(v)] for v in batch["votes"]], "draw": batch["draw"]})
 
     draw = F.xxhash64(F.lit(seed), "id", F.sha2("text", 256))
-    chosen = rows.withColumn("draw", draw).orderBy("draw").limit(sample)
+    total = int(sum(n for _, n in counted))
+    chosen = rows.withColumn("draw", draw).where(among_lowest(F.col("draw"), sample, total)).orderBy(
+        "draw").limit(sample)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", "x"])

@@ -59,7 +59,7 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.archive(_table(spark, folder, "pages")).select(*warc.digest_columns())
+    return warc.archive(_table(spark, folder, "pages"), payload=False).select(*warc.digest_columns())
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (

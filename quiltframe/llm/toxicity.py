@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiltframe.functions.cells import col
+from quiltframe.llm.sample import among_lowest
 
 SAMPLE = 20_000
 VOCABULARY = 1000
@@ -98,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     marks = marks.where(~held_out(F.col("label_id")) & F.col("y").isNotNull()).groupBy("label_id").agg(
         F.max("y").alias("y"))
     marks = marks.withColumn("draw", F.xxhash64(F.lit(seed), "label_id"))
-    marks = marks.orderBy("draw").limit(sample)  # bounds the broadcast
+    marks = marks.where(among_lowest(F.col("draw"), sample, labels.count())).orderBy("draw").limit(
+        sample)  # bounds the broadcast
     rows = docs.select(col(id).cast("string").alias("id"), col(text).alias("text")).join(
         F.broadcast(marks), F.col("id") == F.col("label_id"))
 

@@ -98,7 +98,7 @@ def write_warc(found: DataFrame, path: str) -> None:
 
 
 def _unpacked(data: bytes) -> tuple[str, bytes]:
-    """("whole", content), ("open", b"") for a member that goes on, or ("none", b"")."""
+    """("whole", content); without content: "open", a WARC record that goes on, "unsure", too short to tell, or "none"."""
     reader = zlib.decompressobj(31)
     try:
         head = reader.decompress(data, HEADER_BYTES)
@@ -107,7 +107,9 @@ def _unpacked(data: bytes) -> tuple[str, bytes]:
         content = head + reader.decompress(reader.unconsumed_tail)
     except zlib.error:
         return "none", b""
-    return ("whole", content) if reader.eof else ("open", b"")
+    if reader.eof:
+        return "whole", content
+    return ("open" if len(head) >= 5 else "unsure"), b""
 
 
 def _number(name: str | None) -> int | None:
@@ -115,7 +117,7 @@ def _number(name: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def _record(content: bytes) -> tuple | None:
+def _record(content: bytes, payload: bool = True) -> tuple | None:
     """One row of RECORD; None for an empty closing member. Raises if the payload was damaged."""
     if not content:
         return None
@@ -127,45 +129,50 @@ def _record(content: bytes) -> tuple | None:
     if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not match its digest")
     return (_number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI", ""), int(fields["X-Payload-Length"]),
-            digest, kind, _number(fields.get("WARC-Refers-To")), body if kind == "response" else None)
+            digest, kind, _number(fields.get("WARC-Refers-To")), body if payload and kind == "response" else None)
 
 
 class _Joiner:
     """Turns pieces in file order into records; keeps what it cannot place."""
 
-    def __init__(self):
-        self.pending, self.loose, self.begun = b"", [], False
+    def __init__(self, payload: bool, begun: bool = False):
+        self.payload, self.begun = payload, begun
+        self.pending, self.sure, self.loose = b"", False, []
 
     def add(self, piece: bytes) -> tuple | None:
         if self.pending:
             state, content = _unpacked(self.pending + piece)
             if state == "whole":
                 self.pending = b""
-                return _record(content)
-            if state == "open":
-                self.pending += piece
+                return _record(content, self.payload)
+            if state != "none":
+                self.pending, self.sure = self.pending + piece, state == "open"
                 return None
         state, content = _unpacked(piece)
-        if state == "none":
-            if not self.begun:
-                self.loose.append(piece)
+        if not self.begun and state in ("none", "unsure"):
+            self.loose.append(piece)  # may belong to a member of an earlier range
             return None
-        self.begun, self.pending = True, piece if state == "open" else b""
-        return _record(content) if state == "whole" else None
+        self.begun = True
+        self.pending, self.sure = (piece, state == "open") if state in ("open", "unsure") else (b"", False)
+        return _record(content, self.payload) if state == "whole" else None
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under a path, one row each (see RECORD)."""
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of all WARC files under a path, one row each (see RECORD).
+
+    Payloads are always decoded and held against their digests; without `payload` they
+    are not kept.
+    """
     # The separator's bytes are given in a one-byte encoding; values are not decoded.
     pieces = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
-    pieces = pieces.where(F.octet_length(F.col("value").cast("binary")) > 0).select(
+    pieces = pieces.select(
         F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"))
     # Pieces of one range come in order; a task may read several ranges.
     schema = RECORD + ", file string, start bigint, loose array<binary>, pending binary"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, joiner = None, _Joiner()
+        now, joiner = None, _Joiner(payload)
 
         def rest() -> list[tuple]:
             if now is None or not joiner.pending and not joiner.loose:
@@ -177,7 +184,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for piece, file, start in zip(batch["piece"], batch["file"], batch["start"]):
                 if (file, start) != now:
                     out += rest()
-                    now, joiner = (file, start), _Joiner()
+                    now, joiner = (file, start), _Joiner(payload)
                 if (row := joiner.add(MAGIC + bytes(piece))) is not None:
                     out.append((*row, None, None, None, None))
             yield _frame(out)
@@ -189,16 +196,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     names = [c.split()[0] for c in RECORD.split(", ")]
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        joiner, out = _Joiner(), []
+        joiner, out = _Joiner(payload, begun=True), []
         for _, row in group.sort_values("start").iterrows():
             for piece in row["loose"] if row["loose"] is not None else []:
-                if joiner.pending and (found := joiner.add(bytes(piece))) is not None:
+                if (found := joiner.add(bytes(piece))) is not None:
                     out.append((*found, None, None, None, None))
             if row["pending"]:
-                if joiner.pending:
+                if joiner.pending and joiner.sure:
                     raise ValueError(f"a record of {row['file']} is cut off")
+                joiner.pending = b""
                 joiner.add(bytes(row["pending"]))
-        if joiner.pending:
+        if joiner.pending and joiner.sure:
             raise ValueError(f"the last record of {group['file'].iloc[0]} is cut off")
         return _frame(out)
 
@@ -214,12 +222,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype(whole)
 
 
-def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def archive(pages: DataFrame, folder: str | None = None, payload: bool = True) -> DataFrame:
     """Write the pages to a WARC folder (a new one in the scratch folder) and read it back."""
     spark = pages.sparkSession
     path = folder or new_folder(spark, "warc")
     write_warc(records(pages), path)
-    return read_warc(spark, path)
+    return read_warc(spark, path, payload)
 
 
 def digest_columns() -> list[Column]:
