@@ -135,7 +135,6 @@ KEY_PRESETS = {
         "strict": ["patient_id"],
     },
 }
-FINGERPRINT_LENGTH = 1000
 SIMILARITY_THRESHOLD = 0.85
 
 # --- India context --------------------------------------------------------

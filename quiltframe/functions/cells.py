@@ -61,3 +61,13 @@ def present(df: DataFrame, name: str) -> Column:
 def count_if(condition: Column) -> Column:
     """Rows where the condition holds; 0, not NULL, for an empty table."""
     return F.count(F.when(condition, F.lit(1)))
+
+
+def lossless(df: DataFrame, name: str) -> Column:
+    """A column whose text forms differ exactly if its values do: -0.0 is 0.0, an instant its microseconds."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (col(name) + F.lit(0.0).cast(kind)).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col(name)).cast("string")
+    return col(name) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else col(name).cast("string")

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quiltframe.constants import (
-    BOOLEAN_WORDS, FALSE_WORDS, FINGERPRINT_LENGTH, MODEL_FALSE, MODEL_TRUE, TRUE_WORDS,
+    BOOLEAN_WORDS, FALSE_WORDS, MODEL_FALSE, MODEL_TRUE, TRUE_WORDS,
 )
 
 
@@ -61,8 +61,8 @@ def squeeze(value: Column) -> Column:
     return F.regexp_replace(strip(F.lower(value)), f"(?U){SPACE}+", " ")
 
 
-def fingerprint(values: list[Column], length: int | None = FINGERPRINT_LENGTH) -> Column:
-    """Squeezed cells joined by bars; cut at `length` characters, None for all of them."""
+def fingerprint(values: list[Column], length: int | None = None) -> Column:
+    """Squeezed cells joined by bars; whole unless cut at `length` characters."""
     parts = [F.coalesce(squeeze(v.cast("string")), F.lit("")) for v in values]
     whole = F.concat_ws("|", *parts)
     return whole if length is None else F.substring(whole, 1, length)
@@ -91,7 +91,6 @@ def as_number(value: Column) -> Column:
 ISO_TIME = (r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?"
             r"(Z|[+-]\d{2}:\d{2})?)?$")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-LONGEST_TIME = 40
 # Pattern of the text and the datetime format that reads it.
 OTHER_TIMES = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
@@ -108,7 +107,7 @@ def as_time(value: Column) -> Column:
 
 
 def stripped_time(text: Column) -> Column:
-    parsed = F.when((F.length(text) > LONGEST_TIME) | ~text.rlike("[0-9]"), None)
+    parsed = F.when(~text.rlike("^[A-Za-z0-9]"), None)
     parsed = parsed.when(text.rlike(ISO_TIME), text.try_cast("timestamp_ntz"))
     for pattern, layout in OTHER_TIMES:
         parsed = parsed.when(

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiltframe.constants import (
-    FINGERPRINT_LENGTH, KEY_ID_WORDS, KEY_PRESETS, KEY_TIME_WORDS, SIMILARITY_THRESHOLD,
+    KEY_ID_WORDS, KEY_PRESETS, KEY_TIME_WORDS, SIMILARITY_THRESHOLD,
 )
-from quiltframe.functions.cells import col, flat_columns, is_missing, is_text
+from quiltframe.functions.cells import col, flat_columns, is_missing, is_text, lossless
 from quiltframe.functions.text import as_time
 from quiltframe.operators.frequency import distinct_counts, in_column_order, value_counts
 from quiltframe.operators.near import drop_near_duplicates
@@ -157,7 +157,7 @@ def mark_duplicates(df: DataFrame, order_by: list[str], keep: str | bool = "firs
     not compared."""
     names = [c for c in df.columns if c not in order_by]
     at = F.struct(*[col(o) for o in order_by])
-    row = F.struct(*[col(n) for n in names])
+    row = F.struct(*[lossless(df, n).alias(n) for n in names])
     # A digest makes one non-null join key of all compared columns.
     keyed = df.withColumn("_row", F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256))
     kept = F.min(at) if keep == "first" else F.max(at)
@@ -199,7 +199,7 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
                 keep_strategy: str = "latest",
                 similarity_threshold: float = SIMILARITY_THRESHOLD,
                 near_columns: list[str] | None = None, store_steps: bool = False,
-                near_length: int | None = FINGERPRINT_LENGTH) -> DedupRun:
+                near_length: int | None = None) -> DedupRun:
     """Conflicts, exact duplicates, near-duplicates, then one row per key.
 
     Conflicting columns are settled before rows are dropped by key: afterwards

@@ -8,6 +8,7 @@ map task before anything is shuffled.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiltframe.functions.cells import col, flat_columns, is_text, present
 
@@ -25,7 +26,12 @@ def value_counts(df: DataFrame, names: list[str] | None = None, *,
     names = flat_columns(df) if names is None else names
 
     def cell(name: str) -> Column:
-        text = present(df, name).cast("string")
+        value, kind = present(df, name), df.schema[name].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0).cast(kind)  # -0.0 is 0.0
+        if digest_long and isinstance(kind, T.TimestampType):
+            value = F.unix_micros(value)  # clock changes repeat an hour of text
+        text = value.cast("string")
         if label is not None:
             text = label(text)
         if digest_long and is_text(df.schema[name].dataType):

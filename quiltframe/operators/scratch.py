@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir).
 
-    Only where none is configured, as in local tests, a temporary one is made.
+    Only where none is configured and the session is local, as in tests, a temporary
+    one is made: the executors of a cluster would each write to a folder of their own.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quiltframe-")
         context.setCheckpointDir(folder)
     return spark.conf.get("spark.checkpoint.dir", None) or folder

@@ -56,13 +56,13 @@ def histogram(df: DataFrame, name: str, bins: int = HISTOGRAM_BINS) -> DataFrame
         F.coalesce("n", F.lit(0)).alias("n"), "mean")
 
 
-def missing_values(df: DataFrame, limit: int = 10) -> DataFrame:
-    """(column, missing) of the first columns, in table order, that have gaps."""
+def missing_values(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """(column, missing) of the columns with gaps, in table order; the first `limit` if given."""
     rows = [F.struct(F.lit(i).alias("at"), F.lit(n).alias("column"),
                      count_if(is_missing(df, n)).alias("missing"))
             for i, n in enumerate(df.columns)]
-    return (df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-            .where("missing > 0").orderBy("at").limit(limit).select("column", "missing"))
+    found = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).where("missing > 0").orderBy("at")
+    return (found if limit is None else found.limit(limit)).select("column", "missing")
 
 
 def type_counts(df: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def type_counts(df: DataFrame) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, low, high, outliers): rows beyond 1.5 IQR of the quartiles."""
-    names = numeric_columns(df)[:5] if names is None else names
+    names = numeric_columns(df) if names is None else names
     q = {(r["column"], r["p"]): r["value"]
          for r in exact_quantiles(df, names, [0.25, 0.75]).collect()}  # two numbers per column
     rows = []
@@ -94,24 +94,25 @@ def iqr_outliers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def _ranked(df: DataFrame, aggregate, name: str, limit: int) -> DataFrame:
+def _ranked(df: DataFrame, aggregate, name: str, limit: int | None) -> DataFrame:
     rows = [F.struct(F.lit(n).alias("column"), aggregate(present(df, n)).alias(name))
             for n in numeric_columns(df)]
-    return (df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-            .orderBy(F.desc_nulls_last(name), "column").limit(limit))
+    ranked = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).orderBy(
+        F.desc_nulls_last(name), "column")
+    return ranked if limit is None else ranked.limit(limit)
 
 
-def top_deviations(df: DataFrame, limit: int = 10) -> DataFrame:
+def top_deviations(df: DataFrame, limit: int | None = None) -> DataFrame:
     return _ranked(df, F.stddev_samp, "std", limit)
 
 
-def top_variances(df: DataFrame, limit: int = 8) -> DataFrame:
+def top_variances(df: DataFrame, limit: int | None = None) -> DataFrame:
     return _ranked(df, F.var_samp, "variance", limit)
 
 
 def box_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(column, q1, median, q3, mean, std) of the first four numeric columns."""
-    names = numeric_columns(df)[:4] if names is None else names
+    """(column, q1, median, q3, mean, std) of the named, or all numeric, columns."""
+    names = numeric_columns(df) if names is None else names
     moments = df.agg(F.array(*[F.struct(
         F.lit(n).alias("column"), F.avg(present(df, n)).alias("mean"),
         F.stddev_samp(present(df, n)).alias("std")) for n in names]).alias("rows")

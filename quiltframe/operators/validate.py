@@ -56,7 +56,7 @@ def _failures(checks: DataFrame) -> list:
 
 def require_valid(df: DataFrame) -> DataFrame:
     if not df.columns:
-        raise TableError("No columns found in data")
+        raise TableError("the table has no column")
     failed = _failures(check_table(df))
     if failed:
         raise TableError("; ".join(f"{r['check']} {r['column'] or ''}={r['value']}" for r in failed))
@@ -66,17 +66,17 @@ def require_valid(df: DataFrame) -> DataFrame:
 def require_sample(df: DataFrame) -> list[str]:
     """Raise on a sample too small to model; return the columns that are all missing."""
     if df is None or not df.columns:
-        raise TableError("Sample has no columns")
+        raise TableError("a sample needs columns")
     failed = _failures(check_sample(df))
     if any(r["check"] != "filled" for r in failed):
-        raise TableError(f"Sample needs at least {MIN_SAMPLE_ROWS} records")
+        raise TableError(f"a sample of fewer than {MIN_SAMPLE_ROWS} rows cannot be modelled")
     return [r["column"] for r in failed]
 
 
 def check_row_count(n: int) -> None:
     """Requests need at least one row; there is no upper limit."""
     if n is None or n < 1:
-        raise TableError(f"Number of records must be at least 1: {n}")
+        raise TableError(f"cannot make {n} rows")
 
 
 def widen_sample(df: DataFrame) -> DataFrame:

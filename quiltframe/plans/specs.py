@@ -140,7 +140,7 @@ class Sentence:
     def build(self, d, ctx):
         picks = [D.pick(d.next(), K.WORDS) for _ in range(self.words)]
         text = F.concat_ws(" ", *picks)
-        return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1000), F.lit("."))
+        return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, F.lit(2), F.length(text)), F.lit("."))
 
 
 @dataclass(frozen=True)

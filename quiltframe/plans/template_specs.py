@@ -186,8 +186,7 @@ SYSTEM = {
 }
 
 VM = {
-    "timestamp": Derived("timestampadd(MINUTE, cast(-5 * row_id as int), "
-                         "cast('{as_of}' as timestamp_ntz))"),
+    "timestamp": Derived("cast('{as_of}' as timestamp_ntz) - row_id * interval '5' minute"),
     "hostname": Pick(VM_HOSTS),
     "has_issue": Flag(0.15),
     "_cpu": Uniform(10, 60),

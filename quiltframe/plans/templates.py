@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quiltframe.functions.cells import col
 from quiltframe.functions.draws import Draws
 from quiltframe.operators.clean import clean
-from quiltframe.operators.ordered import rolling_mean, running_sum
+from quiltframe.operators.ordered import dense_position, rolling_mean, running_sum
 from quiltframe.operators.validate import check_row_count, require_valid
 from quiltframe.plans.specs import Context, Derived
 from quiltframe.plans.template_specs import TEMPLATES
@@ -41,14 +41,15 @@ def template_columns(template: str) -> list[str]:
 
 
 def make_rows(rows: DataFrame, template: str, *, n: int | None = None, seed: int = 42,
-              as_of: str = AS_OF, columns: list[str] | None = None) -> DataFrame:
+              as_of: str = AS_OF, columns: list[str] | None = None, dense: bool = False) -> DataFrame:
     """Fill a template for the given row ids, keeping `row_id` as first column.
 
     Draws belong to fixed slots of the whole template, so asking for a subset
-    of the columns gives the same values as making all of them.
+    of the columns gives the same values as making all of them. `dense` says that
+    the ids are 0, 1, 2, ... without gaps.
     """
     if template not in TEMPLATES:
-        raise ValueError(f"Unknown data type: {template}")
+        raise ValueError(f"no template is called {template!r}")
     specs = TEMPLATES[template]
     if n is None:
         # Only the time series refers to the number of rows.
@@ -63,9 +64,12 @@ def make_rows(rows: DataFrame, template: str, *, n: int | None = None, seed: int
             made = made.withColumn(name, spec.build(draws, context))
     names = [name for name in specs if not name.startswith("_")]
     if template == "Time Series Data":
-        made = rolling_mean(made, F.col("value"), "row_id",
+        # Row ids need not be dense; windows count rows.
+        made = made.withColumn("_place", F.col("row_id")) if dense else dense_position(
+            made, ["row_id"], name="_place")
+        made = rolling_mean(made, F.col("value"), "_place",
                             {"moving_avg_7d": 7, "moving_avg_30d": 30})
-        made = running_sum(made, F.col("_step"), "row_id", "series_3")
+        made = running_sum(made, F.col("_step"), "_place", "series_3")
         names = ["date", "value", "moving_avg_7d", "moving_avg_30d", "volatility", "anomaly",
                  "series_2", "series_3"]
     wanted = names if columns is None else [name for name in names if name in columns]
@@ -76,13 +80,14 @@ def generate_template(spark: SparkSession, template: str, n: int, *, seed: int =
                       as_of: str = AS_OF, columns: list[str] | None = None,
                       cleaned: bool = False, fill: list[str] = (),
                       partitions: int | None = None) -> DataFrame:
-    """n rows of a template. With `cleaned`, validated and cleaned as well."""
+    """n rows of a template. With `cleaned`, validated and cleaned as well, without dropping any."""
     if not template:
-        raise ValueError("Data type is required")
+        raise ValueError("name a template")
     check_row_count(n)
     made = make_rows(row_source(spark, n, partitions), template, n=n, seed=seed, as_of=as_of,
-                     columns=columns)
+                     columns=columns, dense=True)
     if cleaned:
         require_valid(made)
-        made = clean(made, template, order_by=["row_id"], fill=list(fill))
+        made = clean(made, template, order_by=["row_id"], fill=list(fill), dedup={
+            "remove_exact": False, "remove_near": False, "consistency_check": False, "auto_resolve": False})
     return made.drop("row_id")

@@ -7,9 +7,20 @@ from pyspark.sql import types as T
 from quiltframe.functions.cells import col
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Types are inferred (one extra pass) unless a schema is given."""
-    reader = spark.read.option("header", True)
+# Cells with quotes double them; outer spaces belong to the cell.
+QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Times keep their microseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Types are inferred (one extra pass) unless a schema is given.
+
+    Cells may hold line breaks; a file is then read by one task. Without any, `multi_line`
+    False lets Spark split large files.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, **QUOTING)
     return reader.schema(schema).csv(path) if schema else \
         reader.option("inferSchema", True).csv(path)
 
@@ -26,11 +37,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, **QUOTING, **TIMES).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).options(ignoreNullFields=False, **TIMES).json(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",

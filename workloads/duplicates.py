@@ -42,8 +42,8 @@ def _squeezed(x):
     return f"regexp_replace({strip(f'lower({x})')}, '{SPACE}+', ' ', 'g')"
 
 
-@query(f"""SELECT doc_id, substring({_squeezed('lang')} || '|' || {_squeezed('source')} || '|' ||
-       {_squeezed('text')}, 1, 1000) AS fingerprint FROM documents""")
+@query(f"""SELECT doc_id, {_squeezed('lang')} || '|' || {_squeezed('source')} || '|' ||
+       {_squeezed('text')} AS fingerprint FROM documents""")
 def fingerprints(t):
     return t.documents.select("doc_id", fingerprint(
         [F.col("lang"), F.col("source"), F.col("text")]).alias("fingerprint"))

@@ -16,6 +16,28 @@ def csv_round_trip(t):
     return back.select(*[F.col(f.name).cast(f.dataType) for f in t.orders.schema.fields])
 
 
+@query("SELECT * FROM documents")
+def csv_texts_round_trip(t):
+    """Whole texts with quotes, commas and line breaks."""
+    path = new_folder(t.spark, "csv")
+    files.write_csv(t.documents, path)
+    return files.read_csv(t.spark, path, t.documents.schema)
+
+
+@query("SELECT * FROM events")
+def csv_times_round_trip(t):
+    path = new_folder(t.spark, "csv")
+    files.write_csv(t.events, path)
+    return files.read_csv(t.spark, path, t.events.schema)
+
+
+@query("SELECT * FROM events")
+def json_times_round_trip(t):
+    path = new_folder(t.spark, "json")
+    files.write_json(t.events, path)
+    return files.read_json(t.spark, path, t.events.schema)
+
+
 @query("SELECT * FROM customer")
 def json_round_trip(t):
     path = new_folder(t.spark, "json")
