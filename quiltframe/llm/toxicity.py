@@ -5,7 +5,7 @@ tell the labels apart (likelihood ratio) form the vocabulary; an example is its
 vector over them. Postings are grouped in blocks of neighbouring examples with the largest
 weight a term has in each. A query takes blocks by falling upper bound and stops when no
 further block can hold a nearer example than the `neighbours` found, so the neighbours
-are exact. Votes are weighted by nearness, with the share of toxic documents as prior. A
+are exact. Examples with equal vectors are one neighbour with all their votes. Votes are weighted by nearness, with the share of toxic documents as prior. A
 text without a vocabulary term has no neighbours; its score is the share of toxic ones
 among the examples without a term.
 
@@ -137,8 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     examples = sorted((r.terms, r.id, r.y) for r in rows.select("id", "text", "y").mapInPandas(
         reduced, "id string, y int, terms string").collect())
     empty = [y for t, _, y in examples if not t]
+    # Equal vectors are one entry of the index: terms, first example, examples, toxic ones.
+    entries: dict[str, list] = {}
+    for t, i, y in examples:
+        entry = entries.setdefault(t, [i, 0, 0])
+        entry[1] += 1
+        entry[2] += y
     return {"idf": idf, "prior": k / n, "empty_score": (sum(empty) + k / n) / (len(empty) + 1),
-            "examples": [(t, i, y) for t, i, y in examples if t]}
+            "examples": [(t, *entry) for t, entry in entries.items() if t]}
 
 
 def _parsed(terms: str) -> dict[str, int]:
@@ -146,7 +152,7 @@ def _parsed(terms: str) -> dict[str, int]:
 
 
 def index_of(model: dict) -> BlockMaxIndex:
-    return BlockMaxIndex([unit_vector(_parsed(t), model["idf"]) for t, _, _ in model["examples"]])
+    return BlockMaxIndex([unit_vector(_parsed(t), model["idf"]) for t, *_ in model["examples"]])
 
 
 def judge(model: dict, index: BlockMaxIndex, counts: dict[str, int], neighbours: int = NEIGHBOURS) -> tuple[float, str]:
@@ -155,12 +161,11 @@ def judge(model: dict, index: BlockMaxIndex, counts: dict[str, int], neighbours:
     near = index.nearest(query, neighbours) if query else []
     if not near:
         return model["empty_score"], ""
-    weights = [(1 / (1.05 - s), i) for s, i in near]
-    total = sum(w for w, _ in weights)
-    mean_weight = total / len(weights)
-    prior = PRIOR_WEIGHT * mean_weight
-    value = (sum(w * model["examples"][i][2] for w, i in weights) + prior * model["prior"]) / (total + prior)
-    shown = ", ".join(f"{model['examples'][i][1]}={model['examples'][i][2]} at {s:.3f}" for s, i in near[:3])
+    found = [(s, *model["examples"][i][1:]) for s, i in near]
+    total = sum(n / (1.05 - s) for s, _, n, _ in found)
+    prior = PRIOR_WEIGHT * total / sum(n for _, _, n, _ in found)
+    value = (sum(k / (1.05 - s) for s, _, _, k in found) + prior * model["prior"]) / (total + prior)
+    shown = ", ".join(f"{id}={k}/{n} at {s:.3f}" for s, id, n, k in found[:3])
     return value, f"{' '.join(sorted(query))}; {shown}"
 
 
