@@ -33,6 +33,10 @@ VOCABULARY = 1000
 LEAST_DOCUMENTS, LEAST_RATIO = 5, 20.0
 NEIGHBOURS = 25
 BLOCK = 32
+FIRST_BLOCKS, MOST_BLOCKS = 4, 64  # blocks a query takes per round
+QUERIES = 512                      # queries answered together
+MOST_KNOWN = 100_000               # scores a task remembers between batches
+DIGITS = 10 ** 12                  # cosines are compared with 12 decimals
 PRIOR_WEIGHT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,43 +47,72 @@ def term_counts(text: str | None, vocabulary=None) -> Counter:
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks of neighbours; per term and block its weights and their maximum."""
+    """Unit vectors in blocks of neighbours; per block the weights of its terms and their maxima."""
 
     def __init__(self, vectors: list[dict[str, float]], block: int = BLOCK):
         self.size, self.block = len(vectors), block
-        self.blocks = -(-self.size // block)
-        self.maxima: dict[str, np.ndarray] = {}
-        self.postings: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                lists.setdefault(term, []).append((i, weight))
-        for term, entries in lists.items():
-            at = np.array([i for i, _ in entries])
-            weight = np.array([w for _, w in entries])
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, at // block, weight)
-            self.maxima[term] = top
-            self.postings[term] = (at, weight, np.searchsorted(at, np.arange(self.blocks + 1) * block))
+        self.terms = {t: i for i, t in enumerate(sorted({t for v in vectors for t in v}))}
+        self.maxima = np.zeros((-(-self.size // block), len(self.terms)))
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []  # terms, weights by example and term
+        for b in range(len(self.maxima)):
+            part = vectors[b * block:(b + 1) * block]
+            found = sorted({self.terms[t] for v in part for t in v})
+            column = {t: i for i, t in enumerate(found)}
+            weights = np.zeros((block, len(found)))
+            for i, vector in enumerate(part):
+                for term, weight in vector.items():
+                    weights[i, column[self.terms[term]]] = weight
+            self.maxima[b, found] = weights.max(axis=0, initial=0.0)
+            self.blocks.append((np.array(found, dtype=int), weights))
 
     def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
-        """The k largest positive cosines with their vectors, the lowest numbers on ties."""
-        bound = np.zeros(self.blocks)
-        for term, weight in query.items():
-            bound += weight * self.maxima.get(term, 0.0)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-12 < -best[-1][0]:
-                break
-            total = np.zeros(self.block)
+        return self.nearest_all([query], k)[0]
+
+    def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query the k largest positive cosines with their vectors, the lowest numbers on ties.
+
+        Every query takes its blocks by falling bound, a few more in each round, until no
+        further block can hold a nearer vector; a block serves all queries of a round at once.
+        """
+        if not self.size or not queries:
+            return [[] for _ in queries]
+        matrix = np.zeros((len(queries), len(self.terms)))
+        for i, query in enumerate(queries):
             for term, weight in query.items():
-                if term in self.postings:
-                    at, weights, starts = self.postings[term]
-                    part = slice(starts[b], starts[b + 1])
-                    total[at[part] - b * self.block] += weight * weights[part]
-            found = [(-round(float(total[i]), 12), int(b * self.block + i)) for i in np.flatnonzero(total > 0)]
-            best = sorted(best + found)[:k]
-        return [(-s, i) for s, i in best]
+                if term in self.terms:
+                    matrix[i, self.terms[term]] = weight
+        bound = matrix @ self.maxima.T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, axis=1)
+        # One number orders by cosine, then by falling vector number.
+        numbers = 1 << self.size.bit_length()
+        best = np.full((len(queries), k), -1, dtype=np.int64)
+        open_, at, step = np.arange(len(queries)), 0, FIRST_BLOCKS
+        while at < len(self.blocks):
+            worst = np.maximum(best[open_].min(axis=1) // numbers / DIGITS, 0.0)
+            wanted = bound[open_, at:at + step] > np.maximum(worst - 1e-9, 0.0)[:, None]
+            open_, wanted = open_[wanted[:, 0]], wanted[wanted[:, 0]]
+            if not len(open_):
+                break
+            blocks = np.where(wanted, order[open_, at:at + step], -1)
+            keys = np.full((*blocks.shape, self.block), -1, dtype=np.int64)
+            row, slot = np.nonzero(wanted)
+            chosen = blocks[row, slot]
+            by_block = np.argsort(chosen, kind="stable")
+            starts = np.flatnonzero(np.diff(chosen[by_block], prepend=-1))
+            for pairs in np.split(by_block, starts[1:]):
+                b = chosen[pairs[0]]
+                terms, weights = self.blocks[b]
+                cosine = matrix[np.ix_(open_[row[pairs]], terms)] @ weights.T
+                last_first = numbers - 1 - b * self.block - np.arange(self.block)
+                key = np.rint(cosine * DIGITS).astype(np.int64) * numbers + last_first
+                keys[row[pairs], slot[pairs]] = np.where(cosine > 0, key, -1)
+            merged = np.concatenate([best[open_], keys.reshape(len(open_), -1)], axis=1)
+            best[open_] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+            at, step = at + step, min(2 * step, MOST_BLOCKS)
+        best = -np.sort(-best, axis=1)
+        return [[(int(x) // numbers / DIGITS, numbers - 1 - int(x) % numbers) for x in found if x >= 0]
+                for found in best]
 
 
 def unit_vector(counts: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
@@ -155,10 +188,8 @@ def index_of(model: dict) -> BlockMaxIndex:
     return BlockMaxIndex([unit_vector(_parsed(t), model["idf"]) for t, *_ in model["examples"]])
 
 
-def judge(model: dict, index: BlockMaxIndex, counts: dict[str, int], neighbours: int = NEIGHBOURS) -> tuple[float, str]:
+def judge(model: dict, query: dict[str, float], near: list[tuple[float, int]]) -> tuple[float, str]:
     """Score and evidence: the terms, and the nearest three examples with cosine and label."""
-    query = unit_vector(counts, model["idf"])
-    near = index.nearest(query, neighbours) if query else []
     if not near:
         return model["empty_score"], ""
     found = [(s, *model["examples"][i][1:]) for s, i in near]
@@ -179,15 +210,16 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         (model, index), known = shared.value, {}
         for texts in batches:
-            out = []
-            for text in texts:
-                counts = term_counts(text, model["idf"])
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = judge(model, index, counts, neighbours)
-                out.append(known[key])
+            keys = [tuple(sorted(term_counts(text, model["idf"]).items())) for text in texts]
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            fresh = [k for k in dict.fromkeys(keys) if k not in known]
+            for at in range(0, len(fresh), QUERIES):
+                part = fresh[at:at + QUERIES]
+                vectors = [unit_vector(dict(k), model["idf"]) for k in part]
+                for k, vector, near in zip(part, vectors, index.nearest_all(vectors, neighbours)):
+                    known[k] = judge(model, vector, near)
+            out = [known[k] for k in keys]
             yield pd.DataFrame(out, columns=["score", "evidence"])
 
     rows = docs.select(col(id).alias("id"), judged(col(text)).alias("j"))
