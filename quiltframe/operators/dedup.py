@@ -98,7 +98,7 @@ def resolve_conflicts(df: DataFrame, key: str, conflicts: list[str]) -> DataFram
         best = counts.groupBy(col(key)).agg(
             F.min_by(col(name), rank).alias(f"_mode_{name}"), F.sum("_n").alias("_rows"))
         modes = best if modes is None else modes.join(best.drop("_rows"), key)
-    joined = join_by_key(keyed, modes, [key], "_rows")
+    joined = join_by_key(keyed, store(modes), [key], "_rows", repeated=True)
     settled = joined.withColumns({n: col(f"_mode_{n}") for n in conflicts}).select(
         *[col(c) for c in df.columns])
     return settled.unionByName(df.where(col(key).isNull()))
@@ -162,7 +162,7 @@ def mark_duplicates(df: DataFrame, order_by: list[str], keep: str | bool = "firs
     keyed = df.withColumn("_row", F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256))
     kept = F.min(at) if keep == "first" else F.max(at)
     groups = keyed.groupBy("_row").agg(kept.alias("_kept"), F.count(F.lit(1)).alias("_copies"))
-    joined = join_by_key(keyed, groups.withColumn("_n", F.col("_copies")), ["_row"], "_n")
+    joined = join_by_key(keyed, store(groups).withColumn("_n", F.col("_copies")), ["_row"], "_n")
     flag = F.col("_copies") > 1 if keep is False else at != F.col("_kept")
     return joined.withColumn("is_duplicate", flag).select(
         *[col(c) for c in df.columns], "is_duplicate")

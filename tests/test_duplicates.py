@@ -112,6 +112,19 @@ def test_hot_keys_join_like_any_other(spark, monkeypatch):
     assert {tuple(r) for r in split.collect()} == plain and len(plain) == 3000
 
 
+def test_equal_rows_of_a_hot_key_spread(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("if(id < 2500, 'hot', concat('k', id % 50)) AS k", "1 AS v")
+    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.upper("k"))
+    monkeypatch.setattr(skew, "SMALL_TABLE", 10)
+    found = skew.join_by_key(rows, per_key, ["k"], "n", repeated=True)
+    assert sorted(found.columns) == ["k", "name", "v"]
+    counts = {r.k: (r.name, r["count"]) for r in found.groupBy("k", "name").count().collect()}
+    assert counts == {r.k: (r.name, r.n) for r in per_key.collect()}
+    large = per_key.where("n > 100").selectExpr("k", "bigint(40) AS _parts")
+    shares = skew._dealt(rows, large, ["k"]).where("k = 'hot'").groupBy("_part").agg(F.sum("_copies").alias("n"))
+    assert sorted(r.n for r in shares.collect()) == [62] * 20 + [63] * 20
+
+
 def test_hot_key_conflicts(spark, monkeypatch):
     monkeypatch.setattr(skew, "SMALL_TABLE", 10)
     rows = [(0, "b")] * 500 + [(0, "a")] * 499 + [(i, "z") for i in range(1, 900)]

@@ -48,3 +48,16 @@ def test_quantiles_of_gaps(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (4.0, None)], "a double, b double")
     got = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(df, ["a", "b"], [0.5]).collect()}
     assert got == {("a", 0.5): 2.5, ("b", 0.5): None}
+
+
+@pytest.mark.parametrize("small", [1, 1000])
+def test_quantiles_with_infinities(spark, small):
+    inf = float("inf")
+    tables = {"a": [1.0, inf, inf, inf], "b": [-inf, -inf, 2.0, inf], "c": [-inf, 1.0, 3.0, 4.0], "d": [inf] * 4}
+    df = spark.createDataFrame(list(zip(*tables.values())), ", ".join(f"{n} double" for n in tables))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(df, list(tables), probs, small=small).collect()}
+    assert [got["a", p] for p in probs] == [1.0, inf, inf, inf, inf]
+    assert [got["b", p] for p in probs] == [-inf, -inf, -inf, inf, inf]
+    assert [got["c", p] for p in probs] == [-inf, -inf, 2.0, 3.25, 4.0]
+    assert [got["d", p] for p in probs] == [inf] * 5
