@@ -1,174 +1,235 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting reads at most `sample` labelled documents, the lowest by a seeded hash. Terms that
-tell the labels apart (likelihood ratio) form the vocabulary; an example is its TF-IDF
-vector over them. Postings are grouped in blocks of neighbouring examples with the largest
-weight a term has in each. A query takes blocks by falling upper bound and stops when no
-further block can hold a nearer example than the `neighbours` found, so the neighbours
-are exact. Examples with equal vectors are one neighbour with all their votes. Votes are weighted by nearness, with the share of toxic documents as prior. A
-text without a vocabulary term has no neighbours; its score is the share of toxic ones
+Vectors are over all terms: the document frequency of every term is counted over all
+documents. Terms of one document are not listed, a term that is not listed counts as one of
+those. Fitting reads at most `sample` labelled documents, the lowest by a seeded hash.
+Postings are grouped in blocks of examples with the largest weight a term has in each; a
+block is left out of a query if it can hold no nearer example than the `neighbours` found,
+so the neighbours are exact. Examples with equal vectors are one neighbour with all their
+votes. Votes are weighted by nearness, with the share of toxic documents as prior, and toxic
+ones by the factor that judges the examples best (F1) if none has a vote on itself. A text
+that shares no term with an example has no neighbours; its score is the share of toxic ones
 among the examples without a term.
 
-The index is bounded by the sample and travels with the scoring function; every whole
-text is scored. Null and empty texts have no terms. Labels that are null are not learned,
-several labels of one document count as their maximum. Without examples every score is
-0. Other columns are not read.
+The index is bounded by the sample and travels with the scoring function, as do the listed
+terms, which grow with the vocabulary; every whole text is scored. Null and empty texts have
+no terms. Labels that are null are not learned, several labels of one document count as
+their maximum. Without examples every score is 0. Other columns are not read.
 """
 
+import hashlib
 import math
+import pickle
 import re
+import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltframe.functions.cells import col
 from quiltframe.llm.sample import among_lowest
+from quiltframe.operators.scratch import store
 
 SAMPLE = 20_000
-VOCABULARY = 1000
-LEAST_DOCUMENTS, LEAST_RATIO = 5, 20.0
 NEIGHBOURS = 25
-BLOCK = 32
-FIRST_BLOCKS, MOST_BLOCKS = 4, 64  # blocks a query takes per round
-QUERIES = 512                      # queries answered together
-MOST_KNOWN = 100_000               # scores a task remembers between batches
+BLOCK = 8192
+DENSE = 0.15          # terms of more than this share of the examples are multiplied as a matrix
+QUERIES = 256         # queries answered together
+MOST_KNOWN = 100_000  # scores a task remembers between batches
+MOST_TERMS = 200_000  # terms a task counts before it passes them on
 DIGITS = 10 ** 12                  # cosines are compared with 12 decimals
 PRIOR_WEIGHT = 0.5
+SHOWN = 5             # terms given as evidence
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def term_counts(text: str | None, vocabulary=None) -> Counter:
-    found = WORD.findall((text or "").lower())
-    return Counter(found if vocabulary is None else [w for w in found if w in vocabulary])
+def term_counts(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def _packed(state: tuple) -> bytes:
+    return zlib.compress(pickle.dumps(state, protocol=5), 1)
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks of neighbours; per block the weights of its terms and their maxima."""
-
-    def __init__(self, vectors: list[dict[str, float]], block: int = BLOCK):
-        self.size, self.block = len(vectors), block
-        self.terms = {t: i for i, t in enumerate(sorted({t for v in vectors for t in v}))}
-        self.maxima = np.zeros((-(-self.size // block), len(self.terms)))
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []  # terms, weights by example and term
-        for b in range(len(self.maxima)):
-            part = vectors[b * block:(b + 1) * block]
-            found = sorted({self.terms[t] for v in part for t in v})
-            column = {t: i for i, t in enumerate(found)}
-            weights = np.zeros((block, len(found)))
-            for i, vector in enumerate(part):
-                for term, weight in vector.items():
-                    weights[i, column[self.terms[term]]] = weight
-            self.maxima[b, found] = weights.max(axis=0, initial=0.0)
-            self.blocks.append((np.array(found, dtype=int), weights))
+    """Postings of unit vectors by term, in blocks of vectors with the largest weight of each term."""
+
+    def __init__(self, vectors: Iterable[dict[str, float]], block: int = BLOCK):
+        terms: dict[str, int] = {}
+        numbers, weights, lengths = array("i"), array("d"), array("q")
+        for vector in vectors:
+            numbers.extend([terms.setdefault(t, len(terms)) for t in vector])
+            weights.extend(vector.values())
+            lengths.append(len(vector))
+        self._build(terms, np.array(numbers, dtype=np.int32),
+                    np.array(weights), np.array(lengths, dtype=np.int64), block)
+
+    @classmethod
+    def of_counts(cls, vectors: Iterable[dict[str, int]], idf: dict[str, float], unlisted: float) -> "BlockMaxIndex":
+        """The index of the unit vectors of counted terms; what is pickled are the counts."""
+        terms: dict[str, int] = {}
+        numbers, counts, lengths = array("i"), array("i"), array("q")
+        for vector in vectors:
+            numbers.extend([terms.setdefault(t, len(terms)) for t in vector])
+            counts.extend(vector.values())
+            lengths.append(len(vector))
+        return cls._restored(_packed((list(terms), *(np.array(x) for x in (numbers, counts, lengths)),
+                                      np.array([idf.get(t, unlisted) for t in terms]))))
+
+    @classmethod
+    def _restored(cls, packed: bytes) -> "BlockMaxIndex":
+        terms, numbers, counts, lengths, idf = pickle.loads(zlib.decompress(packed))
+        index = cls.__new__(cls)
+        index.packed = packed
+        weights = (1 + np.log(counts)) * idf[numbers]
+        vector = np.repeat(np.arange(len(lengths)), lengths)
+        weights /= np.sqrt(np.bincount(vector, weights * weights, minlength=len(lengths)))[vector]
+        index._build({t: i for i, t in enumerate(terms)}, numbers, weights, lengths, BLOCK)
+        return index
+
+    def __reduce__(self):
+        return (BlockMaxIndex._restored, (self.packed,))
+
+    def _build(self, terms: dict[str, int], term, weight, lengths, block: int) -> None:
+        self.terms, self.names = terms, list(terms)
+        self.size, self.block = len(lengths), block
+        vector = np.repeat(np.arange(self.size), lengths)
+        self.ends = np.cumsum(lengths)
+        self.vector_terms, self.vector_weights = term, weight
+        frequency = np.bincount(term, minlength=len(self.terms))
+        dense = np.flatnonzero(frequency > DENSE * self.size)
+        self.column = np.full(len(self.terms), -1)
+        self.column[dense] = np.arange(len(dense))
+        self.blocks = [self._block(term, weight, vector, first, min(first + block, self.size))
+                       for first in range(0, self.size, block)]
+
+    def _block(self, term, weight, vector, first: int, last: int) -> tuple:
+        """Largest weights, matrix of the frequent terms, starts, vectors and weights of the others' postings."""
+        mine = slice(*np.searchsorted(vector, [first, last]))
+        term, weight, vector = term[mine], weight[mine], vector[mine] - first
+        largest = np.zeros(len(self.terms))
+        np.maximum.at(largest, term, weight)
+        column = self.column[term]
+        matrix = np.zeros((self.column.max(initial=-1) + 1, last - first))
+        matrix[column[column >= 0], vector[column >= 0]] = weight[column >= 0]
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        starts = np.searchsorted(term[rare], np.arange(len(self.terms) + 1))
+        return largest, matrix, starts, vector[rare].astype(np.intp), weight[rare]
 
     def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
         return self.nearest_all([query], k)[0]
 
     def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[list[tuple[float, int]]]:
-        """For each query the k largest positive cosines with their vectors, the lowest numbers on ties.
-
-        Every query takes its blocks by falling bound, a few more in each round, until no
-        further block can hold a nearer vector; a block serves all queries of a round at once.
-        """
+        """For each query the k largest positive cosines with their vectors, the lowest numbers on ties."""
         if not self.size or not queries:
             return [[] for _ in queries]
-        matrix = np.zeros((len(queries), len(self.terms)))
-        for i, query in enumerate(queries):
-            for term, weight in query.items():
-                if term in self.terms:
-                    matrix[i, self.terms[term]] = weight
-        bound = matrix @ self.maxima.T
-        order = np.argsort(-bound, axis=1, kind="stable")
-        bound = np.take_along_axis(bound, order, axis=1)
+        found = [[(self.terms[t], w) for t, w in q.items() if t in self.terms] for q in queries]
+        terms = [np.array([t for t, _ in f], dtype=np.int64) for f in found]
+        weights = [np.array([w for _, w in f]) for f in found]
+        frequent = np.zeros((len(queries), self.column.max(initial=-1) + 1))
+        for i, (t, w) in enumerate(zip(terms, weights)):
+            column = self.column[t]
+            frequent[i, column[column >= 0]] = w[column >= 0]
+            terms[i], weights[i] = t[column < 0], w[column < 0]
+        bound = np.array([[b[0][t] @ w for b in self.blocks] for t, w in zip(terms, weights)])
+        columns = np.flatnonzero(self.column >= 0)
+        bound += frequent @ np.array([b[0][columns] for b in self.blocks]).T
         # One number orders by cosine, then by falling vector number.
         numbers = 1 << self.size.bit_length()
         best = np.full((len(queries), k), -1, dtype=np.int64)
-        open_, at, step = np.arange(len(queries)), 0, FIRST_BLOCKS
-        while at < len(self.blocks):
-            worst = np.maximum(best[open_].min(axis=1) // numbers / DIGITS, 0.0)
-            wanted = bound[open_, at:at + step] > np.maximum(worst - 1e-9, 0.0)[:, None]
-            open_, wanted = open_[wanted[:, 0]], wanted[wanted[:, 0]]
-            if not len(open_):
-                break
-            blocks = np.where(wanted, order[open_, at:at + step], -1)
-            keys = np.full((*blocks.shape, self.block), -1, dtype=np.int64)
-            row, slot = np.nonzero(wanted)
-            chosen = blocks[row, slot]
-            by_block = np.argsort(chosen, kind="stable")
-            starts = np.flatnonzero(np.diff(chosen[by_block], prepend=-1))
-            for pairs in np.split(by_block, starts[1:]):
-                b = chosen[pairs[0]]
-                terms, weights = self.blocks[b]
-                cosine = matrix[np.ix_(open_[row[pairs]], terms)] @ weights.T
-                last_first = numbers - 1 - b * self.block - np.arange(self.block)
-                key = np.rint(cosine * DIGITS).astype(np.int64) * numbers + last_first
-                keys[row[pairs], slot[pairs]] = np.where(cosine > 0, key, -1)
-            merged = np.concatenate([best[open_], keys.reshape(len(open_), -1)], axis=1)
-            best[open_] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-            at, step = at + step, min(2 * step, MOST_BLOCKS)
-        best = -np.sort(-best, axis=1)
+        for b, (_, matrix, starts, vectors, values) in enumerate(self.blocks):
+            worst = np.maximum(best.min(axis=1) // numbers / DIGITS, 0.0)
+            open_ = np.flatnonzero(bound[:, b] > np.maximum(worst - 1e-9, 0.0))
+            cosines = frequent[open_] @ matrix
+            last_first = numbers - 1 - b * self.block
+            for i, cosine in zip(open_, cosines):
+                spans = [(starts[t], starts[t + 1], w) for t, w in zip(terms[i], weights[i])]
+                if spans:
+                    cosine += np.bincount(
+                        np.concatenate([vectors[x:y] for x, y, _ in spans]),
+                        np.concatenate([values[x:y] * w for x, y, w in spans]), minlength=len(cosine))
+                # Only those that round to the k-th largest or more are compared further.
+                least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
+                near = np.flatnonzero((cosine >= least - 2 / DIGITS) & (cosine > 0))
+                keys = np.rint(cosine[near] * DIGITS).astype(np.int64) * numbers + last_first - near
+                best[i] = np.sort(np.concatenate([best[i], keys]))[-k:]
         return [[(int(x) // numbers / DIGITS, numbers - 1 - int(x) % numbers) for x in found if x >= 0]
-                for found in best]
+                for found in best[:, ::-1]]
+
+    def vector(self, number: int) -> dict[str, float]:
+        mine = slice(self.ends[number - 1] if number else 0, self.ends[number])
+        return {self.names[t]: w for t, w in zip(self.vector_terms[mine].tolist(), self.vector_weights[mine].tolist())}
+
+    def shared(self, query: dict[str, float], vector: int, most: int) -> list[str]:
+        """The terms that add most to the cosine of a query and a vector."""
+        mine = slice(self.ends[vector - 1] if vector else 0, self.ends[vector])
+        its = dict(zip(self.vector_terms[mine].tolist(), self.vector_weights[mine].tolist()))
+        both = [(-w * its[self.terms[t]], t) for t, w in query.items() if self.terms.get(t) in its]
+        return [t for _, t in sorted(both)[:most]]
 
 
-def unit_vector(counts: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
-    weights = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(counts.items()) if t in idf}
+def unit_vector(counts: dict[str, int], idf: dict[str, float], unlisted: float = 0.0) -> dict[str, float]:
+    weights = {t: (1 + math.log(n)) * idf.get(t, unlisted) for t, n in sorted(counts.items())}
     norm = math.sqrt(sum(w * w for w in weights.values()))
-    return {t: w / norm for t, w in weights.items()} if norm else {}
+    return {t: w / norm for t, w in weights.items() if w} if norm else {}
 
 
 def held_out(id: Column, parts: int = 5, part: int = 0) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % parts == part
 
 
+def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
+    """The number of rows, and of rows with each term that more than one row has."""
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for x in batch["text"]:
+                seen.update(set(WORD.findall((x or "").lower())))
+                seen[None] += 1  # one null term per row
+                if len(seen) > MOST_TERMS:
+                    yield pd.DataFrame(seen.items(), columns=["term", "n"])
+                    seen.clear()
+        yield pd.DataFrame(seen.items(), columns=["term", "n"])
+
+    counted = docs.select(col(text).alias("text")).mapInPandas(terms, "term string, n bigint").groupBy("term").agg(
+        F.sum("n").alias("n")).where("n > 1 OR term IS NULL").toArrow()
+    found = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist()))
+    return found.pop(None, 0), found
+
+
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
-          label: str = "toxic", sample: int = SAMPLE, vocabulary: int = VOCABULARY, seed: int = 3) -> dict:
-    """{"idf", "examples", "empty_score", "prior"} from the labelled documents that are not held out."""
+          label: str = "toxic", sample: int = SAMPLE, seed: int = 3,
+          neighbours: int = NEIGHBOURS) -> dict:
+    """{"idf", "unlisted", "examples", "index", "factor", "empty_score", "prior"}; the held-out documents' labels are not read."""
     marks = labels.select(col(id).cast("string").alias("label_id"), col(label).cast("int").alias("y"))
-    marks = marks.where(~held_out(F.col("label_id")) & F.col("y").isNotNull()).groupBy("label_id").agg(
-        F.max("y").alias("y"))
+    marks = store(marks.where(~held_out(F.col("label_id")) & F.col("y").isNotNull()).groupBy("label_id").agg(
+        F.max("y").alias("y")))
     marks = marks.withColumn("draw", F.xxhash64(F.lit(seed), "label_id"))
-    marks = marks.where(among_lowest(F.col("draw"), sample, labels.count())).orderBy("draw").limit(
+    marks = marks.where(among_lowest(F.col("draw"), sample, marks.count())).orderBy("draw").limit(
         sample)  # bounds the broadcast
     rows = docs.select(col(id).cast("string").alias("id"), col(text).alias("text")).join(
         F.broadcast(marks), F.col("id") == F.col("label_id"))
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(t, y) for text, y in zip(batch["text"], batch["y"])
-                                for t in [None, *term_counts(text)]], columns=["term", "y"])
-
-    counted = rows.select("text", "y").mapInPandas(terms, "term string, y int").groupBy("term").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("k"))
-    totals = counted.where("term IS NULL").first()  # one null term per example
-    if totals is None:
-        return {"idf": {}, "examples": [], "empty_score": 0.0, "prior": 0.0}
-    n, k = totals.n, totals.k
-
-    def part(seen, rows_, share):  # seen * ln(seen / expected), 0 for nothing seen
-        return F.when(seen > 0, seen * F.log(seen / (rows_ * F.lit(max(share, 1e-12))))).otherwise(0.0)
-
-    a, m = F.col("k"), F.col("n")
-    ratio = 2 * (part(a, m, k / n) + part(m - a, m, 1 - k / n)
-                 + part(k - a, n - m, k / n) + part(n - m - k + a, n - m, 1 - k / n))
-    kept = counted.where(F.col("term").isNotNull() & (m >= LEAST_DOCUMENTS) & (m < n)).withColumn(
-        "ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(
-        F.col("ratio").desc(), "term").limit(vocabulary).collect()
-    idf = {r.term: math.log(1 + n / r.n) for r in kept}
-
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(i, int(y), " ".join(f"{t}:{c}" for t, c in sorted(term_counts(x, idf).items())))
+            yield pd.DataFrame([(i, int(y), " ".join(f"{t}:{c}" for t, c in sorted(term_counts(x).items())))
                                 for i, x, y in zip(batch["id"], batch["text"], batch["y"])],
                                columns=["id", "y", "terms"])
 
-    # At most `sample` rows of vocabulary terms; neighbours in this order share terms.
-    examples = sorted((r.terms, r.id, r.y) for r in rows.select("id", "text", "y").mapInPandas(
-        reduced, "id string, y int, terms string").collect())
+    # At most `sample` rows; neighbours in this order share terms.
+    examples = rows.select("id", "text", "y").mapInPandas(reduced, "id string, y int, terms string").toArrow()
+    examples = sorted(zip(*(examples[c].to_pylist() for c in ("terms", "id", "y"))))
+    if not examples:
+        return {"idf": {}, "unlisted": 0.0, "examples": [], "index": BlockMaxIndex.of_counts([], {}, 0.0), "factor": 1.0,
+                "empty_score": 0.0, "prior": 0.0}
+    prior = sum(y for *_, y in examples) / len(examples)
+    total, seen = frequencies(docs, text)
     empty = [y for t, _, y in examples if not t]
     # Equal vectors are one entry of the index: terms, first example, examples, toxic ones.
     entries: dict[str, list] = {}
@@ -176,8 +237,12 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         entry = entries.setdefault(t, [i, 0, 0])
         entry[1] += 1
         entry[2] += y
-    return {"idf": idf, "prior": k / n, "empty_score": (sum(empty) + k / n) / (len(empty) + 1),
-            "examples": [(t, *entry) for t, entry in entries.items() if t]}
+    model = {"idf": {t: math.log(1 + total / n) for t, n in seen.items()}, "unlisted": math.log(1 + total),
+             "prior": prior, "empty_score": (sum(empty) + prior) / (len(empty) + 1),
+             "examples": [(t, *entry) for t, entry in entries.items() if t]}
+    model["index"] = index_of(model)
+    model["factor"] = toxic_factor(docs.sparkSession, model, model["index"], neighbours) if model["examples"] else 1.0
+    return model
 
 
 def _parsed(terms: str) -> dict[str, int]:
@@ -185,40 +250,83 @@ def _parsed(terms: str) -> dict[str, int]:
 
 
 def index_of(model: dict) -> BlockMaxIndex:
-    return BlockMaxIndex([unit_vector(_parsed(t), model["idf"]) for t, *_ in model["examples"]])
+    return BlockMaxIndex.of_counts((_parsed(t) for t, *_ in model["examples"]), model["idf"], model["unlisted"])
 
 
-def judge(model: dict, query: dict[str, float], near: list[tuple[float, int]]) -> tuple[float, str]:
-    """Score and evidence: the terms, and the nearest three examples with cosine and label."""
+def votes(found: list[tuple[float, int, int]], prior: float) -> tuple[float, float]:
+    """Toxic and other votes of neighbours: cosine, examples, toxic ones."""
+    total = sum(n / (1.05 - s) for s, n, _ in found)
+    share = PRIOR_WEIGHT * total / sum(n for _, n, _ in found)
+    toxic = sum(k / (1.05 - s) for s, _, k in found) + share * prior
+    return toxic, total + share - toxic
+
+
+def toxic_factor(spark: SparkSession, model: dict, index: BlockMaxIndex, neighbours: int) -> float:
+    """The weight of toxic votes with the best F1 on the examples, each judged by the others."""
+    held, prior = [(n, k) for _, _, n, k in model["examples"]], model["prior"]
+    shared = spark.sparkContext.broadcast((held, index))
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, index = shared.value
+        for batch in batches:
+            out, mine = [], batch["id"].tolist()
+            for i, near in zip(mine, index.nearest_all([index.vector(i) for i in mine], neighbours + 1)):
+                n, k = held[i]
+                for y, copies in ((1, k), (0, n - k)):
+                    rest = [(s, *((n - 1, k - y) if j == i else held[j])) for s, j in near]
+                    rest = [x for x in rest if x[1]][:neighbours]
+                    if copies and rest:
+                        toxic, other = votes(rest, prior)
+                        out.append((other / toxic if toxic else None, y, copies))
+            yield pd.DataFrame(out, columns=["factor", "y", "copies"])
+
+    tasks = -(-len(held) // QUERIES)
+    found = spark.range(0, len(held), 1, tasks).mapInPandas(judged, "factor double, y int, copies bigint").groupBy(
+        "factor").agg(F.sum(F.col("y") * F.col("copies")).alias("toxic"), F.sum("copies").alias("n")).collect()
+    every, hits, taken, best, factor = sum(r.toxic for r in found), 0, 0, 0.0, 1.0
+    steps = sorted((r.factor, r.toxic, r.n) for r in found if r.factor is not None)
+    for (at, toxic, n), after in zip(steps, [*steps[1:], None]):
+        hits, taken = hits + toxic, taken + n
+        f1 = 2 * hits / (taken + every) if every else 0.0
+        if f1 > best:
+            best, factor = f1, (at + after[0]) / 2 if after else at
+    return factor
+
+
+def judge(model: dict, index: BlockMaxIndex, query: dict[str, float],
+          near: list[tuple[float, int]]) -> tuple[float, str]:
+    """Score and evidence: the terms shared most with the nearest example, and the nearest three with cosine and label."""
     if not near:
         return model["empty_score"], ""
-    found = [(s, *model["examples"][i][1:]) for s, i in near]
-    total = sum(n / (1.05 - s) for s, _, n, _ in found)
-    prior = PRIOR_WEIGHT * total / sum(n for _, _, n, _ in found)
-    value = (sum(k / (1.05 - s) for s, _, _, k in found) + prior * model["prior"]) / (total + prior)
+    found = [(s, *model["votes"][i]) for s, i in near]
+    toxic, other = votes([(s, n, k) for s, _, n, k in found], model["prior"])
+    toxic *= model["factor"]
+    value = toxic / (toxic + other)
     shown = ", ".join(f"{id}={k}/{n} at {s:.3f}" for s, id, n, k in found[:3])
-    return value, f"{' '.join(sorted(query))}; {shown}"
+    return value, f"{' '.join(index.shared(query, near[0][1], SHOWN))}; {shown}"
 
 
 def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
           neighbours: int = NEIGHBOURS, threshold: float = 0.5) -> DataFrame:
     """(id, held_out, score, predicted, evidence) for every row."""
-    # Built once and read once by each worker; bounded by the sample.
-    shared = docs.sparkSession.sparkContext.broadcast((model, index_of(model)))
+    # Built once and read once by each worker; the examples' texts stay behind.
+    entries = [entry for _, *entry in model["examples"]]
+    light = {k: v for k, v in model.items() if k not in ("examples", "index")} | {"votes": entries}
+    shared = docs.sparkSession.sparkContext.broadcast((light, model["index"]))
 
     @F.pandas_udf("score double, evidence string")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         (model, index), known = shared.value, {}
         for texts in batches:
-            keys = [tuple(sorted(term_counts(text, model["idf"]).items())) for text in texts]
+            keys = [hashlib.blake2b((x or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts]
             if len(known) > MOST_KNOWN:
                 known.clear()
-            fresh = [k for k in dict.fromkeys(keys) if k not in known]
+            fresh = [(k, x) for k, x in dict(zip(keys, texts)).items() if k not in known]
             for at in range(0, len(fresh), QUERIES):
                 part = fresh[at:at + QUERIES]
-                vectors = [unit_vector(dict(k), model["idf"]) for k in part]
-                for k, vector, near in zip(part, vectors, index.nearest_all(vectors, neighbours)):
-                    known[k] = judge(model, vector, near)
+                vectors = [unit_vector(term_counts(x), model["idf"], model["unlisted"]) for _, x in part]
+                for (k, _), vector, near in zip(part, vectors, index.nearest_all(vectors, neighbours)):
+                    known[k] = judge(model, index, vector, near)
             out = [known[k] for k in keys]
             yield pd.DataFrame(out, columns=["score", "evidence"])
 

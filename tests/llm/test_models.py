@@ -114,3 +114,35 @@ def test_toxicity_without_labels(docs, spark):
     labels = spark.createDataFrame([(1, None)], "doc_id bigint, toxic int")
     rows = toxicity.score(docs.limit(5), toxicity.train(docs, labels)).collect()
     assert [r.score for r in rows] == [0.0] * 5
+
+
+def test_toxicity_neighbours_over_all_terms(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"v{'abcdefghij'[rng.randint(0, 9)]}{'abcdefghij'[rng.randint(0, 9)]}" for _ in range(rng.randint(1, 25)))
+             for _ in range(80)] + [f"lone{c}" for c in "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    marks = [(i, i % 3 // 2 if i < 60 else None) for i in range(80)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    # The draw is as large as there are labels to learn, whatever else the table holds.
+    nulls = spark.createDataFrame([(10000 + i, None) for i in range(5000)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels.union(nulls))
+    out = {r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    learned = {int(i): k for _, i, n, k in model["examples"]}
+    assert sum(n for _, _, n, _ in model["examples"]) == len([i for i, y in marks if y is not None and i not in out])
+    counts = [toxicity.term_counts(t) for t in texts]
+    idf = {t: math.log(1 + len(texts) / sum(t in c for c in counts)) for c in counts for t in c}
+
+    def vector(c):
+        weights = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        return {t: w / norm for t, w in weights.items()}
+
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    near = 0
+    for i in sorted(out - {80, 81, 82}):
+        mine = vector(counts[i])
+        best = max(sum(w * vector(counts[j]).get(t, 0.0) for t, w in mine.items()) for j in learned)
+        near += best > 0
+        shown = found[i].evidence.rsplit("; ", 1)[-1].split(", ")[0]
+        assert (f"at {best:.3f}" in shown) == (best > 0)
+    assert near > 5 and found[80].evidence == "" == found[81].evidence
