@@ -4,9 +4,9 @@ Texts are lower-cased words. A mask selects some positions of a window and ignor
 others, so a window that differs only in ignored positions has the same seed. The seeds of
 all document windows meet the seeds of the benchmark; a hit fixes an alignment of a
 document and an item. Around it all words are compared: of the item laid on the document
-the stretch with the highest score counts (a match 1, a substitution -`penalty`). It is
-an overlap if it has `least` words at least, or the whole item if that is shorter, and if
-`identity` of them match. Items shorter than every mask's window are sought whole by a
+every stretch is an overlap that has `least` words at least, or the whole item if that is
+shorter, of which `identity` match, and that lies in no longer such stretch. It may begin
+and end with substituted words. Items shorter than every mask's window are sought whole by a
 mask of their length.
 
 Documents are cut into blocks of windows, so a long text is many rows. The seed table is
@@ -27,7 +27,8 @@ from quiltframe.operators.scratch import store
 
 # 1 is compared, 0 ignored. Six compared words rarely meet by chance.
 MASKS = ("11101011", "1100110011", "110100100011")
-LEAST, IDENTITY, PENALTY = 10, 0.8, 2
+LEAST, IDENTITY = 10, 0.8
+UNIT = 1_000_000  # identity is compared with six decimals
 BLOCK = 512
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_DOCS = 200_000
@@ -82,32 +83,44 @@ def alignments(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], id: st
     return found.join(known, "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
-def _stretch(pairs: Column, penalty: int) -> Column:
-    """The highest-scoring stretch of an array of booleans: (from, to, matched), to exclusive."""
-    zero = F.lit(0)
-    start = F.struct(*[zero.alias(n) for n in (
-        "at", "run", "run_from", "run_hits", "best", "best_from", "best_to", "best_hits")])
+def _lows(pairs: Column, cost: int) -> Column:
+    """Places whose prefix sum (UNIT a match, -cost a word) is below all before: array of (at, sum), from 0."""
+    zero = F.lit(0).cast("bigint")
+    first = F.struct(zero.alias("at"), zero.alias("sum"))
+    start = F.struct(zero.alias("at"), zero.alias("sum"), zero.alias("low"), F.array(first).alias("lows"))
 
     def step(s, same):
-        gain = F.when(same, 1).otherwise(-penalty)
-        fresh = s["run"] <= 0
-        run = F.when(fresh, gain).otherwise(s["run"] + gain)
-        begin = F.when(fresh, s["at"]).otherwise(s["run_from"])
-        hits = F.when(fresh, zero).otherwise(s["run_hits"]) + same.cast("int")
-        better = run > s["best"]
-        return F.struct(
-            (s["at"] + 1).alias("at"), run.alias("run"), begin.alias("run_from"), hits.alias("run_hits"),
-            F.greatest(run, s["best"]).alias("best"),
-            F.when(better, begin).otherwise(s["best_from"]).alias("best_from"),
-            F.when(better, s["at"] + 1).otherwise(s["best_to"]).alias("best_to"),
-            F.when(better, hits).otherwise(s["best_hits"]).alias("best_hits"))
-
-    return F.aggregate(pairs, start, step)
+        at, total = s["at"] + 1, s["sum"] + F.when(same, UNIT - cost).otherwise(-cost)
+        here = F.array(F.struct(at.alias("at"), total.alias("sum")))
+        return F.struct(at.alias("at"), total.alias("sum"), F.least(s["low"], total).alias("low"),
+                        F.when(total < s["low"], F.concat(s["lows"], here)).otherwise(s["lows"]).alias("lows"))
+
+    return F.aggregate(pairs, start, step, lambda s: s["lows"])
+
+
+def _stretches(pairs: Column, least: Column, identity: float) -> Column:
+    """The maximal stretches of an array of booleans with `least` elements, `identity` of them true: (from, to, matched)."""
+    cost, size = round(identity * UNIT), F.size(pairs)
+    total = F.size(F.filter(pairs, lambda p: p)).cast("bigint") * UNIT - F.lit(cost).cast("bigint") * size
+    # A maximal stretch starts at a low of the sums from the left and ends at one of those from the right.
+    ends = _lows(F.reverse(pairs), cost)
+
+    def widest(low):
+        end = F.filter(ends, lambda e: e["sum"] <= total - low["sum"])[0]
+        length = size - end["at"] - low["at"]
+        gain = total - low["sum"] - end["sum"]
+        return F.struct(low["at"].alias("from"), (size - end["at"]).alias("to"),
+                        ((gain + cost * length) / UNIT).cast("bigint").alias("matched"))
+
+    spans = F.filter(F.transform(_lows(pairs, cost), widest), lambda s: s["to"] - s["from"] >= least)
+    # Of those with one end the first is the widest; ends never fall.
+    return F.filter(F.transform(spans, lambda s, i: F.when(
+        (i == 0) | (F.get(spans, i - 1)["to"] < s["to"]), s)), lambda s: s.isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",
              item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
-             least: int = LEAST, identity: float = IDENTITY, penalty: int = PENALTY) -> DataFrame:
+             least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """(id, item_id, start, end, matched): verified overlaps, in words of the document, end exclusive."""
     items = _items(benchmark, item_id, item_text)
     masks = _masks_for(items, masks)
@@ -133,13 +146,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
         "id", "item_id", "n", first.alias("first"),
         F.zip_with(F.slice("words", first + 1, length), F.slice("item_words", skip + 1, length),
                    lambda a, b: a == b).alias("same"))
-    best = laid.select("id", "item_id", "n", "first", _stretch(F.col("same"), penalty).alias("s"))
-    words = F.col("s.best_to") - F.col("s.best_from")
-    return best.where((words >= F.least(F.lit(least), F.col("n"))) & (F.col("s.best_hits") >= identity * words)) \
-        .select(F.col("id").alias(id), F.col("item_id").alias("item_id"),
-                (F.col("first") + F.col("s.best_from")).cast("bigint").alias("start"),
-                (F.col("first") + F.col("s.best_to")).cast("bigint").alias("end"),
-                F.col("s.best_hits").cast("bigint").alias("matched")).distinct()
+    needed = F.least(F.lit(least), F.col("n"))
+    laid = laid.where(F.size(F.filter("same", lambda p: p)) >= F.ceil(F.round(identity * needed, 6)))
+    found = laid.select("id", "item_id", "first", F.explode(_stretches(F.col("same"), needed, identity)).alias("s"))
+    return found.select(
+        F.col("id").alias(id), F.col("item_id").alias("item_id"),
+        (F.col("first") + F.col("s.from")).cast("bigint").alias("start"),
+        (F.col("first") + F.col("s.to")).cast("bigint").alias("end"), F.col("s.matched").alias("matched")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:

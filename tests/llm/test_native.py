@@ -102,3 +102,32 @@ def test_few_rows(spark):
     assert O.edited_pairs(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(None, "a b"), (4, "c d"), (4, "c d"), (4, "e f")], "doc_id bigint, text string")
     assert O.edited_pairs(twice).count() == 4
+
+
+def brute_stretches(same, least):
+    spans = [(i, j, sum(same[i:j])) for i in range(len(same)) for j in range(i + least, len(same) + 1)
+             if 10 * sum(same[i:j]) >= 8 * (j - i)]
+    return sorted(s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans))
+
+
+def test_every_maximal_stretch(spark):
+    rng = random.Random(3)
+    rows = [([rng.random() < share for _ in range(rng.randint(1, 60))], rng.choice([3, 10]))
+            for share in (0.2, 0.6, 0.75, 0.8, 0.9, 1.0) for _ in range(40)]
+    table = spark.createDataFrame(rows, "same array<boolean>, least int")
+    found = table.select("same", "least", D._stretches(F.col("same"), F.col("least"), 0.8).alias("s")).collect()
+    for r in found:
+        assert sorted(map(tuple, r.s)) == brute_stretches(r.same, r.least)
+
+
+def test_exact_words_beside_light_matches(spark):
+    item = [f"w{i}" for i in range(300)]
+    light = [f"x{i}" if i % 4 == 3 else w for i, w in enumerate(item[32:232])]
+    two = item[:20] + [f"y{i}" for i in range(15)] + item[35:47]
+    docs = spark.createDataFrame([(1, " ".join(item[:30] + ["a", "b"] + light)), (2, " ".join(two))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    found = D.overlaps(docs, bench).collect()
+    assert any(r.doc_id == 1 and r.start == 0 and r.end >= 30 for r in found)
+    spans = [(r.start, r.end) for r in found if r.doc_id == 2]
+    assert any(a == 0 and b >= 20 for a, b in spans) and any(a <= 35 and b == 47 for a, b in spans)
+    assert D.decontaminate(docs, bench).count() == 0
