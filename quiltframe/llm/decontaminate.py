@@ -6,8 +6,8 @@ all document windows meet the seeds of the benchmark; a hit fixes an alignment o
 document and an item. Around it all words are compared: of the item laid on the document
 every stretch is an overlap that has `least` words at least, or the whole item if that is
 shorter, of which `identity` match, and that lies in no longer such stretch. It may begin
-and end with substituted words. Items shorter than every mask's window are sought whole by a
-mask of their length.
+and end with substituted words. Short items, of which few windows hold, have masks of their
+own, which leave out every set of words that may be substituted.
 
 Documents are cut into blocks of windows, so a long text is many rows. The seed table is
 broadcast if it has at most BROADCAST_SEEDS rows, otherwise joined by shuffle, where Spark
@@ -19,6 +19,8 @@ overlaps. Rows with one document id are searched each for itself but are not tol
 the result. Repeated items count once. Other columns are not read.
 """
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,15 @@ def _words(text: Column) -> Column:
 
 def _seeds(rows: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
     """The named columns, `at` and `seed` of all windows of the word hashes in column `words`."""
+    # The mask is part of the seed, so that seeds of different masks do not meet.
     # Plain expressions between explodes: one compiled loop, the array is never copied.
     places = rows.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
 
-    def seed(number: int, mask: str) -> Column:
+    def seed(mask: str) -> Column:
         return F.when(F.col("at") + len(mask) <= F.size("words"), F.xxhash64(
-            F.lit(number), *[F.get("words", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]))
+            F.lit(mask), *[F.get("words", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]))
 
-    seeds = F.array(*[seed(i, m) for i, m in enumerate(masks)])
+    seeds = F.array(*map(seed, masks))
     return places.select(*keep, "at", F.explode(seeds).alias("seed")).where(F.col("seed").isNotNull())
 
 
@@ -60,11 +63,27 @@ def _items(benchmark: DataFrame, id: str, text: str) -> DataFrame:
         F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("n"))
 
 
-def _masks_for(items: DataFrame, masks: tuple[str, ...]) -> tuple[str, ...]:
-    """The masks, and one without gaps for every item length below the shortest window."""
-    shortest = min(map(len, masks))
-    lengths = items.where(F.col("n") < shortest).select("n").distinct().collect()  # fewer than the window
-    return (*masks, *sorted("1" * r.n for r in lengths))
+def _covering(width: int, most: int) -> list[str]:
+    """Masks of one width: whichever `most` of its words differ, one mask ignores them all."""
+    parts = min(width, 2 * most + 1)
+    ends = [width * i // parts for i in range(parts + 1)]
+    return ["".join("01"[i not in left_out] * (ends[i + 1] - ends[i]) for i in range(parts))
+            for left_out in itertools.combinations(range(parts), most)]
+
+
+def _masks_for(items: DataFrame, masks: tuple[str, ...], least: int, identity: float) -> tuple[str, ...]:
+    """The masks, and those that find every overlap of the short items.
+
+    An overlap of an item under `least` words is the whole item. One of a longer item holds a
+    window of `least` words with no more substitutions than itself; the item is short if these
+    are no more than `least` words may have.
+    """
+    def allowed(words: int) -> int:
+        return int(round(words * (1 - identity), 6))
+
+    lengths = [r.n for r in items.where(F.col("n") <= F.lit(4 * least)).select("n").distinct().collect()]  # few
+    short = {min(n, least) for n in lengths if n < least or allowed(n) == allowed(least)}
+    return tuple(dict.fromkeys([*masks, *(m for n in sorted(short) for m in _covering(n, allowed(n)))]))
 
 
 def alignments(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], id: str = "doc_id",
@@ -123,7 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
              least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """(id, item_id, start, end, matched): verified overlaps, in words of the document, end exclusive."""
     items = _items(benchmark, item_id, item_text)
-    masks = _masks_for(items, masks)
+    masks = _masks_for(items, masks, least, identity)
     hits = alignments(docs, items, masks, id, text)
     # One row per document with a hit; its alignments are at most its words times the items'.
     per_doc = hits.groupBy("id").agg(F.collect_set(F.struct("item", "shift")).alias("hits")) \

@@ -1,6 +1,7 @@
 """Decontamination and Order MinHash against plain Python."""
 
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -131,3 +132,17 @@ def test_exact_words_beside_light_matches(spark):
     spans = [(r.start, r.end) for r in found if r.doc_id == 2]
     assert any(a == 0 and b >= 20 for a, b in spans) and any(a <= 35 and b == 47 for a, b in spans)
     assert D.decontaminate(docs, bench).count() == 0
+
+
+def test_substitutions_at_all_places_of_short_items(spark):
+    items = {n: [f"i{n}w{i}" for i in range(n)] for n in range(1, 15)}
+    texts, wanted = [], set()
+    for n, item in items.items():
+        for places in [(), *itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]:
+            same = [i not in places for i in range(n)]
+            if brute_stretches(same, min(10, n)):
+                wanted.add(len(texts))
+            texts.append(" ".join(["before"] * 5 + [w if s else "changed" for w, s in zip(item, same)] + ["after"] * 3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id bigint, text string")
+    assert {r.doc_id for r in D.overlaps(docs, bench).select("doc_id").collect()} == wanted
