@@ -4,7 +4,10 @@ Sizes are word counts. The targets share `share` of all words by weight and stop
 times their source's words; what is cut is shared again by weight. A source takes all its
 documents as often as fits wholly; the rest of its budget is a subset sum over document
 counts by exact size: the same share of every size first, long documents next, and
-bounded-knapsack dynamic programming on what remains. Which documents of one size are
+bounded-knapsack dynamic programming on what remains, to the sum nearest to the budget from
+either side. The share and the long documents stay fixed there, so the fit is the best for what
+remains, not always for all; if it is not exact, one document longer than what remains is also
+tried with the others fitted anew. Which documents of one size are
 taken is a seeded hash order.
 
 Only counts by (source, size) reach the fitting, one source a group. Nothing grows with a
@@ -33,8 +36,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size come nearest to the budget from below."""
+def fit_nearest(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each size come near to the budget, from below or above."""
+    def error(taken):
+        return abs(budget - sum(s * t for s, t in zip(sizes, taken)))
+
+    best = fit_counts(sizes, counts, budget, above=True)
+    if budget <= 0 or not error(best):
+        return best
+    low = fit_counts(sizes, counts, budget)
+    left = error(low)
+    longer = [i for i, s in enumerate(sizes) if s > left and counts[i] > low[i]]
+    tried = [best, low]
+    if longer:
+        # One document longer than what remains, and the others for the rest of the budget.
+        first = min(longer, key=lambda i: sizes[i])
+        fewer = [c - (i == first) for i, c in enumerate(counts)]
+        rest = fit_counts(sizes, fewer, budget - sizes[first], above=True)
+        tried.append([t + (i == first) for i, t in enumerate(rest)])
+    return min(tried, key=error)
+
+
+def fit_counts(sizes: list[int], counts: list[int], budget: int, above: bool = False) -> list[int]:
+    """How many documents of each size come nearest to the budget from below, or from either side."""
     total = sum(s * c for s, c in zip(sizes, counts))
     if budget <= 0 or total == 0:
         return [0] * len(sizes)
@@ -48,11 +72,13 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
             more = min(counts[i] - taken[i], spare // sizes[i])
             taken[i] += more
             left -= more * sizes[i]
-    # Reachable sums up to `left`, as bits; every step is one bundle of equal sizes.
+    # Reachable sums, as bits; every step is one bundle of equal sizes. Above 2 * left none is nearest.
+    over = above and left <= 4 * EXACT_WORDS
     left = min(left, 4 * EXACT_WORDS)
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+    most = 2 * left if over else left
+    mask, reach, steps = (1 << (most + 1)) - 1, 1, []
     for i in order:
-        spare = min(counts[i] - taken[i], left // sizes[i]) if sizes[i] else 0
+        spare = min(counts[i] - taken[i], most // sizes[i]) if sizes[i] else 0
         bundle = 1
         while spare and not reach >> left & 1:
             bundle = min(bundle, spare)
@@ -60,7 +86,11 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
             reach |= reach << (bundle * sizes[i]) & mask
             spare -= bundle
             bundle *= 2
-    goal = reach.bit_length() - 1
+    goal = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    higher = reach >> (left + 1)
+    if higher:
+        next_ = left + (higher & -higher).bit_length()
+        goal = next_ if next_ - left < left - goal else goal
     for i, bundle, before in reversed(steps):
         if not before >> goal & 1:
             taken[i] += bundle
@@ -104,8 +134,8 @@ def plan(sized: DataFrame, seed: int = 7, **options) -> DataFrame:
         size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         base = int(target // size) if size else 0
         group = group.sort_values("size")
-        more = fit_counts([int(x) for x in group["size"]], [int(x) for x in group["n"]],
-                          round(target - base * size))
+        more = fit_nearest([int(x) for x in group["size"]], [int(x) for x in group["n"]],
+                           round(target - base * size))
         return group.assign(base=base, more=more)
 
     named = sources.withColumnRenamed("source", "named")

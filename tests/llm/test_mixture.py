@@ -86,3 +86,32 @@ def test_shuffled_plans(docs, monkeypatch):
 def test_empty(docs):
     assert M.mix(docs.limit(0)).count() == 0
     assert [r.taken for r in M.mix(docs.where("source = 'zero'")).collect()] == [0]
+
+
+def test_nearest_from_either_side():
+    assert M.fit_nearest([1000, 20000], [3, 1], 18400) == [0, 1]
+    assert M.fit_nearest([5000], [1], 4900) == [1] and M.fit_nearest([5000], [1], 2400) == [0]
+    assert M.fit_nearest([10 ** 6, 10 ** 9], [1000, 1], 9 * 10 ** 8 + 5) == [900, 0]
+    assert M.fit_nearest([3, 10 ** 9], [10, 1], 9 * 10 ** 8) == [0, 1]
+    rng = random.Random(2)
+    for _ in range(300):
+        sizes = rng.sample(range(0, 40), rng.randint(1, 6))
+        counts = [rng.randint(1, 4) for _ in sizes]
+        total = sum(s * c for s, c in zip(sizes, counts))
+        budget = rng.randint(0, total + 5)
+        taken = M.fit_nearest(sizes, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        # At least as near as the best sum on what the fixed share leaves.
+        first = [c * min(budget, total) // max(1, total) if s else 0 for s, c in zip(sizes, counts)]
+        sums = {sum(s * f for s, f in zip(sizes, first))}
+        for s, c, f in zip(sizes, counts, first):
+            sums = {x + k * s for x in sums for k in range(c - f + 1)}
+        error = abs(budget - sum(s * t for s, t in zip(sizes, taken)))
+        assert error <= min(abs(budget - x) for x in sums)
+
+
+def test_a_long_document_just_over_its_target_is_taken(spark):
+    rows = [(1, "w " * 1000, "a"), (2, "w " * 1000, "a"), (3, "w " * 1000, "a"), (4, "w " * 20000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = M.mix(docs, share=1.8).collect()
+    assert sum(r.taken for r in found) == 43000 and {round(r.target) for r in found} == {41400}
