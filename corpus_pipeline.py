@@ -10,6 +10,8 @@ from quiltframe.operators.scratch import store
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, whose language is undetermined."""
     model = language.train(docs)
+    if not model["nodes"][""]:  # nothing could be learned, which says nothing about the texts
+        return docs.where(F.col("text").rlike("\\p{L}"))
     found = language.identify(docs, model, keep=tuple(docs.columns))
     return found.where(F.col("lang_pred") != language.UNKNOWN).select("kept.*")
 
@@ -42,7 +44,7 @@ STAGES = [
     ("secrets", without_secrets),
     ("mixture", mixed),
 ]
-# The stages fit models, which SQL cannot express; tests/llm checks each by brute force.
+# The stages fit models, which SQL cannot express; tests/llm checks the operators one by one.
 ORACLE_SQL = None
 
 
