@@ -17,7 +17,7 @@ import numpy as np
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 # Fixed value: how the byte-level scheme of A cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -43,7 +43,7 @@ from quiltframe.operators.scratch import store
 RANGE = 32_768        # bytes of a text that one task aligns at once
 FAN = 8               # neighbouring fragments composed by one call
 PACKET = 2_000_000    # distinct (document, pair) links gathered in one packet
-BATCH = 2_000_000     # characters aligned at once inside a task
+BATCH = 1_000_000     # characters aligned at once inside a task
 
 NONE = np.zeros(0, np.int64)
 
@@ -148,8 +148,8 @@ def _unpacked(data: bytes, count: int) -> np.ndarray:
 class Packer:
     """Gathers documents; gives a packet whenever enough links have come together."""
 
-    def __init__(self, sign: int):
-        self.sign, self.made = sign, 0
+    def __init__(self, sign: int, most: int):
+        self.sign, self.most, self.made = sign, most, 0
         self._clear()
 
     def _clear(self) -> None:
@@ -162,8 +162,8 @@ class Packer:
         self.times.append(times)
         self.links += len(pairs)
 
-    def packet(self, least: int = 1) -> Iterator[pd.DataFrame]:
-        if len(self.docs) < least or (least > 1 and self.links < PACKET):
+    def packet(self) -> Iterator[pd.DataFrame]:
+        if not self.docs:
             return
         pairs, codes, holds = np.unique(np.concatenate(self.pairs or [NONE]), return_inverse=True, return_counts=True)
         ends = np.cumsum([d[3] for d in self.docs])
@@ -182,7 +182,7 @@ class Packer:
         self._clear()
 
     def full(self) -> Iterator[pd.DataFrame]:
-        if self.links >= PACKET or len(self.docs) >= PACKET // 10:
+        if self.links >= self.most or len(self.docs) >= self.most // 10:
             yield from self.packet()
 
 
@@ -190,10 +190,10 @@ def _ids(values: pd.Series) -> list[int | None]:
     return [None if pd.isna(x) else int(x) for x in values]
 
 
-def _short_packets(folder: str):
+def _short_packets(folder: str, most: int):
     """Documents of one range each: encode, align, pack."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, packer = encoders.load(folder), Packer(1)
+        enc, packer = encoders.load(folder), Packer(1, most)
         for batch in batches:
             ids, texts = _ids(batch["doc_id"]), [t if isinstance(t, str) else "" for t in batch["text"]]
             reach = np.cumsum([len(t) for t in texts]) // BATCH
@@ -282,7 +282,7 @@ _OPEN = [f"{side}_{part}" for side in ("prefix", "suffix") for part in ("a", "en
 FRAGMENT_ROW = ("doc long, doc_id long, at long, sound boolean, closes boolean, edge long, "
                 + ", ".join(f"{n} array<long>" for n in _OPEN)
                 + ", sizes array<long>, written binary, pairs array<long>, times array<long>")
-WINDOW_ROW = "doc long, doc_id long, at long, low long, high long, start long, final boolean, text string"
+WINDOW_ROW = "doc long, doc_id long, at long, low long, high long, start long, text string"
 
 
 def _allowed(data: bytes, at: int) -> bool:
@@ -319,18 +319,18 @@ def _cut_behind(data: bytes, at: int) -> int:
     return len(data)
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _windows(size: int):
     """The ranges of every text with the words around their edges."""
-    for batch in batches:
-        for doc, doc_id, text in zip(batch["doc"], _ids(batch["doc_id"]), batch["text"]):
-            data = b" " + text.encode()
-            for at, low in enumerate(range(0, len(data), RANGE)):
-                high = min(low + RANGE, len(data))
-                start, stop = _cut_before(data, low), _cut_behind(data, high)
-                yield pd.DataFrame([(doc, doc_id, at, low, high, start, high == len(data),
-                                     data[start + 1:stop].decode())],
-                                   columns=["doc", "doc_id", "at", "low", "high", "start", "final", "text"]
-                                   ).astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, doc_id, text in zip(batch["doc"], _ids(batch["doc_id"]), batch["text"]):
+                data = b" " + text.encode()
+                for at, low in enumerate(range(0, len(data), size)):
+                    high = min(low + size, len(data))
+                    start, stop = _cut_before(data, low), _cut_behind(data, high)
+                    yield pd.DataFrame([(doc, doc_id, at, low, high, start, data[start + 1:stop].decode())],
+                                       columns=[c.split()[0] for c in WINDOW_ROW.split(", ")]).astype({"doc_id": "Int64"})
+    return run
 
 
 def _open_row(doc, doc_id, at: int, part: Fragment, sound: bool) -> dict:
@@ -401,58 +401,62 @@ def _composed(folder: str, root: bool):
     return run
 
 
-def _reduced(parts: DataFrame, folder: str) -> DataFrame:
+def _reduced(parts: DataFrame, folder: str, fan: int) -> DataFrame:
     """The closed groups of all texts, after a tree of compositions; unsound texts keep an open row."""
     parts = store(parts, "fragments")
     closed = parts.where("closes is null")
     opened = parts.where("closes is not null")
     most = opened.agg(F.max("at")).first()[0]
     while most is not None:
-        root = most < FAN
-        step = opened.withColumn("_run", F.floor(F.col("at") / FAN).cast("long")).groupBy("doc", "_run")
-        above = store(step.applyInPandas(_composed(folder, root), FRAGMENT_ROW), "fragments")
+        root = most < fan
+        step = opened.withColumn("_run", F.floor(F.col("at") / fan).cast("long"))
+        # A fixed number of tasks: rows are few bytes, and composing them costs far more than moving them.
+        step = step.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "_run")
+        above = store(step.groupBy("doc", "_run").applyInPandas(_composed(folder, root), FRAGMENT_ROW), "fragments")
         closed = closed.unionByName(above.where("closes is null"))
         opened = above.where("closes is not null")
         if root:
             return closed.unionByName(opened)
-        most //= FAN
+        most //= fan
     return closed
 
 
-def _long_packets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _long_packets(most: int):
     """Closed groups sorted by (text, offset): fold each text, then pack it."""
-    packer, now, state = Packer(-1), None, None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer, now, state = Packer(-1, most), None, None
 
-    def finish():
-        digest, sizes, doc_id, pairs, times, sound = state
-        keys, sums = _summed(pairs, times)
-        if sound:
-            packer.add(doc_id, sizes.tolist(), digest.hexdigest(), keys, sums)
-        else:
-            packer.add(doc_id, [0, 0, 0, 0], "", NONE, NONE)
+        def finish():
+            digest, sizes, doc_id, pairs, times, sound = state
+            keys, sums = _summed(pairs, times)
+            if sound:
+                packer.add(doc_id, sizes.tolist(), digest.hexdigest(), keys, sums)
+            else:
+                packer.add(doc_id, [0, 0, 0, 0], "", NONE, NONE)
 
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.doc != now:
-                if now is not None:
-                    finish()
-                    yield from packer.full()
-                doc_id = None if pd.isna(row.doc_id) else int(row.doc_id)
-                now, state = row.doc, [hashlib.sha256(), np.zeros(4, np.int64), doc_id, NONE, NONE, True]
-            if not row.sound or row.written is None:
-                state[5] = False
-                continue
-            if state[1].any():
-                state[0].update(b";")
-            state[0].update(row.written)
-            state[1] += np.asarray(row.sizes, np.int64)
-            state[3] = np.concatenate([state[3], np.asarray(row.pairs, np.int64)])
-            state[4] = np.concatenate([state[4], np.asarray(row.times, np.int64)])
-            if len(state[3]) > PACKET:
-                state[3], state[4] = _summed(state[3], state[4])
-    if now is not None:
-        finish()
-    yield from packer.packet()
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.doc != now:
+                    if now is not None:
+                        finish()
+                        yield from packer.full()
+                    doc_id = None if pd.isna(row.doc_id) else int(row.doc_id)
+                    now, state = row.doc, [hashlib.sha256(), np.zeros(4, np.int64), doc_id, NONE, NONE, True]
+                if not row.sound or row.written is None:
+                    state[5] = False
+                    continue
+                if state[1].any():
+                    state[0].update(b";")
+                state[0].update(row.written)
+                state[1] += np.asarray(row.sizes, np.int64)
+                state[3] = np.concatenate([state[3], np.asarray(row.pairs, np.int64)])
+                state[4] = np.concatenate([state[4], np.asarray(row.times, np.int64)])
+                if len(state[3]) > most:
+                    state[3], state[4] = _summed(state[3], state[4])
+        if now is not None:
+            finish()
+        yield from packer.packet()
+    return run
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -503,21 +507,27 @@ def pair_counts(packets: DataFrame, width: int) -> DataFrame:
     return totals.withColumn("best", F.col("total") == F.max("total").over(of_a))
 
 
-def packets_of(docs: DataFrame, folder: str = encoders.FOLDER) -> DataFrame:
+def packets_of(docs: DataFrame, folder: str = encoders.FOLDER, size: int = RANGE, fan: int = FAN,
+               most: int = PACKET) -> DataFrame:
     """The aligned documents in packets, in the shared folder."""
     rows = docs.select("doc_id", "text")
-    long = F.octet_length("text") >= RANGE  # with the space before it, over one range
-    short = rows.where(F.col("text").isNull() | ~long).mapInPandas(_short_packets(folder), PACKET_ROW)
-    windows = rows.where(long).withColumn("doc", F.monotonically_increasing_id()).mapInPandas(_windows, WINDOW_ROW)
+    long = F.octet_length("text") >= size  # with the space before it, over one range
+    short = rows.where(F.col("text").isNull() | ~long).mapInPandas(_short_packets(folder, most), PACKET_ROW)
+    windows = rows.where(long).withColumn("doc", F.monotonically_increasing_id()).mapInPandas(_windows(size), WINDOW_ROW)
     parts = windows.repartition("doc", "at").mapInPandas(_fragments(folder), FRAGMENT_ROW)
-    closed = _reduced(parts, folder).select("doc", "doc_id", "at", "sound", "sizes", "written", "pairs", "times")
-    folded = closed.repartition("doc").sortWithinPartitions("doc", "at").mapInPandas(_long_packets, PACKET_ROW)
+    closed = _reduced(parts, folder, fan).select("doc", "doc_id", "at", "sound", "sizes", "written", "pairs", "times")
+    folded = closed.repartition("doc").sortWithinPartitions("doc", "at").mapInPandas(_long_packets(most), PACKET_ROW)
     return store(short.unionByName(folded), "packets")
 
 
-def align(docs: DataFrame, folder: str = encoders.FOLDER) -> DataFrame:
-    """One row per document: tokens, groups, links, and how common the linked id pairs are."""
-    packets = packets_of(docs, folder)
+def align(docs: DataFrame, folder: str = encoders.FOLDER, size: int = RANGE, fan: int = FAN,
+          most: int = PACKET) -> DataFrame:
+    """One row per document: tokens, groups, links, and how common the linked id pairs are.
+
+    `size`, `fan` and `most` are the bytes of a range, the fragments composed at once and the links of
+    a packet; results do not depend on them.
+    """
+    packets = packets_of(docs, folder, size, fan, most)
     width = encoders.load(folder).b.get_piece_size()
     asked = packets.select(F.col("packet").alias("asked_by"), F.explode("pairs").alias("pair"))
     answers = asked.join(pair_counts(packets, width), "pair")
