@@ -199,7 +199,7 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
                 keep_strategy: str = "latest",
                 similarity_threshold: float = SIMILARITY_THRESHOLD,
                 near_columns: list[str] | None = None, store_steps: bool = False,
-                near_length: int | None = None) -> DedupRun:
+                near_length: int | None = None, near_unit: str = "character") -> DedupRun:
     """Conflicts, exact duplicates, near-duplicates, then one row per key.
 
     Conflicting columns are settled before rows are dropped by key: afterwards
@@ -208,7 +208,8 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
     result of each step in the scratch folder, so that neither the next step nor
     the report computes it again; the input of the near-duplicate step, which
     reads it twice, is always kept. `near_length` is the number of characters
-    that step compares, None for whole rows.
+    that step compares, None for whole rows; `near_unit` is what it counts edits in
+    ("character", or "word" for prose).
     """
     named = key_patterns([c for c in df.columns if c not in (order_by or [])], data_type)
     keys = named.strict_columns
@@ -230,7 +231,7 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
         columns = near_columns or named.unique_columns or [
             c for c in flat_columns(run.df) if c not in (order_by or [])]
         step("near_duplicates", drop_near_duplicates(
-            run.df, columns, order_by, similarity_threshold, near_length))
+            run.df, columns, order_by, similarity_threshold, near_length, near_unit))
     if auto_resolve and keep_strategy == "most_complete":
         step("auto_resolve", keep_most_complete(run.df, keys, order_by))
     elif auto_resolve and keep_strategy == "latest" and named.timestamp_columns:

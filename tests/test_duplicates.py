@@ -1,25 +1,40 @@
 import random
 import re
-from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quiltframe.functions import similarity as S
 from quiltframe.functions.similarity import matching_ratio
 from quiltframe.operators import dedup as D
 from quiltframe.operators import near as N
 from quiltframe.operators import skew
 
 
-def greedy(rows, threshold=0.85):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def alike(a, b, threshold=0.85):
+    longer = max(len(a), len(b))
+    allowed = int(longer * round(1 - threshold, 9) + 1e-9)
+    return abs(len(a) - len(b)) <= allowed and distance(a, b) <= allowed
+
+
+def greedy(rows, threshold=0.85, unit="character"):
     """Walk rows (order, gaps, text) as the definition says; order -> leader, survivors."""
     leaders, best, out = [], {}, {}
     for at, gaps, text in rows:
-        hit = next((l for l, t in leaders
-                    if (SequenceMatcher(None, text, t).ratio() if text and t else float(text == t))
-                    >= threshold), None)
+        units = (text.split(" ") if text else []) if unit == "word" else text
+        hit = next((l for l, t in leaders if alike(units, t, threshold)), None)
         if hit is None:
-            leaders.append((at, text))
+            leaders.append((at, units))
             hit = at
             best[at] = (gaps, at)
         elif gaps < best[hit][0]:
@@ -49,18 +64,76 @@ def fixture_rows():
     return [(i, t, extra) for i, (t, extra) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("hubs", [1, 4])
-def test_near_duplicates_equal_the_greedy_walk(spark, monkeypatch, hubs):
+@pytest.mark.parametrize("hubs, unit", [(1, "character"), (4, "character"), (1, "word"), (4, "word")])
+def test_near_duplicates_equal_the_greedy_walk(spark, monkeypatch, hubs, unit):
     monkeypatch.setattr(N, "FIRST_HUBS", hubs)
     rows = fixture_rows()
-    want, survivors = greedy([(i, int(e is None), squeezed(t)) for i, t, e in rows])
+    want, survivors = greedy([(i, int(e is None), squeezed(t)) for i, t, e in rows], unit=unit)
     df = spark.createDataFrame(rows, "id long, text string, extra string")
-    got = {r["id"]: r["leader"] for r in N.near_duplicate_groups(df, ["text"], "id").collect()}
+    got = {r["id"]: r["leader"] for r in N.near_duplicate_groups(df, ["text"], "id", unit=unit).collect()}
     assert got == want
-    kept = N.drop_near_duplicates(df, ["text"], ["id"])
+    kept = N.drop_near_duplicates(df, ["text"], ["id"], unit=unit)
     assert {r["id"] for r in kept.collect()} == survivors
 
 
+def scattered(unit, every, seed):
+    """Texts whose n-th copy has every `every`-th unit changed, shifted: no long run is left whole."""
+    rng, rows = random.Random(seed), []
+    for _ in range(8):
+        base = [rng.choice("abcdefghijklmnop") if unit == "character" else f"w{rng.randrange(400)}"
+                for _ in range(rng.choice([20, 47, 150]))]
+        for shift in (None, 0, 3, every - 1):
+            units = list(base)
+            for i in range(shift, len(units), every) if shift is not None else []:
+                kind = rng.randrange(3)
+                units[i] = "z" if kind == 0 else units[i] + ("" if unit == "character" else " ") + "y" if kind == 1 else ""
+            rows.append(("" if unit == "character" else " ").join(u for u in units if u))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("unit, every", [("character", 7), ("character", 12), ("word", 7), ("word", 8)])
+def test_scattered_edits_lose_no_pair(spark, unit, every):
+    rows = scattered(unit, every, 9)
+    want, _ = greedy([(i, 0, t) for i, t in rows], unit=unit)
+    assert len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: r["leader"] for r in N.near_duplicate_groups(df, ["text"], "id", unit=unit).collect()}
+    assert got == want
+
+
+def test_the_first_leader_wins_although_decided_later(spark):
+    """Row 3 leaves for row 2 at once; row 1, which it resembles too, becomes a leader by then as well."""
+    rows = [(0, "aaaaaaaaaaaaaaaaaaaa"), (1, "aaaaaaaaaaaaaaaabbbb"), (2, "aaaaaaaaaaaaabbbbbbb"), (3, "aaaaaaaaaaaaaabbbbbb")]
+    want, _ = greedy([(i, 0, t) for i, t in rows])
+    got = {r["id"]: r["leader"] for r in N.near_duplicate_groups(
+        spark.createDataFrame(rows, "id long, text string"), ["text"], "id").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("threshold", [0.65, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0])
+def test_similar_texts_share_a_key_whatever_their_lengths(threshold):
+    width, e = S.gram_width(threshold), round(1 - threshold, 9)
+    for longer in range(1, 400):
+        most = S.edits_allowed(longer, threshold)
+        for n in range(longer - most, longer + 1) if most else []:
+            shared = longer - width + 1 - width * most
+            left = max(1, int(np.ceil(n * (1 - width * e) - (width - 1 + 1e-9))))
+            assert shared >= left, (longer, n)
+    with pytest.raises(ValueError):
+        S.gram_width(0.3)
+
+
+def test_edit_distance_within_a_band():
+    rng = random.Random(1)
+    for _ in range(400):
+        a = [rng.randrange(3) for _ in range(rng.randrange(14))]
+        b = [rng.randrange(3) for _ in range(rng.randrange(14))]
+        most = rng.randrange(8)
+        want = distance(a, b)
+        assert S.edit_distance(np.array(a, int), np.array(b, int), most) == (want if want <= most else None), (a, b, most)
+
+
 def test_near_duplicates_without_order_column(spark):
     df = spark.createDataFrame([("north river maple grove", None), ("north river maple grovx", 1.0),
                                 ("piano", 2.0)], "text string, v double")
