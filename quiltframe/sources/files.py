@@ -14,11 +14,11 @@ TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZForm
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool = False) -> DataFrame:
     """CSV with a header. Types are inferred (one extra pass) unless a schema is given.
 
-    Cells may hold line breaks; a file is then read by one task. Without any, `multi_line`
-    False lets Spark split large files.
+    Large files are split between tasks at line ends. Where cells hold line breaks ask for
+    `multi_line`: a file then is one task's work (`write_csv` with `rows_per_file` bounds it).
     """
     reader = spark.read.options(header=True, multiLine=multi_line, **QUOTING)
     return reader.schema(schema).csv(path) if schema else \
@@ -36,8 +36,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(header=True, **QUOTING, **TIMES).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 0) -> None:
+    """`rows_per_file` bounds the part files (0: one per task), so that even multi-line ones are read in parallel."""
+    df.write.mode(mode).options(header=True, maxRecordsPerFile=rows_per_file, **QUOTING, **TIMES).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -15,6 +15,29 @@ def test_csv_types_are_inferred(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
+def test_one_csv_file_is_read_by_several_tasks(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("n,s\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(60_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "131072")
+    try:
+        table = files.read_csv(spark, str(path))
+        whole = files.read_csv(spark, str(path), multi_line=True)
+        assert table.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        for df in (table, whole):
+            assert df.selectExpr("count(*)", "sum(n)", "count_if(s = concat('x, \"', n, '\"'))").first() == (
+                60_000, 60_000 * 59_999 // 2, 60_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_rows_per_file(spark, tmp_path):
+    files.write_csv(spark.range(100).selectExpr("id", "concat('a\n', id) AS s").coalesce(1), str(tmp_path / "c"), rows_per_file=30)
+    assert len(list((tmp_path / "c").glob("part-*"))) == 4
+    back = files.read_csv(spark, str(tmp_path / "c"), "id long, s string", multi_line=True)
+    assert back.where("s = concat('a\n', id)").count() == 100
+
+
 def test_json_arrays_and_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"a": 1, "b": None}, {"a": 2, "b": "x"}], indent=2))
     array = files.read_json(spark, str(tmp_path / "a.json"), array=True)

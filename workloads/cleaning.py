@@ -8,6 +8,7 @@ from quiltframe.operators import clean as C
 from quiltframe.operators import validate as V
 from quiltframe.operators.fit import NumericModel
 from workloads.base import query, r, rounded
+from workloads.neartext import first_sql, kept_sql
 from workloads.sqltext import strip
 
 INF = "'Infinity'::DOUBLE"
@@ -181,6 +182,21 @@ def clean_table(t):
     return C.clean(orders, dedup={"remove_near": False})
 
 
+GAPPED_DOCUMENTS = """(SELECT doc_id, text, nullif(lang, 'fr') AS lang, source,
+    CASE WHEN doc_id % 10 <> 0 THEN n_chars::DOUBLE END AS n_chars FROM documents)"""
+
+
+@query(f"""{kept_sql(first_sql(GAPPED_DOCUMENTS))}
+       SELECT doc_id, nullif({strip('text')}, '') AS text, coalesce(lang, {_mode('lang', 'kept')}) AS lang, source,
+         coalesce(n_chars, (SELECT quantile_cont(n_chars, 0.5) FROM kept)) AS n_chars FROM kept""")
+def clean_documents(t):
+    """The whole cleaning run with its near-duplicate step."""
+    documents = t.documents.select(
+        "doc_id", "text", F.nullif("lang", F.lit("fr")).alias("lang"), "source",
+        F.when(F.col("doc_id") % 10 != 0, F.col("n_chars").cast("double")).alias("n_chars"))
+    return C.clean(documents, order_by=["doc_id"], dedup={"near_columns": ["text"], "near_unit": "word"})
+
+
 CATALOG = {"1-URGENT": "Patient name", "2-HIGH": "Order_ID", "3-MEDIUM": "salary band",
            "4-NOT SPECIFIED": "notes", "5-LOW": "Policy no"}
 CATALOG_CASE = " ".join(f"WHEN '{k}' THEN '{v.lower()}'" for k, v in CATALOG.items())

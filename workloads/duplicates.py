@@ -7,7 +7,7 @@ from quiltframe.functions.text import fingerprint
 from quiltframe.operators import dedup as D
 from quiltframe.operators import near as N
 from workloads.base import query, r, rounded
-from workloads.sqltext import SPACE, strip
+from workloads.neartext import first_sql, kept_sql, near_sql, squeezed
 
 KEYED = ["o_custkey", "o_orderstatus", "o_orderpriority"]
 KEYS = ", ".join(KEYED)
@@ -38,12 +38,8 @@ def last_row_per_key_with_nulls(t):
     return D.drop_exact(rows, ["status"], ["o_orderkey"])
 
 
-def _squeezed(x):
-    return f"regexp_replace({strip(f'lower({x})')}, '{SPACE}+', ' ', 'g')"
-
-
-@query(f"""SELECT doc_id, {_squeezed('lang')} || '|' || {_squeezed('source')} || '|' ||
-       {_squeezed('text')} AS fingerprint FROM documents""")
+@query(f"""SELECT doc_id, {squeezed('lang')} || '|' || {squeezed('source')} || '|' ||
+       {squeezed('text')} AS fingerprint FROM documents""")
 def fingerprints(t):
     return t.documents.select("doc_id", fingerprint(
         [F.col("lang"), F.col("source"), F.col("text")]).alias("fingerprint"))
@@ -59,55 +55,12 @@ def matching_ratios(t):
                                           fingerprint([F.col("said")], None)).alias("ratio"))
 
 
-def _near_sql(source):
-    """CTEs ending in `led(id, t, leader)`: the leader of every distinct text of `source`.
-
-    Texts that share too few numbered three-word runs cannot be similar; the others' word
-    distance comes from its recurrence, row by row in the band around the diagonal, and
-    the leaders from a walk over the rows in order.
-    """
-    allowed = "floor({} * 0.15e0 + 1e-9)::BIGINT"
-    return f"""WITH RECURSIVE fp AS (SELECT *, coalesce({_squeezed('text')}, '') AS t FROM {source}),
-    d AS (SELECT min(doc_id) AS id, t FROM fp GROUP BY t),
-    w AS MATERIALIZED (SELECT id, string_split(t, ' ') AS w, len(string_split(t, ' ')) AS n FROM d WHERE t <> ''),
-    g AS MATERIALIZED (SELECT id, n, g, row_number() OVER (PARTITION BY id, g) AS k FROM (SELECT id, n, unnest(
-        [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, n - 1)]) AS g FROM w WHERE n >= 3)),
-    p AS MATERIALIZED (SELECT a.id AS hub, b.id AS id, a.n AS n, b.n AS m, {allowed.format('greatest(a.n, b.n)')} AS most,
-        row_number() OVER () AS p FROM g a JOIN g b ON a.g = b.g AND a.k = b.k AND a.id < b.id
-        GROUP BY a.id, b.id, a.n, b.n
-        HAVING count(*) >= greatest(a.n, b.n) - 2 - 3 * most AND abs(a.n - b.n) <= most),
-    x AS MATERIALIZED (SELECT p, unnest(range(1, p.n + 1)) AS i, unnest(w) AS word FROM p JOIN w ON w.id = p.hub),
-    y AS MATERIALIZED (SELECT p, unnest(range(1, m + 1)) AS j, unnest(w) AS word FROM p JOIN w ON w.id = p.id),
-    dp AS (SELECT p, 0::BIGINT AS i, unnest(range(0, least(m, most) + 1)) AS j, unnest(range(0, least(m, most) + 1)) AS d FROM p
-      UNION ALL
-      SELECT p, i, j, j + min(s - j) OVER (PARTITION BY p ORDER BY j) AS d FROM (
-        SELECT p, i, j, min(s) AS s FROM (SELECT dp.p, dp.i + 1 AS i, unnest([dp.j, dp.j + 1]) AS j,
-            unnest([dp.d + 1, dp.d + (x.word <> y.word)::BIGINT]) AS s
-          FROM dp JOIN x ON x.p = dp.p AND x.i = dp.i + 1 LEFT JOIN y ON y.p = dp.p AND y.j = dp.j + 1)
-        JOIN p USING (p) WHERE s IS NOT NULL AND j BETWEEN i - most AND least(m, i + most) GROUP BY p, i, j)),
-    edge AS MATERIALIZED (SELECT hub, id FROM dp JOIN p USING (p) WHERE dp.i = p.n AND dp.j = p.m AND d <= most),
-    node AS MATERIALIZED (SELECT id, list(hub) AS hubs, row_number() OVER (ORDER BY id) AS k FROM edge GROUP BY id),
-    walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
-      UNION ALL
-      SELECT node.k, CASE WHEN len([h FOR h IN hubs IF NOT list_contains(gone, h)]) > 0 THEN list_append(gone, id) ELSE gone END
-      FROM walk JOIN node ON node.k = walk.k + 1),
-    gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)),
-    joined AS (SELECT id, min(hub) AS leader FROM edge WHERE id IN (FROM gone) AND hub NOT IN (FROM gone) GROUP BY id),
-    led AS (SELECT d.id, d.t, coalesce(leader, d.id) AS leader FROM d LEFT JOIN joined ON joined.id = d.id)"""
-
-
-def _kept_sql(source):
-    return f"""{_near_sql(source)} SELECT doc_id, text, lang, source, n_chars FROM fp JOIN led USING (t)
-        QUALIFY row_number() OVER (PARTITION BY leader ORDER BY (text IS NULL)::INT + (lang IS NULL)::INT
-          + (source IS NULL)::INT + (n_chars IS NULL)::INT, doc_id) = 1"""
-
-
-@query(f"{_near_sql('documents')} SELECT doc_id, leader FROM fp JOIN led USING (t)")
+@query(f"{near_sql('documents')} SELECT doc_id, leader FROM fp JOIN led USING (t)")
 def near_duplicate_groups(t):
     return N.near_duplicate_groups(t.documents, ["text"], "doc_id", unit="word")
 
 
-@query(_kept_sql("documents"))
+@query(f"{kept_sql('documents')} SELECT * FROM kept")
 def near_duplicates_removed(t):
     return N.drop_near_duplicates(t.documents, ["text"], ["doc_id"], unit="word")
 
@@ -231,11 +184,7 @@ def dedup_report(t):
     return D.deduplicate(sales(t), "sales", order_by=["n"], remove_near=False).report()
 
 
-FIRST_DOCUMENTS = """(SELECT * FROM documents QUALIFY row_number() OVER (
-    PARTITION BY text, lang, source, n_chars ORDER BY doc_id) = 1)"""
-
-
-@query(_kept_sql(FIRST_DOCUMENTS))
+@query(f"{kept_sql(first_sql('documents'))} SELECT * FROM kept")
 def deduplicated_documents(t):
     """The full run with its near-duplicate step, over whole documents."""
     return D.deduplicate(t.documents, order_by=["doc_id"], near_columns=["text"], near_unit="word").df
