@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quiltframe.plans.template_specs import TEMPLATES
-from quiltframe.plans.templates import AS_OF, make_rows, rows_of, spread
+from quiltframe.plans.templates import AS_OF, generate_template, make_rows, rows_of, spread
 from workloads.base import ORACLES, QUERIES, Tables, r, rounded
 from workloads.sqltext import template_sql
 
@@ -91,3 +91,44 @@ ORACLES["template_means"] = (
     f"{r('avg(memory_usage)')} AS memory FROM ("
     + _sql("System Metrics", "(SELECT l_orderkey * 8 + l_linenumber AS k FROM lineitem)", "k")
     + ") GROUP BY hostname")
+
+
+def template_cleaned(spark, folder):
+    """The template pipeline: as many log rows as there are orders, validated, cleaned, gaps filled, none dropped."""
+    return generate_template(spark, "Application Logs", Tables(spark, folder).orders.count(),
+                             cleaned=True, fill=["error_message"])
+
+
+def _cleaned_sql():
+    names = [c for c in TEMPLATES["Application Logs"] if not c.startswith("_") and c != "error_message"]
+    body = _sql("Application Logs", "(SELECT unnest(range((SELECT count(*) FROM orders))) AS k)", "k")
+    return f"""WITH made AS ({body}) SELECT {', '.join(f'"{c}"' for c in names)}, coalesce(error_message,
+        (SELECT error_message FROM made WHERE error_message IS NOT NULL GROUP BY 1
+         ORDER BY count(*) DESC, 1 LIMIT 1)) AS error_message FROM made"""
+
+
+QUERIES["template_cleaned"] = template_cleaned
+ORACLES["template_cleaned"] = _cleaned_sql()
+
+# The reduced tables of the other templates: query, full query, its table, columns.
+REDUCED = [
+    ("template_personal_subset", "template_personal", ["first_name", "last_name", "email", "phone", "city", "age"]),
+    ("template_logs_subset", "template_logs", ["timestamp", "log_level", "service", "message", "status_code"]),
+    ("template_iot_subset", "template_iot", ["timestamp", "temperature", "humidity", "battery_level"]),
+]
+
+
+def _register_reduced(name, whole, columns):
+    template, table, key = next(m[1:] for m in MADE if m[0] == whole)
+    columns = [c for c in TEMPLATES[template] if c in columns]
+
+    def run(spark, folder):
+        return make_rows(spread(rows_of(getattr(Tables(spark, folder), table), key)), template, columns=columns)
+
+    QUERIES[name] = run
+    chosen = ", ".join(f'"{c}"' for c in columns)
+    ORACLES[name] = f"SELECT row_id, {chosen} FROM ({ORACLES[whole]})"
+
+
+for entry in REDUCED:
+    _register_reduced(*entry)
