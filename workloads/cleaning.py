@@ -70,6 +70,43 @@ def fill_median(t):
     return C.fill_median(gapped(t), ["l_tax", "l_quantity", "l_part"])
 
 
+LARGE = """(SELECT l_orderkey, l_linenumber,
+    CASE WHEN l_linenumber <> 7 THEN 9007199254740993 + 2 * (l_orderkey * 1000003 + l_partkey) END AS code,
+    CASE WHEN l_tax > 0 THEN l_extendedprice::DECIMAL(18,2) END AS price,
+    CASE WHEN l_tax > 0 THEN l_partkey::DECIMAL(30,3) * 1000000007 + 0.125::DECIMAL(30,3) END AS wide FROM lineitem)"""
+
+
+def _middle(column):
+    """The mean of the two middle values, without rounding."""
+    one = f"(SELECT {column} FROM {LARGE} WHERE {column} IS NOT NULL ORDER BY 1 LIMIT 1 OFFSET {{}})"
+    n = f"(SELECT count({column}) FROM {LARGE})"
+    return one.format(f"(SELECT ({n} - 1) // 2)"), one.format(f"(SELECT {n} // 2)")
+
+
+@query(f"""WITH m AS (SELECT {_middle('code')[0]} AS a, {_middle('code')[1]} AS b,
+         {_middle('price')[0]} AS c, {_middle('price')[1]} AS d, {_middle('wide')[0]} AS e, {_middle('wide')[1]} AS f)
+       SELECT l_orderkey, l_linenumber, coalesce(code, a + (b - a) // 2) AS code,
+         (coalesce(price, 0) * 1000)::BIGINT + CASE WHEN price IS NULL THEN ((c + d) * 500)::BIGINT ELSE 0 END AS price,
+         (coalesce(wide, 0) * 10000)::DECIMAL(38,0)::VARCHAR AS wide,
+         (wide IS NULL)::INTEGER AS gap
+       FROM {LARGE}, m WHERE wide IS NOT NULL
+       UNION ALL SELECT l_orderkey, l_linenumber, coalesce(code, a + (b - a) // 2), ((c + d) * 500)::BIGINT,
+         ((e + f) * 5000)::DECIMAL(38,0)::VARCHAR, 1 FROM {LARGE}, m WHERE wide IS NULL""")
+def fill_median_exact(t):
+    """Medians of whole numbers above 2^53 and of decimals, each in its own type."""
+    large = t.lineitem.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_linenumber") != 7, F.lit(9007199254740993) + 2 * (
+            F.col("l_orderkey") * 1000003 + F.col("l_partkey"))).alias("code"),
+        F.when(F.col("l_tax") > 0, F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"),
+        F.when(F.col("l_tax") > 0, F.col("l_partkey").cast("decimal(17,3)") * F.lit(1000000007).cast("decimal(10,0)")
+               + F.lit("0.125").cast("decimal(4,3)")).cast("decimal(30,3)").alias("wide"))
+    filled = C.fill_median(large.withColumn("gap", F.col("wide").isNull().cast("int")), ["code", "price", "wide"])
+    return filled.select(
+        "l_orderkey", "l_linenumber", "code", (F.col("price") * 1000).cast("bigint").alias("price"),
+        (F.col("wide") * 10000).cast("decimal(38,0)").cast("string").alias("wide"), "gap")
+
+
 def _mode(column, source):
     return (f"(SELECT {column} FROM {source} WHERE {column} IS NOT NULL GROUP BY 1 "
             f"ORDER BY count(*) DESC, {column} LIMIT 1)")
