@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from quiltframe import constants as K
 from quiltframe.functions.cells import col, present
 from quiltframe.functions.text import as_number, as_time, digits, model_label, strip
+from quiltframe.operators.cross import cross_products
 from quiltframe.operators.frequency import distinct_counts, value_counts
 from quiltframe.operators.lookup import Vocabulary, vocabulary_sizes
 from quiltframe.operators.profile import (
@@ -274,23 +275,29 @@ def _top_prefix(sample: DataFrame, name: str):
     return find
 
 
-PAIRS_PER_PASS = 300
+FEW_PAIRS = 300
 
 
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair, over rows where both are present.
 
-    Up to PAIRS_PER_PASS pairs share one aggregation; more would outgrow the
-    generated code of a single one.
+    NULL where a column does not vary over those rows. Up to FEW_PAIRS pairs share one
+    aggregation of built-in functions; more columns go through one scan that gathers
+    cross products in blocks (`cross_products`).
     """
     x = {n: _number(df, n) for n in names}
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      F.corr(x[a], x[b]).alias("r"))
-             for i, a in enumerate(names) for b in names[i:]]
-    half = None
-    for i in range(0, len(pairs), PAIRS_PER_PASS):
-        part = df.agg(F.array(*pairs[i:i + PAIRS_PER_PASS]).alias("pairs")).select(F.inline("pairs"))
-        half = part if half is None else half.unionByName(part)
+    if len(names) * (len(names) + 1) // 2 > FEW_PAIRS:
+        half = cross_products(df.select(*[x[n].alias(f"x{i}") for i, n in enumerate(names)]), names)
+    else:
+        def r(a, b):
+            both = x[a].isNotNull() & x[b].isNotNull()
+            spread = F.stddev_pop(F.when(both, x[a])) * F.stddev_pop(F.when(both, x[b]))
+            # `corr` itself fails on columns that do not vary.
+            return F.covar_pop(x[a], x[b]) / F.nullif(spread, F.lit(0.0))
+
+        half = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r"))
+                                for i, a in enumerate(names) for b in names[i:]]).alias("pairs")
+                      ).select(F.inline("pairs"))
     mirrored = half.select("a", "b", "r", F.explode(
         F.when(F.col("a") == F.col("b"), F.array(F.lit(False)))
         .otherwise(F.array(F.lit(False), F.lit(True)))).alias("_flip"))

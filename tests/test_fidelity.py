@@ -15,11 +15,11 @@ from quiltframe.sources import files
 def test_csv_written_by_pandas(spark, tmp_path):
     cells = ['say "hi", ok', "two\nlines", "  pad  ", "plain", "tab\there"]
     pd.DataFrame({"id": range(5), "text": cells}).to_csv(tmp_path / "a.csv", index=False)
-    back = files.read_csv(spark, str(tmp_path / "a.csv")).orderBy("id").collect()
+    back = files.read_csv(spark, str(tmp_path / "a.csv"), multi_line=True).orderBy("id").collect()
     assert [r.text for r in back] == cells
     out = str(tmp_path / "out")
     files.write_csv(spark.createDataFrame(list(enumerate(cells)), "id int, text string"), out)
-    assert sorted(r.text for r in files.read_csv(spark, out).collect()) == sorted(cells)
+    assert sorted(r.text for r in files.read_csv(spark, out, multi_line=True).collect()) == sorted(cells)
 
 
 def test_microseconds_and_zeros_in_copies(spark):
