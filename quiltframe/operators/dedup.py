@@ -7,7 +7,8 @@ sends one row per map task, not all of its rows, to a single task.
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,27 +171,43 @@ def mark_duplicates(df: DataFrame, order_by: list[str], keep: str | bool = "firs
 
 # --- The whole run --------------------------------------------------------
 
+def _rows_seen(seen: Observation, table: DataFrame) -> int:
+    """The observed count; a table that the optimizer took out of the plan, as over no rows, is counted itself."""
+    try:
+        return seen.get["rows"]
+    except (KeyError, Py4JJavaError):  # nothing was observed: there is no row to read
+        return table.count()
+
+
 @dataclass
 class DedupRun:
-    """The deduplicated table and the tables between the steps."""
+    """The deduplicated table, and the row counts between the steps."""
     df: DataFrame
     patterns: KeyPatterns
-    stages: list[tuple[str, DataFrame]] = field(default_factory=list)
+    _watched: list[tuple[str, Observation, DataFrame]] = field(default_factory=list)
+    _counts: list[tuple[str, int]] | None = None
+
+    def watch(self, name: str, table: DataFrame) -> DataFrame:
+        """The table, its rows counted by whatever job first computes it."""
+        seen = Observation()
+        self._watched.append((name, seen, table))
+        return table.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def counts(self) -> list[tuple[str, int]]:
+        """(step, rows after it): all of them from one computation of the result, without passes of their own."""
+        if self._counts is None:
+            self.df.write.format("noop").mode("overwrite").save()
+            self._counts = [(name, _rows_seen(seen, table)) for name, seen, table in self._watched]
+        return self._counts
 
     def report(self) -> DataFrame:
         """(step, before, after, removed), one row per step and one in total."""
-        counted = None
-        for i, (name, stage) in enumerate(self.stages):
-            part = stage.agg(F.count(F.lit(1)).alias("after")).select(
-                F.lit(i).alias("position"), F.lit(name).alias("step"), "after")
-            counted = part if counted is None else counted.unionByName(part)
-        window = Window.orderBy("position")  # one row per step
-        rows = counted.withColumn("before", F.lag("after").over(window)).withColumn(
-            "first", F.first("after").over(window))
-        steps = rows.where("position > 0").select("step", "before", "after")
-        total = rows.where(F.col("position") == len(self.stages) - 1).select(
-            F.lit("total").alias("step"), F.col("first").alias("before"), "after")
-        return steps.unionByName(total).withColumn("removed", F.col("before") - F.col("after"))
+        counts = self.counts()
+        rows = [(name, before, after, before - after)
+                for (_, before), (name, after) in zip(counts, counts[1:])]
+        first, last = counts[0][1], counts[-1][1]
+        return self.df.sparkSession.createDataFrame(
+            [*rows, ("total", first, last, first - last)], "step string, before bigint, after bigint, removed bigint")
 
 
 def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str] | None = None,
@@ -204,36 +221,45 @@ def deduplicate(df: DataFrame, data_type: str = "unknown", *, order_by: list[str
 
     Conflicting columns are settled before rows are dropped by key: afterwards
     there would be nothing left to compare. `order_by` names the columns that
-    number the rows; without it the whole row decides. `store_steps` keeps the
-    result of each step in the scratch folder, so that neither the next step nor
-    the report computes it again; the input of the near-duplicate step, which
+    number the rows; without it the whole row decides. The steps are counted by the
+    jobs that compute them (`DedupRun.report`). `store_steps` keeps the result of
+    each step in the scratch folder; the input of the near-duplicate step, which
     reads it twice, is always kept. `near_length` is the number of characters
     that step compares, None for whole rows; `near_unit` is what it counts edits in
     ("character", or "word" for prose).
     """
     named = key_patterns([c for c in df.columns if c not in (order_by or [])], data_type)
     keys = named.strict_columns
-    run = DedupRun(df, named, [("input", df)])
+    run = DedupRun(df, named)
+
+    def source(table: DataFrame) -> DataFrame:
+        """What the next step reads; the first one's rows are the input's."""
+        return table if run._watched else run.watch("input", table)
 
     def step(name: str, result: DataFrame, keep: bool = False) -> None:
+        result = run.watch(name, result)
         run.df = store(result, name) if keep or store_steps else result
-        run.stages.append((name, run.df))
 
     if consistency_check:
         settled = run.df
         if keys and named.conflict_columns:
-            settled = resolve_conflicts(settled, keys[0], named.conflict_columns)
-        step("inconsistent_duplicates", drop_exact(settled, None, order_by),
+            settled = resolve_conflicts(settled, keys[0], named.conflict_columns)  # keeps every row
+        step("inconsistent_duplicates", drop_exact(source(settled), None, order_by),
              keep=remove_near and not remove_exact)
     if remove_exact:
-        step("exact_duplicates", drop_exact(run.df, keys, order_by), keep=remove_near)
+        step("exact_duplicates", drop_exact(source(run.df), keys, order_by), keep=remove_near)
     if remove_near:
         columns = near_columns or named.unique_columns or [
             c for c in flat_columns(run.df) if c not in (order_by or [])]
+        if not run._watched:
+            run.df = store(source(run.df), "input")
         step("near_duplicates", drop_near_duplicates(
             run.df, columns, order_by, similarity_threshold, near_length, near_unit))
-    if auto_resolve and keep_strategy == "most_complete":
-        step("auto_resolve", keep_most_complete(run.df, keys, order_by))
-    elif auto_resolve and keep_strategy == "latest" and named.timestamp_columns:
-        step("auto_resolve", keep_latest(run.df, named.timestamp_columns[0], keys, order_by))
+    resolve = {"most_complete": lambda t: keep_most_complete(t, keys, order_by)}
+    if named.timestamp_columns:
+        resolve["latest"] = lambda t: keep_latest(t, named.timestamp_columns[0], keys, order_by)
+    if auto_resolve and keep_strategy in resolve:
+        step("auto_resolve", resolve[keep_strategy](source(run.df)))
+    if not run._watched:
+        run.df = source(run.df)
     return run

@@ -252,3 +252,23 @@ def test_full_run_with_strategies(spark):
     whole = D.deduplicate(df, "sales", order_by=["n"], remove_near=False, keep_strategy="most_complete")
     report = {r["step"]: r["removed"] for r in whole.report().collect()}
     assert report == {"inconsistent_duplicates": 0, "exact_duplicates": 2, "auto_resolve": 0, "total": 2}
+
+
+def test_report_counts_in_the_jobs_that_compute_the_steps(spark, tmp_path):
+    rows = [(i, f"C{i % 40}", f"P{i % 3}", i % 7) for i in range(400)]
+    spark.createDataFrame(rows, "n int, transaction_id string, product string, v int").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    run = D.deduplicate(table, "sales", order_by=["n"], remove_near=False)
+    result = run.df.count()
+    assert [tuple(r) for r in run.report().collect()] == [
+        ("inconsistent_duplicates", 400, 280, 120), ("exact_duplicates", 280, 40, 240), ("total", 400, 40, 360)]
+    assert result == 40
+    # The plan holds its counters, and reads the table as often as the result alone does.
+    plan = run.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CollectMetrics") == 3
+    near = D.deduplicate(table, "sales", order_by=["n"], consistency_check=False, remove_exact=False)
+    assert {r.step for r in near.report().collect()} == {"near_duplicates", "total"} and near.counts()[0] == ("input", 400)
+    empty = D.deduplicate(table.limit(0), "sales", order_by=["n"], remove_near=False)
+    assert [tuple(r) for r in empty.report().collect()][-1] == ("total", 0, 0, 0)
+    none = D.deduplicate(table, remove_exact=False, remove_near=False, consistency_check=False, auto_resolve=False)
+    assert [tuple(r) for r in none.report().collect()] == [("total", 400, 400, 0)]

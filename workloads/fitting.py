@@ -118,7 +118,7 @@ WIDE_SQL = "(SELECT " + ", ".join(
 
 @query(" UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 6)} AS r FROM {WIDE_SQL}" if a != b else
-    f"SELECT '{a}', '{b}', 1e0" for a, _, _ in WIDE[::5] for b, _, _ in WIDE))
+    f"SELECT '{a}' AS a, '{b}' AS b, 1e0 AS r" for a, _, _ in WIDE[::5] for b, _, _ in WIDE))
 def wide_correlations(t):
     """All pairs of thirty-two columns in one scan; those of every fifth column are shown."""
     df = t.lineitem.select(*[F.when(
