@@ -17,7 +17,7 @@ from quiltframe.functions.cells import (
 )
 from quiltframe.functions.text import name_in_email, strip
 from quiltframe.operators.fit import time_of
-from quiltframe.operators.frequency import entropy, most_common_value, value_counts
+from quiltframe.operators.frequency import entropy, most_common_values, value_counts
 from quiltframe.operators.profile import _share, infer_report_roles
 
 METRICS = [
@@ -270,11 +270,11 @@ def column_statistics(df: DataFrame) -> DataFrame:
             "*", F.lit(None).cast("bigint").alias("unique"),
             F.lit(None).cast("string").alias("most_common")))
     if others:
+        common = [(n, count, value) for n, (count, value) in most_common_values(df, others).items() if count]
+        found = df.sparkSession.createDataFrame(common, "column string, unique bigint, most_common string")
         empty = F.lit(None).cast("double")
-        parts.append(value_counts(df, others).groupBy("column").agg(
-            F.count(F.lit(1)).alias("unique"), most_common_value().alias("most_common")).select(
-            "column", empty.alias("mean"), empty.alias("std"), empty.alias("min"),
-            empty.alias("max"), "unique", "most_common"))
+        parts.append(found.select("column", *[empty.alias(n) for n in ("mean", "std", "min", "max")],
+                                  "unique", "most_common"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiltframe.functions import masks
 from quiltframe.functions.text import as_number, as_time, strip
 from quiltframe.operators import clean as C
-from quiltframe.operators import privacy, quality as Q, summaries, validate as V
+from quiltframe.operators import frequency, privacy, quality as Q, summaries, validate as V
 from quiltframe.operators.profile import infer_report_roles
 
 
@@ -129,3 +129,18 @@ def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([(3.0,), (3.0,), (None,)], "x double")
     bins = {r["bin"]: r["n"] for r in summaries.histogram(df, "x").collect()}
     assert bins[0] == 2 and sum(bins.values()) == 2 and len(bins) == 30
+
+
+def test_most_common_long_texts(spark, monkeypatch):
+    """Ties between long texts with one beginning, settled by their heads and then whole."""
+    long = "the same beginning of every text, longer than any head " * 4
+    texts = [long + x for x in ("b", "a", "b", "a", "c")] + ["zz", "zz", None]
+    df = spark.createDataFrame([(t, "y" if t else None, i, None) for i, t in enumerate(texts)],
+                               "text string, flag string, id bigint, none string")
+    want = {"text": (4, long + "a"), "flag": (1, "y"), "id": (8, "0"), "none": (0, None)}
+    assert frequency.most_common_values(df, list(want)) == want
+    for few in (1, 2):
+        monkeypatch.setattr(frequency, "FEW", few)
+        assert frequency.most_common_values(df, list(want)) == want
+    filled = C.fill_mode(df.select("text", "none"))
+    assert filled.where(F.col("text") == long + "a").count() == 3 and filled.where("none = 'Unknown'").count() == 8
