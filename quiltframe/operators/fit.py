@@ -275,7 +275,7 @@ def _top_prefix(sample: DataFrame, name: str):
     return find
 
 
-FEW_PAIRS = 300
+FEW_PAIRS = 10
 
 
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:

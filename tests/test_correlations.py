@@ -27,7 +27,7 @@ def test_wide_correlations_equal_the_narrow_ones(spark):
     table, frame = wide_table(spark, 40)     # 820 pairs: cross products
     got = {(r.a, r.b): r.r for r in correlations(table, list(frame.columns)).collect()}
     assert len(got) == 1600
-    few = list(frame.columns)[:20]           # 210 pairs: built-in aggregates
+    few = list(frame.columns)[3:7]           # ten pairs: built-in aggregates
     narrow = {(r.a, r.b): r.r for r in correlations(table, few).collect()}
     want = frame.corr(min_periods=2).to_numpy()
     for (a, b), r in got.items():
