@@ -3,7 +3,8 @@
 Labellers vote good (1), bad (0) or abstain (-1) on every whole text, as expressions. Only
 the counts of vote patterns over all documents leave Spark (3 to the number of labellers
 at most); on them EM estimates the share of good documents and each labeller's vote
-probabilities. The posterior of a pattern is the weak label of its documents. A logistic
+probabilities. The posterior of a pattern is the weak label of its documents, also where no
+document learned from has that pattern. A logistic
 model over hashed character n-grams learns the weak labels of at most `sample` documents,
 the lowest by a seeded hash, and then scores every whole text.
 
@@ -95,11 +96,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tupl
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE,
           seed: int = 5) -> dict:
-    """{"share", "accuracy", "posterior", "weights"}."""
+    """{"share", "tables", "accuracy", "posterior", "weights"}."""
     rows = voted(docs.select(F.coalesce(col(text), F.lit("")).alias("text"), col(id).cast("string").alias("id")))
     counted = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3**6 patterns at most
     if not counted:
-        return {"share": 0.5, "accuracy": {}, "posterior": {}, "weights": None}
+        return {"share": 0.5, "tables": None, "accuracy": {}, "posterior": {}, "weights": None}
     counted = sorted((tuple(r.votes), r.n) for r in counted)
     patterns = np.array([p for p, _ in counted])
     share, tables, good = estimate(patterns, np.array([n for _, n in counted], dtype=float))
@@ -125,10 +126,20 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int =
 
     known = chosen.mapInPandas(vectors, "x binary, y double, draw bigint")
     weights = known.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "w binary").first()
-    return {"share": share, "accuracy": accuracy, "posterior": posterior,
+    return {"share": share, "tables": tables, "accuracy": accuracy, "posterior": posterior,
             "weights": np.frombuffer(bytes(weights.w), dtype=np.float32)}
 
 
+def weak_label(votes: Column, share: float, tables: np.ndarray) -> Column:
+    """The posterior of any votes under the fitted probabilities."""
+    logit = F.lit(float(np.log(share / (1 - share))))
+    for k, (bad, good) in enumerate(tables):
+        against, for_ = (float(x) for x in np.log(good / bad))
+        vote = votes[k]
+        logit = logit + F.when(vote == 1, for_).when(vote == 0, against).otherwise(0.0)
+    return 1 / (1 + F.exp(-logit))
+
+
 def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
           threshold: float = 0.5) -> DataFrame:
     """(id, score, predicted, weak_label): the scorer's and the labellers' probability of a good text."""
@@ -139,13 +150,12 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
         return pd.Series([float(gram_vector(code_points(t)) @ weights[:-1] + weights[-1]) for t in texts],
                          dtype="float64")
 
-    table = F.broadcast(docs.sparkSession.createDataFrame(
-        [(list(p), g) for p, g in model["posterior"].items()], "pattern array<int>, weak_label double"))
     rows = docs.select(col(id).alias("id"), F.coalesce(col(text), F.lit("")).alias("text"))
     if weights is None:
         return rows.select(F.col("id").alias(id), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"),
                            F.lit(0.5).alias("weak_label"))
-    rows = voted(rows).select("id", linear("text").alias("margin"), F.col("votes").alias("pattern"))
-    rows = rows.join(table, "pattern").withColumn("score", 1 / (1 + F.exp(-F.col("margin"))))
+    rows = voted(rows).select("id", linear("text").alias("margin"),
+                              weak_label(F.col("votes"), model["share"], model["tables"]).alias("weak_label"))
+    rows = rows.withColumn("score", 1 / (1 + F.exp(-F.col("margin"))))
     return rows.select(F.col("id").alias(id), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                        "weak_label")

@@ -63,6 +63,19 @@ def test_quality_finds_labels(docs, spark):
     assert 0.7 < model["share"] < 0.95
 
 
+def test_quality_scores_votes_never_seen(docs):
+    model = quality_model.train(docs.where("doc_id % 7 = 0"))
+    rows = quality_model.voted(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).collect()
+    patterns = {tuple(r.votes) for r in rows}
+    assert patterns - set(model["posterior"])
+    found = quality_model.score(docs, model).collect()
+    assert len(found) == 1000 + len(ODD) and all(0 <= r.weak_label <= 1 for r in found)
+    votes = {r.doc_id: tuple(r.votes) for r in rows}
+    for r in found:
+        if votes[r.doc_id] in model["posterior"]:
+            assert math.isclose(r.weak_label, model["posterior"][votes[r.doc_id]], abs_tol=1e-6)
+
+
 def test_quality_empty(docs):
     model = quality_model.train(docs.limit(0))
     assert quality_model.score(docs.limit(0), model).count() == 0
