@@ -1,20 +1,25 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Vectors are over all terms: the document frequency of every term is counted over all
-documents. Terms of one document are not listed, a term that is not listed counts as one of
-those. Fitting reads at most `sample` labelled documents, the lowest by a seeded hash.
-Postings are grouped in blocks of examples with the largest weight a term has in each; a
-block is left out of a query if it can hold no nearer example than the `neighbours` found,
-so the neighbours are exact. Examples with equal vectors are one neighbour with all their
-votes. Votes are weighted by nearness, with the share of toxic documents as prior, and toxic
-ones by the factor that judges the examples best (F1) if none has a vote on itself. A text
-that shares no term with an example has no neighbours; its score is the share of toxic ones
-among the examples without a term.
-
-The index is bounded by the sample and travels with the scoring function, as do the listed
-terms, which grow with the vocabulary; every whole text is scored. Null and empty texts have
-no terms. Labels that are null are not learned, several labels of one document count as
-their maximum. Without examples every score is 0. Other columns are not read.
+documents and stays in a table. Fitting reads at most `sample` labelled documents, the lowest
+by a seeded hash. Only the examples' terms and the LISTED most frequent ones travel with the
+scoring function; what the other terms of a text add to its norm is a join with the table of
+frequencies. None of these is frequent, so no key of that join is large.
+
+Examples are ordered by their most frequent words, so that like ones share blocks. Terms of
+few examples are merged posting by posting; of the frequent terms each block keeps the
+largest weight, and a block is read for a query only if that could lift one of its examples
+to the `neighbours` nearest found so far. Those left are compared exactly, so the neighbours
+are exact. Examples with equal vectors are one neighbour with all their votes. Votes are
+weighted by nearness, with the share of toxic documents as prior, and toxic ones by the
+factor that judges the examples best (F1) if none has a vote on itself. A text that shares
+no term with an example has no neighbours; its score is the share of toxic ones among the
+examples without a term.
+
+The index is packed in one task, bounded by the sample; every whole text is scored. Null and
+empty texts have no terms. Labels that are null are not learned, several labels of one
+document count as their maximum. Without examples every score is 0; an empty table gives an
+empty result. Repeated rows get equal scores. Other columns are not read.
 """
 
 import hashlib
@@ -22,7 +27,6 @@ import math
 import pickle
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -34,19 +38,24 @@ from pyspark.sql import functions as F
 from quiltframe.functions.cells import col
 from quiltframe.llm.sample import among_lowest
 from quiltframe.operators.scratch import store
+from quiltframe.operators.skew import join_by_key
 
 SAMPLE = 20_000
 NEIGHBOURS = 25
-BLOCK = 8192
-DENSE = 0.15          # terms of more than this share of the examples are multiplied as a matrix
+LISTED = 200_000      # most frequent terms that travel with the examples' ones
+BLOCK = 128           # examples
+DENSE = 0.05          # terms of more than this share of the examples have blocks, the others plain postings
+FIRST_BLOCKS = 8      # blocks of a query that are read before the others are judged again
 QUERIES = 256         # queries answered together
-MOST_KNOWN = 100_000  # scores a task remembers between batches
+MOST_KNOWN = 100_000  # texts a task remembers between batches
 MOST_TERMS = 200_000  # terms a task counts before it passes them on
-DIGITS = 10 ** 12                  # cosines are compared with 12 decimals
+DIGITS = 10 ** 12     # cosines are compared with 12 decimals
 PRIOR_WEIGHT = 0.5
 SHOWN = 5             # terms given as evidence
 WORD = re.compile(r"[^\W\d_]+")
 
+Vector = tuple[np.ndarray, np.ndarray]  # numbers of terms, weights
+
 
 def term_counts(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
@@ -56,122 +65,140 @@ def _packed(state: tuple) -> bytes:
     return zlib.compress(pickle.dumps(state, protocol=5), 1)
 
 
+class Vocabulary:
+    """Listed terms with their inverse document frequency; pickled without a dictionary."""
+
+    def __init__(self, names: bytes, idf: np.ndarray):
+        self.state = (names, idf)
+        self.idf = idf
+        self.names = zlib.decompress(names).decode().split("\n") if len(idf) else []
+        self.numbers = {t: i for i, t in enumerate(self.names)}
+
+    def __reduce__(self):
+        return (Vocabulary, self.state)
+
+    def vector(self, counts: dict[str, int]) -> tuple[Vector, float, list[tuple[str, float]]]:
+        """The unit vector over listed terms, its norm before, and the other terms with 1 + log of their counts."""
+        found = [(self.numbers.get(t), n) for t, n in counts.items()]
+        rest = [(t, 1 + math.log(n)) for t, n in counts.items() if t not in self.numbers] \
+            if any(i is None for i, _ in found) else []
+        term = np.array([i for i, _ in found if i is not None], dtype=np.int64)
+        weight = (1 + np.log(np.array([n for i, n in found if i is not None], dtype=float))) * self.idf[term]
+        norm = float(np.sqrt(weight @ weight))
+        return (term, weight / norm if norm else weight), norm, rest
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of vectors with the largest weight of each term."""
+    """Unit vectors: postings of rare terms, and blocks of vectors with the largest weight of each frequent term."""
 
     def __init__(self, vectors: Iterable[dict[str, float]], block: int = BLOCK):
-        terms: dict[str, int] = {}
-        numbers, weights, lengths = array("i"), array("d"), array("q")
-        for vector in vectors:
-            numbers.extend([terms.setdefault(t, len(terms)) for t in vector])
-            weights.extend(vector.values())
-            lengths.append(len(vector))
-        self._build(terms, np.array(numbers, dtype=np.int32),
-                    np.array(weights), np.array(lengths, dtype=np.int64), block)
-
-    @classmethod
-    def of_counts(cls, vectors: Iterable[dict[str, int]], idf: dict[str, float], unlisted: float) -> "BlockMaxIndex":
-        """The index of the unit vectors of counted terms; what is pickled are the counts."""
-        terms: dict[str, int] = {}
-        numbers, counts, lengths = array("i"), array("i"), array("q")
-        for vector in vectors:
-            numbers.extend([terms.setdefault(t, len(terms)) for t in vector])
-            counts.extend(vector.values())
-            lengths.append(len(vector))
-        return cls._restored(_packed((list(terms), *(np.array(x) for x in (numbers, counts, lengths)),
-                                      np.array([idf.get(t, unlisted) for t in terms]))))
+        vectors = list(vectors)
+        self.numbers: dict[str, int] = {}
+        term = [self.numbers.setdefault(t, len(self.numbers)) for v in vectors for t in v]
+        self._build(np.array(term, dtype=np.int32), np.array([w for v in vectors for w in v.values()]),
+                    np.array([len(v) for v in vectors], dtype=np.int64), len(self.numbers), block)
 
     @classmethod
-    def _restored(cls, packed: bytes) -> "BlockMaxIndex":
-        terms, numbers, counts, lengths, idf = pickle.loads(zlib.decompress(packed))
+    def of_packed(cls, packed: bytes, idf: np.ndarray) -> "BlockMaxIndex":
+        """The index of the unit vectors of counted terms."""
+        term, counts, lengths = pickle.loads(zlib.decompress(packed))
         index = cls.__new__(cls)
-        index.packed = packed
-        weights = (1 + np.log(counts)) * idf[numbers]
+        weight = (1 + np.log(counts)) * idf[term]
         vector = np.repeat(np.arange(len(lengths)), lengths)
-        weights /= np.sqrt(np.bincount(vector, weights * weights, minlength=len(lengths)))[vector]
-        index._build({t: i for i, t in enumerate(terms)}, numbers, weights, lengths, BLOCK)
+        weight /= np.sqrt(np.bincount(vector, weight * weight, minlength=len(lengths)))[vector]
+        index._build(term, weight, lengths, len(idf), BLOCK)
         return index
 
-    def __reduce__(self):
-        return (BlockMaxIndex._restored, (self.packed,))
-
-    def _build(self, terms: dict[str, int], term, weight, lengths, block: int) -> None:
-        self.terms, self.names = terms, list(terms)
-        self.size, self.block = len(lengths), block
-        vector = np.repeat(np.arange(self.size), lengths)
+    def _build(self, term, weight, lengths, terms: int, block: int) -> None:
+        self.size = len(lengths)
         self.ends = np.cumsum(lengths)
         self.vector_terms, self.vector_weights = term, weight
-        frequency = np.bincount(term, minlength=len(self.terms))
-        dense = np.flatnonzero(frequency > DENSE * self.size)
-        self.column = np.full(len(self.terms), -1)
+        self.found = np.zeros(terms)
+        vector = np.repeat(np.arange(self.size), lengths)
+        dense = np.flatnonzero(np.bincount(term, minlength=terms) > DENSE * self.size)
+        self.column = np.full(terms, -1)
         self.column[dense] = np.arange(len(dense))
-        self.blocks = [self._block(term, weight, vector, first, min(first + block, self.size))
-                       for first in range(0, self.size, block)]
-
-    def _block(self, term, weight, vector, first: int, last: int) -> tuple:
-        """Largest weights, matrix of the frequent terms, starts, vectors and weights of the others' postings."""
-        mine = slice(*np.searchsorted(vector, [first, last]))
-        term, weight, vector = term[mine], weight[mine], vector[mine] - first
-        largest = np.zeros(len(self.terms))
-        np.maximum.at(largest, term, weight)
         column = self.column[term]
-        matrix = np.zeros((self.column.max(initial=-1) + 1, last - first))
-        matrix[column[column >= 0], vector[column >= 0]] = weight[column >= 0]
+        self.matrix = np.zeros((len(dense), self.size), dtype=np.float32)
+        self.matrix[column[column >= 0], vector[column >= 0]] = weight[column >= 0]
+        self.firsts = np.arange(0, self.size, block)
+        self.largest = np.maximum.reduceat(self.matrix, self.firsts, axis=1) if self.size else self.matrix
+        # Sums of products in single precision differ from the exact ones by less than this.
+        self.slack = (len(dense) + 4) * 2.0 ** -22
         rare = np.flatnonzero(column < 0)
         rare = rare[np.argsort(term[rare], kind="stable")]
-        starts = np.searchsorted(term[rare], np.arange(len(self.terms) + 1))
-        return largest, matrix, starts, vector[rare].astype(np.intp), weight[rare]
+        self.starts = np.searchsorted(term[rare], np.arange(terms + 1))
+        self.vectors, self.values = vector[rare].astype(np.intp), weight[rare]
 
     def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
-        return self.nearest_all([query], k)[0]
+        known = [(self.numbers[t], w) for t, w in query.items() if t in self.numbers]
+        return self.nearest_all([(np.array([t for t, _ in known], dtype=np.int64), np.array([w for _, w in known]))], k)[0]
 
-    def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[list[tuple[float, int]]]:
+    def nearest_all(self, queries: list[Vector], k: int) -> list[list[tuple[float, int]]]:
         """For each query the k largest positive cosines with their vectors, the lowest numbers on ties."""
         if not self.size or not queries:
             return [[] for _ in queries]
-        found = [[(self.terms[t], w) for t, w in q.items() if t in self.terms] for q in queries]
-        terms = [np.array([t for t, _ in f], dtype=np.int64) for f in found]
-        weights = [np.array([w for _, w in f]) for f in found]
-        frequent = np.zeros((len(queries), self.column.max(initial=-1) + 1))
-        for i, (t, w) in enumerate(zip(terms, weights)):
-            column = self.column[t]
-            frequent[i, column[column >= 0]] = w[column >= 0]
-            terms[i], weights[i] = t[column < 0], w[column < 0]
-        bound = np.array([[b[0][t] @ w for b in self.blocks] for t, w in zip(terms, weights)])
-        columns = np.flatnonzero(self.column >= 0)
-        bound += frequent @ np.array([b[0][columns] for b in self.blocks]).T
-        # One number orders by cosine, then by falling vector number.
-        numbers = 1 << self.size.bit_length()
-        best = np.full((len(queries), k), -1, dtype=np.int64)
-        for b, (_, matrix, starts, vectors, values) in enumerate(self.blocks):
-            worst = np.maximum(best.min(axis=1) // numbers / DIGITS, 0.0)
-            open_ = np.flatnonzero(bound[:, b] > np.maximum(worst - 1e-9, 0.0))
-            cosines = frequent[open_] @ matrix
-            last_first = numbers - 1 - b * self.block
-            for i, cosine in zip(open_, cosines):
-                spans = [(starts[t], starts[t + 1], w) for t, w in zip(terms[i], weights[i])]
-                if spans:
-                    cosine += np.bincount(
-                        np.concatenate([vectors[x:y] for x, y, _ in spans]),
-                        np.concatenate([values[x:y] * w for x, y, w in spans]), minlength=len(cosine))
-                # Only those that round to the k-th largest or more are compared further.
-                least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
-                near = np.flatnonzero((cosine >= least - 2 / DIGITS) & (cosine > 0))
-                keys = np.rint(cosine[near] * DIGITS).astype(np.int64) * numbers + last_first - near
-                best[i] = np.sort(np.concatenate([best[i], keys]))[-k:]
-        return [[(int(x) // numbers / DIGITS, numbers - 1 - int(x) % numbers) for x in found if x >= 0]
-                for found in best[:, ::-1]]
-
-    def vector(self, number: int) -> dict[str, float]:
+        frequent = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
+        sums = np.zeros((len(queries), self.size), dtype=np.float32)
+        for i, (term, weight) in enumerate(queries):
+            column = self.column[term]
+            frequent[i, column[column >= 0]] = weight[column >= 0]
+            term, weight = term[column < 0], weight[column < 0]
+            spans = [(x, y, w) for x, y, w in zip(
+                self.starts[term].tolist(), self.starts[term + 1].tolist(), weight.tolist()) if x < y]
+            if spans:
+                sums[i] = np.bincount(np.concatenate([self.vectors[x:y] for x, y, _ in spans]),
+                                      np.concatenate([self.values[x:y] * w for x, y, w in spans]), minlength=self.size)
+        bound = np.maximum.reduceat(sums, self.firsts, axis=1) + frequent @ self.largest
+        best_first = np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS]
+        early = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(early, best_first, True, axis=1)
+        for now in (early, ~early):
+            least = self._least(sums, k)
+            now = now & (bound > 0) & (bound >= least[:, None] - 2 * self.slack)
+            for b in np.flatnonzero(now.any(axis=0)):
+                mine = slice(b * self.block_size, (b + 1) * self.block_size)
+                rows = np.flatnonzero(now[:, b])
+                sums[rows, mine] += frequent[rows] @ self.matrix[:, mine]
+        least = self._least(sums, k)
+        return [self._exact(query, np.flatnonzero((row > 0) & (row >= low - self.slack)), k)
+                for query, row, low in zip(queries, sums, least)]
+
+    @property
+    def block_size(self) -> int:
+        return int(self.firsts[1]) if len(self.firsts) > 1 else self.size
+
+    def _least(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """The k-th largest number of each row; of fewer numbers 0."""
+        return np.partition(sums, -k, axis=1)[:, -k] if self.size > k else np.zeros(len(sums))
+
+    def _exact(self, query: Vector, near: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best of these vectors by cosines in double precision."""
+        if not len(near):
+            return []
+        self.found[query[0]] = query[1]
+        spans = [slice(self.ends[i - 1] if i else 0, self.ends[i]) for i in near.tolist()]
+        terms = np.concatenate([self.vector_terms[x] for x in spans])
+        weights = np.concatenate([self.vector_weights[x] for x in spans])
+        cosine = np.bincount(np.repeat(np.arange(len(near)), [x.stop - x.start for x in spans]),
+                             self.found[terms] * weights)
+        self.found[query[0]] = 0
+        cosine = np.rint(cosine * DIGITS)
+        order = np.lexsort((near, -cosine))[:k]
+        return list(zip((cosine[order] / DIGITS).tolist(), near[order].tolist()))
+
+    def vector(self, number: int) -> Vector:
         mine = slice(self.ends[number - 1] if number else 0, self.ends[number])
-        return {self.names[t]: w for t, w in zip(self.vector_terms[mine].tolist(), self.vector_weights[mine].tolist())}
+        return self.vector_terms[mine].astype(np.int64), self.vector_weights[mine]
 
-    def shared(self, query: dict[str, float], vector: int, most: int) -> list[str]:
+    def shared(self, query: Vector, number: int, most: int) -> np.ndarray:
         """The terms that add most to the cosine of a query and a vector."""
-        mine = slice(self.ends[vector - 1] if vector else 0, self.ends[vector])
-        its = dict(zip(self.vector_terms[mine].tolist(), self.vector_weights[mine].tolist()))
-        both = [(-w * its[self.terms[t]], t) for t, w in query.items() if self.terms.get(t) in its]
-        return [t for _, t in sorted(both)[:most]]
+        term, weight = self.vector(number)
+        self.found[query[0]] = query[1]
+        both = self.found[term] * weight
+        self.found[query[0]] = 0
+        order = np.lexsort((term, -both))[:most]
+        return term[order][both[order] > 0]
 
 
 def unit_vector(counts: dict[str, int], idf: dict[str, float], unlisted: float = 0.0) -> dict[str, float]:
@@ -184,8 +211,8 @@ def held_out(id: Column, parts: int = 5, part: int = 0) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % parts == part
 
 
-def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
-    """The number of rows, and of rows with each term that more than one row has."""
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): the number of rows with each term; of all rows under the null term."""
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for batch in batches:
@@ -197,16 +224,15 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int
                     seen.clear()
         yield pd.DataFrame(seen.items(), columns=["term", "n"])
 
-    counted = docs.select(col(text).alias("text")).mapInPandas(terms, "term string, n bigint").groupBy("term").agg(
-        F.sum("n").alias("n")).where("n > 1 OR term IS NULL").toArrow()
-    found = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist()))
-    return found.pop(None, 0), found
+    return docs.select(col(text).alias("text")).mapInPandas(terms, "term string, n bigint").groupBy("term").agg(
+        F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
           label: str = "toxic", sample: int = SAMPLE, seed: int = 3,
           neighbours: int = NEIGHBOURS) -> dict:
-    """{"idf", "unlisted", "examples", "index", "factor", "empty_score", "prior"}; the held-out documents' labels are not read."""
+    """{"frequencies", "total", "vocabulary", "packed", "examples", "factor", "empty_score", "prior"}; the held-out
+    documents' labels are not read. "examples" are (number, id, examples, toxic ones) per vector of the index."""
     marks = labels.select(col(id).cast("string").alias("label_id"), col(label).cast("int").alias("y"))
     marks = store(marks.where(~held_out(F.col("label_id")) & F.col("y").isNotNull()).groupBy("label_id").agg(
         F.max("y").alias("y")))
@@ -222,35 +248,60 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
                                 for i, x, y in zip(batch["id"], batch["text"], batch["y"])],
                                columns=["id", "y", "terms"])
 
-    # At most `sample` rows; neighbours in this order share terms.
-    examples = rows.select("id", "text", "y").mapInPandas(reduced, "id string, y int, terms string").toArrow()
-    examples = sorted(zip(*(examples[c].to_pylist() for c in ("terms", "id", "y"))))
-    if not examples:
-        return {"idf": {}, "unlisted": 0.0, "examples": [], "index": BlockMaxIndex.of_counts([], {}, 0.0), "factor": 1.0,
-                "empty_score": 0.0, "prior": 0.0}
-    prior = sum(y for *_, y in examples) / len(examples)
-    total, seen = frequencies(docs, text)
-    empty = [y for t, _, y in examples if not t]
-    # Equal vectors are one entry of the index: terms, first example, examples, toxic ones.
-    entries: dict[str, list] = {}
-    for t, i, y in examples:
-        entry = entries.setdefault(t, [i, 0, 0])
-        entry[1] += 1
-        entry[2] += y
-    model = {"idf": {t: math.log(1 + total / n) for t, n in seen.items()}, "unlisted": math.log(1 + total),
-             "prior": prior, "empty_score": (sum(empty) + prior) / (len(empty) + 1),
-             "examples": [(t, *entry) for t, entry in entries.items() if t]}
-    model["index"] = index_of(model)
-    model["factor"] = toxic_factor(docs.sparkSession, model, model["index"], neighbours) if model["examples"] else 1.0
+    examples = store(rows.select("id", "text", "y").mapInPandas(reduced, "id string, y int, terms string"), "examples")
+    sizes = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"),
+                         F.count(F.when(F.col("terms") == "", 1)).alias("empty"),
+                         F.sum(F.when(F.col("terms") == "", F.col("y"))).alias("empty_y")).first()
+    if not sizes.n:
+        return {"examples": [], "factor": 1.0, "empty_score": 0.0, "prior": 0.0}
+    prior = sizes.y / sizes.n
+    seen = store(frequencies(docs, text), "frequencies")
+    total = seen.where("term IS NULL").first().n
+    known = seen.where("term IS NOT NULL")
+    theirs = examples.where("terms <> ''").select(
+        F.explode(F.transform(F.split("terms", " "), lambda x: F.substring_index(x, ":", 1))).alias("term")).distinct()
+    # Bounded by the sample and LISTED.
+    listed = known.join(theirs, "term", "left_semi").union(
+        known.orderBy(F.desc("n"), "term").limit(LISTED)).distinct().toArrow().sort_by("term")
+    names = zlib.compress("\n".join(listed["term"].to_pylist()).encode("utf-8", "surrogatepass"), 1)
+    vocabulary = (names, np.log(1 + total / listed["n"].to_numpy()))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        return _pack(group, Vocabulary(*shared.value).numbers)
+
+    # One task for at most `sample` rows.
+    packed = examples.where("terms <> ''").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(
+        pack, "entries binary, vectors binary").first()
+    model = {"frequencies": seen, "total": total, "vocabulary": vocabulary, "prior": prior,
+             "empty_score": ((sizes.empty_y or 0) + prior) / (sizes.empty + 1), "factor": 1.0,
+             "packed": bytes(packed.vectors) if packed else None,
+             "examples": pickle.loads(bytes(packed.entries)) if packed else []}
+    if packed:
+        model["factor"] = toxic_factor(spark, model, neighbours)
     return model
 
 
-def _parsed(terms: str) -> dict[str, int]:
-    return {t: int(c) for t, c in (x.rsplit(":", 1) for x in terms.split())}
-
-
-def index_of(model: dict) -> BlockMaxIndex:
-    return BlockMaxIndex.of_counts((_parsed(t) for t, *_ in model["examples"]), model["idf"], model["unlisted"])
+def _pack(group: pd.DataFrame, numbers: dict[str, int]) -> pd.DataFrame:
+    """The entries (number, first id, examples, toxic ones) and vectors of examples; equal ones are one entry."""
+    entries: dict[str, list] = {}
+    for terms, i, y in sorted(zip(group["terms"], group["id"], group["y"].tolist())):
+        entry = entries.setdefault(terms, [i, 0, 0])
+        entry[1] += 1
+        entry[2] += y
+    parsed = []
+    for terms, entry in entries.items():
+        pairs = [x.rsplit(":", 1) for x in terms.split(" ")]
+        counts = np.array([int(n) for _, n in pairs], dtype=np.int32)
+        # Examples whose most frequent words agree are likely alike.
+        like = [pairs[i][0] for i in np.argsort(-counts, kind="stable")[:3]]
+        parsed.append((like, terms, np.array([numbers[t] for t, _ in pairs], dtype=np.int32), counts, entry))
+    parsed.sort(key=lambda x: x[:2])
+    state = (np.concatenate([x[2] for x in parsed]), np.concatenate([x[3] for x in parsed]),
+             np.array([len(x[2]) for x in parsed], dtype=np.int64))
+    held = [(i, *x[4]) for i, x in enumerate(parsed)]
+    return pd.DataFrame({"entries": [pickle.dumps(held)], "vectors": [_packed(state)]})
 
 
 def votes(found: list[tuple[float, int, int]], prior: float) -> tuple[float, float]:
@@ -261,13 +312,26 @@ def votes(found: list[tuple[float, int, int]], prior: float) -> tuple[float, flo
     return toxic, total + share - toxic
 
 
-def toxic_factor(spark: SparkSession, model: dict, index: BlockMaxIndex, neighbours: int) -> float:
+_HELD: dict = {}
+
+
+def _once(packed: bytes | None, listed: tuple[bytes, np.ndarray]) -> tuple[Vocabulary, BlockMaxIndex]:
+    """Vocabulary and index, kept by the worker for its later tasks."""
+    mark = hashlib.blake2b((packed or b"") + listed[0] + listed[1].tobytes(), digest_size=16).digest()
+    if mark not in _HELD:
+        _HELD.clear()
+        _HELD[mark] = Vocabulary(*listed), BlockMaxIndex.of_packed(packed, listed[1]) if packed else BlockMaxIndex([])
+    return _HELD[mark]
+
+
+def toxic_factor(spark: SparkSession, model: dict, neighbours: int) -> float:
     """The weight of toxic votes with the best F1 on the examples, each judged by the others."""
     held, prior = [(n, k) for _, _, n, k in model["examples"]], model["prior"]
-    shared = spark.sparkContext.broadcast((held, index))
+    shared = spark.sparkContext.broadcast((held, model["packed"], model["vocabulary"]))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, index = shared.value
+        held, *state = shared.value
+        _, index = _once(*state)
         for batch in batches:
             out, mine = [], batch["id"].tolist()
             for i, near in zip(mine, index.nearest_all([index.vector(i) for i in mine], neighbours + 1)):
@@ -293,43 +357,78 @@ def toxic_factor(spark: SparkSession, model: dict, index: BlockMaxIndex, neighbo
     return factor
 
 
-def judge(model: dict, index: BlockMaxIndex, query: dict[str, float],
-          near: list[tuple[float, int]]) -> tuple[float, str]:
-    """Score and evidence: the terms shared most with the nearest example, and the nearest three with cosine and label."""
-    if not near:
-        return model["empty_score"], ""
-    found = [(s, *model["votes"][i]) for s, i in near]
-    toxic, other = votes([(s, n, k) for s, _, n, k in found], model["prior"])
-    toxic *= model["factor"]
-    value = toxic / (toxic + other)
-    shown = ", ".join(f"{id}={k}/{n} at {s:.3f}" for s, id, n, k in found[:3])
-    return value, f"{' '.join(index.shared(query, near[0][1], SHOWN))}; {shown}"
+FOUND = """digest binary, listed double, near array<struct<s double, n int, k int>>, words string,
+    shown array<string>, rest array<struct<term string, w double>>"""
 
 
-def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
-          neighbours: int = NEIGHBOURS, threshold: float = 0.5) -> DataFrame:
-    """(id, held_out, score, predicted, evidence) for every row."""
-    # Built once and read once by each worker; the examples' texts stay behind.
+def _found(docs: DataFrame, model: dict, id: str, text: str, neighbours: int) -> DataFrame:
+    """Per row its id and, by terms that are listed, the neighbours with their cosines; `rest` once per text and task."""
     entries = [entry for _, *entry in model["examples"]]
-    light = {k: v for k, v in model.items() if k not in ("examples", "index")} | {"votes": entries}
-    shared = docs.sparkSession.sparkContext.broadcast((light, model["index"]))
+    shared = docs.sparkSession.sparkContext.broadcast((entries, model["packed"], model["vocabulary"]))
 
-    @F.pandas_udf("score double, evidence string")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        (model, index), known = shared.value, {}
+    @F.pandas_udf(FOUND)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        entries, *state = shared.value
+        vocabulary, index = _once(*state)
+        known: dict = {}
         for texts in batches:
             keys = [hashlib.blake2b((x or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts]
             if len(known) > MOST_KNOWN:
                 known.clear()
             fresh = [(k, x) for k, x in dict(zip(keys, texts)).items() if k not in known]
+            rests = {}
             for at in range(0, len(fresh), QUERIES):
                 part = fresh[at:at + QUERIES]
-                vectors = [unit_vector(term_counts(x), model["idf"], model["unlisted"]) for _, x in part]
-                for (k, _), vector, near in zip(part, vectors, index.nearest_all(vectors, neighbours)):
-                    known[k] = judge(model, index, vector, near)
-            out = [known[k] for k in keys]
-            yield pd.DataFrame(out, columns=["score", "evidence"])
-
-    rows = docs.select(col(id).alias("id"), judged(col(text)).alias("j"))
-    return rows.select(F.col("id").alias(id), held_out(F.col("id")).alias("held_out"), "j.score",
-                       (F.col("j.score") >= threshold).cast("int").alias("predicted"), "j.evidence")
+                made = [vocabulary.vector(term_counts(x)) for _, x in part]
+                for (k, _), (vector, norm, rest), near in zip(
+                        part, made, index.nearest_all([v for v, _, _ in made], neighbours)):
+                    shown = index.shared(vector, near[0][1], SHOWN).tolist() if near else []
+                    known[k] = (norm, [(s, *entries[i][1:]) for s, i in near], " ".join(vocabulary.names[t] for t in shown),
+                                [f"{entries[i][0]}={entries[i][2]}/{entries[i][1]} at " for _, i in near[:3]])
+                    if rest and near:
+                        rests[k] = rest
+            yield pd.DataFrame([(k, *known[k], rests.pop(k, None)) for k in keys],
+                               columns=["digest", "listed", "near", "words", "shown", "rest"])
+
+    return store(docs.select(col(id).alias("id"), found(col(text)).alias("j")).select("id", "j.*"), "neighbours")
+
+
+def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
+          neighbours: int = NEIGHBOURS, threshold: float = 0.5) -> DataFrame:
+    """(id, held_out, score, predicted, evidence) for every row. Evidence are the terms shared most with the nearest
+    example, and the nearest three with toxic ones, examples and cosine."""
+    def shaped(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias(id), held_out(F.col("id")).alias("held_out"), "score",
+                           (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+    if not model["examples"]:
+        return shaped(docs.select(col(id).alias("id"), F.lit(float(model["empty_score"])).alias("score"),
+                                  F.lit("").alias("evidence")))
+    rows = _found(docs, model, id, text, neighbours)
+    # Terms that are not listed: their weights need the table of frequencies.
+    rest = rows.where("rest IS NOT NULL").select("digest", F.explode("rest").alias("r")).select("digest", "r.*")
+    rest = rest.repartition("term").groupBy("term", "digest").agg(F.max("w").alias("w"))
+    # Scored texts may hold terms that the counted ones lack; these count as in one document.
+    squares = rest.join(model["frequencies"], "term", "left").groupBy("digest").agg(F.sum(F.pow(
+        F.col("w") * F.log(1 + F.lit(model["total"]) / F.coalesce("n", F.lit(1))), F.lit(2))).alias("rest2"))
+    texts = store(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).join(squares, "digest", "left").select(
+        "digest", "copies", F.coalesce("rest2", F.lit(0.0)).alias("rest2")))
+    joined = join_by_key(rows.drop("rest"), texts, ["digest"], "copies")
+    share = F.col("listed") / F.nullif(F.sqrt(F.col("listed") * F.col("listed") + F.col("rest2")), F.lit(0.0))
+    joined = joined.withColumn("near", F.transform("near", lambda x: F.struct(
+        F.round(x["s"] * share, 12).alias("s"), x["n"].alias("n"), x["k"].alias("k"))))
+
+    def summed(value) -> Column:
+        return F.aggregate("near", F.lit(0.0), lambda total, x: total + value(x))
+
+    joined = joined.withColumns({
+        "_all": summed(lambda x: x["n"] / (1.05 - x["s"])), "_toxic": summed(lambda x: x["k"] / (1.05 - x["s"])),
+        "_share": PRIOR_WEIGHT * summed(lambda x: x["n"] / (1.05 - x["s"])) / F.nullif(
+            summed(lambda x: x["n"].cast("double")), F.lit(0.0))})
+    joined = joined.withColumn("_toxic", F.col("_toxic") + F.col("_share") * model["prior"])
+    other, toxic = F.col("_all") + F.col("_share") - F.col("_toxic"), F.col("_toxic") * model["factor"]
+    some = F.size("near") > 0
+    shown = F.transform(F.col("shown"), lambda x, i: F.concat(x, F.format_string("%.3f", F.get(F.col("near"), i)["s"])))
+    return shaped(joined.select(
+        "id", F.when(some, toxic / (toxic + other)).otherwise(F.lit(float(model["empty_score"]))).alias("score"),
+        F.when(some, F.concat(F.col("words"), F.lit("; "), F.array_join(shown, ", "))).otherwise("").alias("evidence")))

@@ -129,7 +129,14 @@ def test_toxicity_without_labels(docs, spark):
     assert [r.score for r in rows] == [0.0] * 5
 
 
-def test_toxicity_neighbours_over_all_terms(spark):
+def test_toxicity_empty(docs, spark):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
+@pytest.mark.parametrize("listed", [200_000, 3])
+def test_toxicity_neighbours_over_all_terms(spark, monkeypatch, listed):
+    monkeypatch.setattr(toxicity, "LISTED", listed)  # the other terms reach the norms by a join
     rng = random.Random(6)
     texts = [" ".join(f"v{'abcdefghij'[rng.randint(0, 9)]}{'abcdefghij'[rng.randint(0, 9)]}" for _ in range(rng.randint(1, 25)))
              for _ in range(80)] + [f"lone{c}" for c in "abc"]
