@@ -17,7 +17,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 5-word shingles connect, the one with the smallest id stays."""
+    """Of documents that links of 5-word shingles connect, the one with the smallest id stays; unlike texts of one id both do."""
     return jaccard_join.one_of_each(docs)
 
 
@@ -32,9 +32,19 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with how many of their words it takes, repeats counted."""
-    found = mixture.mix(docs, keep=tuple(docs.columns))
-    return found.where("taken > 0").select("kept.*", "size", "source_size", "target", "taken")
+    """The documents the mix takes, with how many of their words it takes, repeats counted.
+
+    A column that `documents` has already is added under its name with `mix_` before it.
+    """
+    found = mixture.mix(docs, keep=tuple(docs.columns)).where("taken > 0")
+    held, added = {c.lower() for c in docs.columns}, []
+    for name in ("size", "source_size", "target", "taken"):
+        free = name
+        while free in held:
+            free = "mix_" + free
+        held.add(free)
+        added.append(found[name].alias(free))
+    return found.select("kept.*", *added)
 
 
 STAGES = [
