@@ -35,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltframe.functions.cells import col
+from quiltframe.functions.cells import col, flat_columns
 from quiltframe.llm.graph import components
 from quiltframe.llm.hashing import shingles
 from quiltframe.llm.runs import by_key, groups
+from quiltframe.operators.ordered import dense_position
 from quiltframe.operators.scratch import store
 from quiltframe.operators.skew import join_by_key
 
@@ -369,12 +370,33 @@ def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
         F.col("id").alias(id), "n_shingles", F.coalesce("component", "first", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """Of every component the document with the smallest id; rows without an id stay."""
-    kept = store(grouped(docs, id, **options).where(f"`{id}` <> component_id").select(
-        col(id).alias("_gone")).distinct())
-    if kept.count() <= BROADCAST_IDS:
-        kept = F.broadcast(kept)
-    left = docs.join(kept, col(id) == F.col("_gone"), "left_anti")
-    # Repeated rows of one id are copies of it.
-    return left.where(col(id).isNotNull()).dropDuplicates([id]).unionByName(left.where(col(id).isNull()))
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Of every component the document with the smallest id; rows without an id stay.
+
+    Rows that share an id are documents of their own if their texts differ, the one with the lower digest
+    first. Of rows with one id and one text one stays, the lowest by a hash of all columns; without a word
+    in the text only rows equal in all columns are dropped.
+    """
+    known = docs.where(col(id).isNotNull())
+    again = known.groupBy(col(id).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if again.isEmpty():
+        return _smallest(docs, id, text, **options)
+    every = F.xxhash64(*[col(c) for c in flat_columns(docs)])
+    blank = ~F.coalesce(col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = known.withColumns({"_digest": F.sha2(F.coalesce(col(text), F.lit("")), 256), "_row": every})
+    first = Window.partitionBy(col(id), "_digest", F.when(blank, F.col("_row"))).orderBy("_row")
+    rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    keys = rows.select(col(id).alias("_id"), "_digest").distinct()
+    nodes = store(dense_position(keys, ["_id", "_digest"], name="_node")).withColumnRenamed("_digest", "_its")
+    numbered = store(rows.join(nodes, (col(id) == F.col("_id")) & (F.col("_digest") == F.col("_its"))).select(
+        *[col(c) for c in docs.columns], "_node"))
+    left = _smallest(numbered, "_node", text, **options).drop("_node")
+    return left.unionByName(docs.where(col(id).isNull()))
+
+
+def _smallest(docs: DataFrame, node: str, text: str, **options) -> DataFrame:
+    gone = store(grouped(docs, node, text, **options).where(f"`{node}` <> component_id").select(
+        col(node).alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, col(node) == F.col("_gone"), "left_anti")

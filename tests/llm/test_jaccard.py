@@ -79,6 +79,18 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, small):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    one, two = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, one, "s"), (1, two, "s"), (1, two, "t"), (5, one, "s"), (5, "x y z u v w", "s"), (None, one, "s"),
+            (7, None, "s"), (7, None, "t"), (7, None, "t"), (8, two, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("id", F.lit("clash"))
+    left = [[tuple(r)[:3] for r in J.one_of_each(docs.repartition(n)).collect()] for n in (1, 5)]
+    left = [sorted(rows, key=str) for rows in left]
+    assert left[0] == left[1] and {(i, t) for i, t, _ in left[0]} == {
+        (1, one), (1, two), (5, "x y z u v w"), (None, one), (7, None)}
+    assert sum(i == 7 for i, *_ in left[0]) == 2 and len(left[0]) == 6
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id bigint, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.grouped(docs).collect()}
