@@ -1,9 +1,12 @@
 """Language, quality and toxicity: held-out accuracy, edge cases, exactness of the index."""
 
 import math
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +169,34 @@ def test_toxicity_neighbours_over_all_terms(spark, monkeypatch, listed):
         shown = found[i].evidence.rsplit("; ", 1)[-1].split(", ")[0]
         assert (f"at {best:.3f}" in shown) == (best > 0)
     assert near > 5 and found[80].evidence == "" == found[81].evidence
+
+
+def test_index_is_built_in_parts(monkeypatch):
+    """Weighing and sorting the examples' terms takes little beside what the index keeps, and parts change nothing."""
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 600, 1500)
+    idf = np.sort(rng.uniform(0.1, 9, 200_000))
+    term = np.concatenate([rng.choice(len(idf), n, replace=False) for n in lengths]).astype(np.int32)
+    counts = rng.integers(1, 5, len(term)).astype(np.int32)
+    vector = np.repeat(np.arange(len(lengths)), lengths)
+    group = pd.DataFrame({"like": "", "id": [str(i) for i in range(len(lengths))], "y": 0,
+                          "terms": [x.tobytes() for x in np.split(term, np.cumsum(lengths)[:-1])],
+                          "counts": [x.tobytes() for x in np.split(counts, np.cumsum(lengths)[:-1])]})
+    made = toxicity._pack(group)
+    held = [int(i) for _, i, _, _ in pickle.loads(made["entries"][0])]
+    monkeypatch.setattr(toxicity, "PART", 20_000)
+    tracemalloc.start()
+    index = toxicity.BlockMaxIndex.of_packed(made["vectors"][0], idf)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - now < 16 * len(term)
+    weight = (1 + np.log(counts)) * idf[term]
+    weight /= np.sqrt(np.bincount(vector, weight * weight))[vector]
+    for i in (0, 700, 1499):
+        query = np.zeros(len(idf))
+        query[term[vector == i]] = weight[vector == i]
+        cosine = np.bincount(vector, weight * query[term])
+        want = np.argsort(-cosine, kind="stable")[:20]
+        got = index.nearest_all([(term[vector == i].astype(np.int64), weight[vector == i])], 20)[0]
+        assert [held[n] for _, n in got] == want.tolist()
+        assert np.allclose([s for s, _ in got], cosine[want], rtol=0, atol=1e-11)
