@@ -13,8 +13,11 @@ sets is found, or its two ends are already connected through others.
    the lists, never the result.
 3. Of every list, the other documents are compared with its smallest one. Documents that
    link to it take its label. This leaves a large group of near copies as one label.
-4. Lists that still hold a possible pair of different labels send these documents to a
-   cell. In a cell every document that has not the cell's most common label is a query:
+   Before any set is read again, pairs must pass their signs: bit i of a document's sign is
+   the parity of its shingles that fall on i. Bits in which two signs differ are no more
+   than shingles that only one of the sets has, so no link is lost.
+4. Possible pairs of different labels whose signs allow a link send their documents to a
+   cell, and so do lists that hold too many such pairs to name them. In a cell every document that has not the cell's most common label is a query:
    its short inverted lists are merged with a heap, candidates are looked up in the long
    ones by binary search until they reach the required overlap or cannot.
    Cells are cut into blocks of INDEX_BLOCK indexed documents and QUERY_BLOCK queries.
@@ -50,6 +53,9 @@ WIDTH, PERCENT = 5, 75
 COUNTERS, COUNTER_PARTS = 1 << 20, 16
 INDEX_BLOCK, QUERY_BLOCK = 2000, 2000
 LONG_LIST, COMPARED = 200_000, 1 << 26
+SHORT_LIST = 32   # documents of a list whose possible pairs are named without labels
+NAMED = 16        # possible pairs a document of a longer list, above which all go to a cell
+LEAST_BITS = 64
 BROADCAST_IDS = 1_000_000
 
 
@@ -57,8 +63,27 @@ def _ceil(a, b):
     return -(-a // b)
 
 
+def sign(s: np.ndarray) -> bytes:
+    """Parities of a set's shingles by their high bits: a power of two of bits, one a shingle at least."""
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def signs_allow(n1: int, sign1: bytes, n2: int, sign2: bytes, percent: int) -> bool:
+    """Whether sets of these sizes and signs can link."""
+    x, y = np.frombuffer(sign1, dtype=np.uint64), np.frombuffer(sign2, dtype=np.uint64)
+    most = n1 + n2 - 2 * _ceil(percent * (n1 + n2), 100 + percent)
+    while len(x) != len(y):  # the sign of half as many bits is that of neighbouring bits together
+        if len(x) > len(y):
+            x, y = y, x
+        odd = np.unpackbits(y.view(np.uint8))
+        y = np.packbits(odd[::2] ^ odd[1::2]).view(np.uint64)
+    return int(np.bitwise_count(x ^ y).sum()) <= most
+
+
 def _scan(width: int):
-    """Per document its size and the digest of its set; per task the counters of its shingles."""
+    """Per document its size, the digest and the sign of its set; per task the counters of its shingles."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
@@ -69,10 +94,10 @@ def _scan(width: int):
             yield pd.DataFrame({
                 "id": batch["id"], "n": [len(s) for s in sets],
                 "mark": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "part": None, "counters": None})
+                "sign": [sign(s) if len(s) else None for s in sets], "part": None, "counters": None})
         if counters.any():
             yield pd.DataFrame({
-                "id": None, "n": 0, "mark": None, "part": range(COUNTER_PARTS),
+                "id": None, "n": 0, "mark": None, "sign": None, "part": range(COUNTER_PARTS),
                 "counters": [c.tobytes() for c in np.split(counters, COUNTER_PARTS)]})
     return scan
 
@@ -125,10 +150,11 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows if part else rows[np.repeat(sizes > 1, sizes)]
 
 
-def _centre_pairs(percent: int):
+def _pairs(percent: int):
+    """Possible pairs: `named` 0 with the list's smallest document, 1 others of short lists; 2: entries of other lists."""
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, centre = None, None
-        for rows, _ in by_key(batches, 1 << 20):
+        for rows, part in by_key(batches, 1 << 20):
             keys, ids = rows["key"].to_numpy(), rows["id"].to_numpy()
             n, at = rows["n"].to_numpy(), rows["at"].to_numpy()
             starts, sizes = groups(keys)
@@ -139,12 +165,26 @@ def _centre_pairs(percent: int):
             key, centre = keys[-1], first[:, -1].copy()
             c, cn, cat = np.repeat(first, sizes, axis=1)
             good = (c != ids) & _possible(cn, cat, n, at, percent)
-            yield pd.DataFrame({"a": c[good], "b": ids[good]}).drop_duplicates()
+            found = [np.stack([np.zeros(good.sum(), dtype=np.int64), c[good], ids[good]])]
+            size = np.repeat(sizes, sizes)
+            place = np.arange(len(keys)) - np.repeat(starts, sizes)
+            short = np.full(len(keys), not part) & (size <= SHORT_LIST)
+            left = np.flatnonzero(short & (place > 0))
+            for step in range(1, SHORT_LIST):
+                left = left[place[left] + step < size[left]]
+                right = left + step
+                good = (ids[left] != ids[right]) & _possible(n[left], at[left], n[right], at[right], percent)
+                found.append(np.stack([np.ones(good.sum(), dtype=np.int64), ids[left[good]], ids[right[good]]]))
+            named, a, b = np.concatenate(found, axis=1)
+            yield pd.DataFrame({"named": named, "a": a, "b": b, "key": 0, "n": 0, "at": 0}).drop_duplicates()
+            if not short.all():
+                long = rows[~short]
+                yield pd.DataFrame({"named": 2, "a": long["id"], "b": 0, "key": long["key"], "n": long["n"], "at": long["at"]})
     return pairs
 
 
-def _meeting(labels: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """Which documents of a list have a possible partner of another label there.
+def _meeting(labels: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, list]:
+    """Which documents of a list have a possible partner of another label there, and the pairs if they are few.
 
     All but the most common label are compared with the list; if that is too much, all count.
     """
@@ -152,36 +192,41 @@ def _meeting(labels: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) ->
     few = np.flatnonzero(labels != names[counts.argmax()])
     there = np.zeros(len(labels), dtype=bool)
     if len(few) * len(labels) > COMPARED:
-        return ~there
-    for part in np.array_split(few, -(-len(few) * len(labels) // (1 << 20))):
+        return ~there, []
+    pairs, met_pairs = [], 0
+    for part in np.array_split(few, max(1, -(-len(few) * len(labels) // (1 << 20)))):
         met = (labels[part][:, None] != labels) & _possible(n[part][:, None], at[part][:, None], n, at, percent)
         there[part] |= met.any(axis=1)
         there |= met.any(axis=0)
-    return there
+        met_pairs += int(met.sum())
+        if met_pairs <= NAMED * len(labels):
+            left, right = np.nonzero(met)
+            pairs.append((part[left], right))
+    return there, pairs if met_pairs <= NAMED * len(labels) else []
 
 
 def _crossing(percent: int):
-    """(cell, id, label) of documents with a possible partner of another label in a list."""
+    """(cell, id, label, other) of documents with a possible partner of another label in a list: `other`, if pairs are few."""
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, part in by_key(batches, LONG_LIST):
             if part:  # a long list: all its documents meet in a cell of their own
-                yield pd.DataFrame({"cell": rows["key"], "id": rows["id"], "label": rows["label"]})
+                yield pd.DataFrame({"cell": rows["key"], "id": rows["id"], "label": rows["label"], "other": pd.array(
+                    [None] * len(rows), dtype="Int64")})
                 continue
             keys, labels = rows["key"].to_numpy(), rows["label"].to_numpy()
             starts, sizes = groups(keys)
             mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
             n, at, ids = rows["n"].to_numpy(), rows["at"].to_numpy(), rows["id"].to_numpy()
-            # Lists of two, which most are, all at once.
-            two = starts[mixed & (sizes == 2)]
-            two = two[_possible(n[two], at[two], n[two + 1], at[two + 1], percent)]
-            low = np.minimum(labels[two], labels[two + 1])
-            out = [pd.DataFrame({"cell": low, "id": ids[i], "label": labels[i]}) for i in (two, two + 1) if len(two)]
-            mixed &= sizes > 2
+            out = []
             for s, size in zip(starts[mixed], sizes[mixed]):
                 g = slice(s, s + size)
-                there = _meeting(labels[g], n[g], at[g], percent)
-                if there.any():
-                    out.append(pd.DataFrame({"cell": labels[g].min(), "id": ids[g][there], "label": labels[g][there]}))
+                there, pairs = _meeting(labels[g], n[g], at[g], percent)
+                for left, right in pairs:
+                    out.append(pd.DataFrame({"cell": 0, "id": ids[g][left], "label": labels[g][left],
+                                             "other": pd.array(ids[g][right], dtype="Int64")}))
+                if there.any() and not pairs:
+                    out.append(pd.DataFrame({"cell": labels[g].min(), "id": ids[g][there], "label": labels[g][there],
+                                             "other": pd.array([None] * int(there.sum()), dtype="Int64")}))
             if out:
                 yield pd.concat(out).drop_duplicates()
     return cross
@@ -281,7 +326,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
     spark = docs.sparkSession
     rows = docs.select(col(id).cast("bigint").alias("id"), col(text).alias("text"))
     scanned = store(rows.mapInPandas(
-        _scan(width), "id bigint, n bigint, mark binary, part int, counters binary"), "sets")
+        _scan(width), "id bigint, n bigint, mark binary, sign binary, part int, counters binary"), "sets")
     summed = scanned.where("part IS NOT NULL").select("part", "counters").groupBy("part").applyInPandas(
         _sum_counters, "part int, counters binary").collect()  # COUNTERS numbers, whatever the input
     counters = np.zeros(COUNTERS, dtype=np.uint64)
@@ -309,21 +354,49 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
             pairs = pairs.join(to, name).drop(name).withColumnRenamed("to", name)
         return pairs.where("a <> b").distinct()
 
-    centred = shared.repartition("key").sortWithinPartitions("key", "id").mapInPandas(
-        _centre_pairs(percent), "a bigint, b bigint").distinct()
-    pairs = store(by_first(centred))
-    sets = _sets(known, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width)
-    near = store(_verified(pairs, sets, percent))
+    signs = store(scanned.where("mark IS NOT NULL AND id IS NOT NULL").dropDuplicates(["id", "mark"]).select(
+        "id", "n", "sign"), "signs")
+
+    @F.pandas_udf("boolean")
+    def allow(n1: pd.Series, sign1: pd.Series, n2: pd.Series, sign2: pd.Series) -> pd.Series:
+        return pd.Series([signs_allow(*x, percent) for x in zip(n1, sign1, n2, sign2)], dtype="bool")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """Pairs whose signs allow a link; rows that share an id are all tried."""
+        for name in ("a", "b"):
+            pairs = pairs.join(signs.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"),
+                                            F.col("sign").alias(f"sign_{name}")), name)
+        return pairs.where(allow("n_a", "sign_a", "n_b", "sign_b")).drop("n_a", "sign_a", "n_b", "sign_b").distinct()
+
+    possible = store(shared.repartition("key").sortWithinPartitions("key", "id").mapInPandas(
+        _pairs(percent), "named int, a bigint, b bigint, key bigint, n int, at int"), "pairs")
+    named = possible.where("named < 2").groupBy("a", "b").agg(F.min("named").alias("named"))
+    pairs = store(allowed(by_first(named).groupBy("a", "b").agg(F.min("named").alias("named"))))
+    centred = pairs.where("named = 0").select("a", "b")
+    sets = _sets(known, centred.select(F.col("a").alias("id")).union(centred.select("b")), width)
+    near = store(_verified(centred, sets, percent))
 
     # A label is an id that the document is connected with: the smallest centre, taken twice.
     centre = near.groupBy("b").agg(F.min("a").alias("a"))
     up = centre.select(F.col("b").alias("a"), F.col("a").alias("above"))
     hop = centre.join(up, "a", "left").select("b", F.coalesce("above", "a").alias("label"))
-    labels = firsts.join(hop, F.col("first") == F.col("b"), "left").select(
-        "id", "first", F.coalesce("label", "first").alias("label"))
-    named = shared.join(labels, "id").select("key", F.col("first").alias("id"), "n", "at", "label")
-    cells = store(named.repartition("key").sortWithinPartitions("key", "id").mapInPandas(
-        _crossing(percent), "cell bigint, id bigint, label bigint").distinct())
+    labels = store(firsts.join(hop, F.col("first") == F.col("b"), "left").select(
+        "id", "first", F.coalesce("label", "first").alias("label")))
+    open_lists = possible.where("named = 2").select("key", F.col("a").alias("id"), "n", "at").join(labels, "id").select(
+        "key", F.col("first").alias("id"), "n", "at", "label")
+    crossing = store(open_lists.repartition("key").sortWithinPartitions("key", "id").mapInPandas(
+        _crossing(percent), "cell bigint, id bigint, label bigint, other bigint").distinct())
+    others = allowed(crossing.where("other IS NOT NULL").select(
+        F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    others = pairs.where("named = 1").select("a", "b").unionByName(others).distinct()
+    of_first = labels.select("first", "label").distinct()
+    for name in ("a", "b"):
+        others = others.join(of_first.select(F.col("first").alias(name), F.col("label").alias(f"label_{name}")), name)
+    others = store(others.where("label_a <> label_b"))
+    cell = F.least("label_a", "label_b").alias("cell")
+    cells = store(crossing.where("other IS NULL").select("cell", "id", "label").unionByName(
+        others.select(cell, F.col("a").alias("id"), F.col("label_a").alias("label"))).unionByName(
+        others.select(cell, F.col("b").alias("id"), F.col("label_b").alias("label"))).distinct())
     sizes = cells.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(
         F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("common"))
     sizes = store(sizes)

@@ -120,3 +120,57 @@ def test_components_of_chains(spark):
 def test_shingles_of_short_texts():
     assert len(shingles("a b c d e", 5)) == 1 and len(shingles("a b", 5)) == 1 and len(shingles(" ", 5)) == 0
     assert shingles("A b", 5)[0] == shingles("a  b", 5)[0] != shingles("ab", 5)[0]
+
+
+def test_signs_allow_every_link():
+    rng = np.random.default_rng(8)
+    every = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    refused = 0
+    for _ in range(400):
+        n1, n2 = rng.integers(1, 900, 2).tolist()
+        shared = int(rng.integers(0, min(n1, n2) + 1))
+        x, y = np.sort(every[:n1]), np.sort(every[n1 - shared:n1 - shared + n2])
+        allowed = J.signs_allow(n1, J.sign(x), n2, J.sign(y), 75)
+        assert allowed or not J._links(n1, n2, shared, 75)
+        refused += not allowed
+    assert refused > 200
+    assert J.signs_allow(1, J.sign(every[:1]), 1, J.sign(every[:1]), 100)
+
+
+def test_unlike_sets_are_not_read_again(spark, monkeypatch):
+    """Documents that share half their shingles with two others each, and a few near copies."""
+    rng = random.Random(9)
+    blocks = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(40)) for _ in range(300)]
+    texts = [f"{blocks[i]} {blocks[i - 1]}" for i in range(300)]
+    near = [f"{texts[i]} another end" for i in (5, 50, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id bigint, text string")
+    read, sets = [], J._sets
+    monkeypatch.setattr(J, "_sets", lambda d, ids, *rest: read.append(ids.distinct().count()) or sets(d, ids, *rest))
+    found = {r.doc_id: r.component_id for r in J.grouped(docs).collect()}
+    assert found == {i: i for i in range(300)} | {300: 5, 301: 50, 302: 200}
+    assert sum(read) <= 20
+
+
+def test_long_and_short_lists_give_the_same(spark, monkeypatch):
+    """Groups of near copies whose lists are named pair by pair, by labels, and by cells."""
+    rng = random.Random(10)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(60)]
+        for _ in range(25):
+            new = list(words)
+            for _ in range(rng.randint(0, 3)):
+                new[rng.randrange(60)] = f"x{rng.randint(0, 10**9)}"
+            texts.append(" ".join(new))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    own = [set(shingles(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(own):
+        for j in range(i):
+            if 100 * len(x & own[j]) >= 75 * len(x | own[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    for short, named in ((32, 16), (2, 16), (2, 0)):
+        monkeypatch.setattr(J, "SHORT_LIST", short)
+        monkeypatch.setattr(J, "NAMED", named)
+        assert [r.component_id for r in J.grouped(docs).orderBy("doc_id").collect()] == label
