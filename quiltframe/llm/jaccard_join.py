@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,10 @@ LONG_LIST, COMPARED = 200_000, 1 << 26
 SHORT_LIST = 32   # documents of a list whose possible pairs are named without labels
 NAMED = 16        # possible pairs a document of a longer list, above which all go to a cell
 LEAST_BITS = 64
+SLICE = 500       # documents of a batch whose sets a task holds at once
+SCANNED = pa.schema({"id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "sign": pa.binary(), "part": pa.int32(),
+                     "counters": pa.binary()})
+ENTRIES = pa.schema({"key": pa.int64(), "id": pa.int64(), "n": pa.int32(), "at": pa.int32()})
 BROADCAST_IDS = 1_000_000
 
 
@@ -82,23 +87,34 @@ def signs_allow(n1: int, sign1: bytes, n2: int, sign2: bytes, percent: int) -> b
     return int(np.bitwise_count(x ^ y).sum()) <= most
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+    """Ids and texts, SLICE rows at a time: a batch's sets are several times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield part.column("id"), part.column("text").to_pylist()
+
+
+def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+
 def _scan(width: int):
     """Per document its size, the digest and the sign of its set; per task the counters of its shingles."""
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.uint32)
-        for batch in batches:
-            sets = [shingles(t, width) for t in batch["text"]]
-            if sets:
-                every = np.concatenate(sets) % np.uint64(COUNTERS)
-                counters += np.bincount(every.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            yield pd.DataFrame({
-                "id": batch["id"], "n": [len(s) for s in sets],
-                "mark": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "sign": [sign(s) if len(s) else None for s in sets], "part": None, "counters": None})
+        for ids, texts in _slices(batches):
+            sets = [shingles(t, width) for t in texts]
+            every = np.concatenate(sets) % np.uint64(COUNTERS)
+            counters += np.bincount(every.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            yield _rows(SCANNED, ids, [len(s) for s in sets],
+                        [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                        [sign(s) if len(s) else None for s in sets], [None] * len(sets), [None] * len(sets))
         if counters.any():
-            yield pd.DataFrame({
-                "id": None, "n": 0, "mark": None, "sign": None, "part": range(COUNTER_PARTS),
-                "counters": [c.tobytes() for c in np.split(counters, COUNTER_PARTS)]})
+            none = [None] * COUNTER_PARTS
+            yield _rows(SCANNED, none, [0] * COUNTER_PARTS, none, none, range(COUNTER_PARTS),
+                        [c.tobytes() for c in np.split(counters, COUNTER_PARTS)])
     return scan
 
 
@@ -111,11 +127,11 @@ def _sum_counters(group: pd.DataFrame) -> pd.DataFrame:
 
 def _lists(counters, width: int, percent: int):
     """The short lists' entries: shingle, document, size of its set, place in its order."""
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for every, texts in _slices(batches):
             keys, ids, sizes, places = [], [], [], []
-            for id, text in zip(batch["id"], batch["text"]):
+            for id, text in zip(every.to_pylist(), texts):
                 s = shingles(text, width)
                 mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if not len(s) or mark in seen:
@@ -129,8 +145,7 @@ def _lists(counters, width: int, percent: int):
                 sizes.append(np.full(short, len(s), dtype=np.int32))
                 places.append(np.arange(short, dtype=np.int32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids),
-                                    "n": np.concatenate(sizes), "at": np.concatenate(places)})
+                yield _rows(ENTRIES, *(np.concatenate(x) for x in (keys, ids, sizes, places)))
     return build
 
 
@@ -325,7 +340,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
     set, null for empty sets. links: (a, b) between different sets that connect all that link."""
     spark = docs.sparkSession
     rows = docs.select(col(id).cast("bigint").alias("id"), col(text).alias("text"))
-    scanned = store(rows.mapInPandas(
+    scanned = store(rows.mapInArrow(
         _scan(width), "id bigint, n bigint, mark binary, sign binary, part int, counters binary"), "sets")
     summed = scanned.where("part IS NOT NULL").select("part", "counters").groupBy("part").applyInPandas(
         _sum_counters, "part int, counters binary").collect()  # COUNTERS numbers, whatever the input
@@ -344,7 +359,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
     firsts = members.where("first IS NOT NULL").select("id", "first").distinct()
 
     known = rows.where("id IS NOT NULL")
-    entries = known.mapInPandas(_lists(counters, width, percent), "key bigint, id bigint, n int, at int")
+    entries = known.mapInArrow(_lists(counters, width, percent), "key bigint, id bigint, n int, at int")
     shared = store(entries.repartition("key").sortWithinPartitions("key").mapInPandas(
         _shared, "key bigint, id bigint, n int, at int"), "lists")
 

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,16 @@ def test_long_and_short_lists_give_the_same(spark, monkeypatch):
         monkeypatch.setattr(J, "SHORT_LIST", short)
         monkeypatch.setattr(J, "NAMED", named)
         assert [r.component_id for r in J.grouped(docs).orderBy("doc_id").collect()] == label
+
+
+def test_a_batch_is_scanned_in_slices():
+    """The sets of a batch are never held together."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(2000)), "text": texts})
+    tracemalloc.start()
+    n = sum(x.num_rows for x in J._scan(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 + J.COUNTER_PARTS
+    assert peak < 2000 * 3000 * 8 * 1.5  # one copy of all sets and half another
