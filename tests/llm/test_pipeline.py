@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline."""
 
 import corpus_pipeline
+from quiltframe.llm import jaccard_join
 
 
 def test_texts_with_letters_stay_if_no_language_is_known(spark):
@@ -27,3 +28,30 @@ def test_run_on_odd_rows(spark, tmp_path):
     assert all(r.taken > 0 and r.taken <= 2 * r.mix_size and r.mix_size == len(r.text.split()) for r in got)
     assert len({(r.doc_id, r.text) for r in got}) == len(got) and {r.doc_id for r in got} <= {r[0] for r in rows}
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_python_workers_take_bounded_batches(spark, monkeypatch, tmp_path):
+    original, seen = jaccard_join._scan, str(tmp_path / "sizes")
+
+    def recorded(width):
+        scan = original(width)
+
+        def note(batches):
+            for batch in batches:
+                with open(seen, "a") as out:
+                    out.write(f"{batch.num_rows} {batch.nbytes}\n")
+                yield batch
+
+        return lambda batches: scan(note(batches))
+
+    monkeypatch.setattr(jaccard_join, "_scan", recorded)
+    monkeypatch.setattr(corpus_pipeline, "BATCH", "1m")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 300) AS text")
+        assert corpus_pipeline.without_near_copies(spark, docs, "").count() == 2000
+        sizes = [tuple(map(int, x.split())) for x in open(seen)]
+        assert sum(n for n, _ in sizes) == 2000 and max(b for _, b in sizes) < 2 << 20
+    finally:
+        spark.conf.set(key, before)
