@@ -4,6 +4,7 @@ import math
 import pickle
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -200,3 +201,27 @@ def test_index_is_built_in_parts(monkeypatch):
         got = index.nearest_all([(term[vector == i].astype(np.int64), weight[vector == i])], 20)[0]
         assert [held[n] for _, n in got] == want.tolist()
         assert np.allclose([s for s, _ in got], cosine[want], rtol=0, atol=1e-11)
+
+
+def test_search_reads_no_term_of_an_example_again():
+    """Postings give the part of rare terms once; beside it only the frequent terms of the nearest examples are read."""
+    rng = random.Random(8)
+    often, rare = [f"o{i}" for i in range(6)], [f"r{i}" for i in range(300)]
+    vectors = [toxicity.unit_vector({t: rng.randint(1, 3) for t in rng.sample(often, rng.randint(0, 4)) + rng.sample(rare, 5)},
+                                    dict.fromkeys(often, 0.7) | dict.fromkeys(rare, 4.0)) for _ in range(300)]
+    index = toxicity.BlockMaxIndex(vectors, block=16)
+    assert len(index.matrix) == len(often)
+    index.terms = index.level = None
+    for query in vectors[:20] + [{"o1": 0.6, "o2": 0.8}, {"r7": 1.0}, {"unknown": 1.0}]:
+        cosines = [sum(w * v.get(t, 0.0) for t, w in query.items()) for v in vectors]
+        want = sorted((-round(s, 12), i) for i, s in enumerate(cosines) if s > 0)[:7]
+        got = index.nearest(query, 7)
+        assert [i for _, i in got] == [i for _, i in want]
+        assert all(math.isclose(a, -b, abs_tol=2e-12) for (a, _), (b, _) in zip(got, want))
+
+
+def test_terms_are_runs_of_letters():
+    rng = random.Random(9)
+    signs = "abÄßσΣİıñ中かﬁ²½Ⅷ٣09_.,;:!?'\"()-&%*$|#@+~/\\\t\n\x1c\x85\xa0\u2009\u200b\u0307 "
+    for text in ["", None, *("".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(3000))]:
+        assert toxicity.term_counts(text) == Counter(toxicity.WORD.findall((text or "").lower()))
