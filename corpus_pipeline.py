@@ -4,16 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltframe.llm import decontaminate, jaccard_join, language, mixture, secret_scan
+from quiltframe.llm.batches import bound_batches
 from quiltframe.operators.scratch import store
 
-# Spark's 64 MB of texts in a batch are several times as much in a Python worker and in Arrow's buffers of the executor.
-BATCH = "4m"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """From now on this session hands Python workers about BATCH at once; a longer row is a batch of its own."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, whose language is undetermined."""

@@ -40,6 +40,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from quiltframe.functions.cells import col
+from quiltframe.llm.batches import bound_batches
 from quiltframe.llm.sample import among_lowest
 from quiltframe.operators.scratch import store
 from quiltframe.operators.skew import join_by_key
@@ -301,6 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
           neighbours: int = NEIGHBOURS) -> dict:
     """{"frequencies", "total", "vocabulary", "packed", "examples", "factor", "empty_score", "prior"}; the held-out
     documents' labels are not read. "examples" are (number, id, examples, toxic ones) per vector of the index."""
+    bound_batches(docs.sparkSession)
     marks = labels.select(col(id).cast("string").alias("label_id"), col(label).cast("int").alias("y"))
     marks = store(marks.where(~held_out(F.col("label_id")) & F.col("y").isNotNull()).groupBy("label_id").agg(
         F.max("y").alias("y")))
@@ -501,6 +503,7 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text",
     if not model["examples"]:
         return shaped(docs.select(col(id).alias("id"), F.lit(float(model["empty_score"])).alias("score"),
                                   F.lit("").alias("evidence")))
+    bound_batches(docs.sparkSession)
     rows = _found(docs, model, id, text, neighbours)
     # Terms that are not listed: their weights need the table of frequencies.
     rest = rows.where("rest IS NOT NULL").select("digest", F.explode("rest").alias("r")).select("digest", "r.*")

@@ -1,7 +1,7 @@
 """The stages of the corpus pipeline."""
 
 import corpus_pipeline
-from quiltframe.llm import jaccard_join
+from quiltframe.llm import batches, jaccard_join
 
 
 def test_texts_with_letters_stay_if_no_language_is_known(spark):
@@ -36,16 +36,16 @@ def test_python_workers_take_bounded_batches(spark, monkeypatch, tmp_path):
     def recorded(width):
         scan = original(width)
 
-        def note(batches):
-            for batch in batches:
+        def note(rows):
+            for batch in rows:
                 with open(seen, "a") as out:
                     out.write(f"{batch.num_rows} {batch.nbytes}\n")
                 yield batch
 
-        return lambda batches: scan(note(batches))
+        return lambda rows: scan(note(rows))
 
     monkeypatch.setattr(jaccard_join, "_scan", recorded)
-    monkeypatch.setattr(corpus_pipeline, "BATCH", "1m")
+    monkeypatch.setattr(batches, "BATCH", "1m")
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
     try:
