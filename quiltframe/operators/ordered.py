@@ -44,8 +44,9 @@ def dense_position(df: DataFrame, order_by: list[str], series: list[str] | None
                            - F.col("_first")).drop("_first", "_rows")
     if not series:
         runs = F.broadcast(runs)  # one row per partition
-    return placed.join(runs, [*series, "_part"]).withColumn(
-        name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    # Chosen by name, not dropped: the position itself may be called like a helper column.
+    return placed.join(runs, [*series, "_part"]).select(
+        *[col(c) for c in df.columns if c != name], (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def rolling_mean(df: DataFrame, value: Column, position: str, rows: dict[str, int],

@@ -23,6 +23,14 @@ def test_positions_of_large_tables(spark):
         assert large.count() == events.count()
 
 
+@pytest.mark.parametrize("name", ["_at", "_part", "_shift", "place"])
+def test_positions_under_any_name(spark, name):
+    rows = spark.range(300).select((F.col("id") * 37 % 300).alias("v"))
+    large = dense_position(rows, ["v"], name=name, small=10, partitions=5)
+    assert large.columns == ["v", name]
+    assert all(r["v"] == r[name] for r in large.collect()) and large.count() == 300
+
+
 @pytest.mark.parametrize("block", [5, 40, 10_000])
 def test_blocks_do_not_show(spark, block):
     rows = spark.range(500).withColumn("v", ((F.col("id") * 37) % 101).cast("double"))

@@ -1,4 +1,5 @@
 import re
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,17 @@ def test_large_vocabularies_draw_the_same_values(spark, monkeypatch):
     assert large == small and len(small) == 5000
 
 
+def test_vocabularies_numbered_by_ranges_draw_the_same_values(spark, monkeypatch):
+    freq = spark.createDataFrame([(i * 0.5, 3000 if i == 7 else 1 + i % 3) for i in range(400)], "value double, n long")
+    vocab = L.vocabulary(freq)
+    rows = spark.range(3000).select("id", (F.col("id") * 7919 % vocab.total).alias("at"))
+    small = {tuple(r) for r in L.draw_values(rows, "at", vocab, "v").select("id", "v").collect()}
+    monkeypatch.setattr(L, "VOCABULARY_ROWS", 10)
+    monkeypatch.setattr(L, "dense_position", partial(L.dense_position, small=10, partitions=6))
+    large = {tuple(r) for r in L.draw_values(rows, "at", vocab, "v").select("id", "v").collect()}
+    assert large == small and len(small) == 3000
+
+
 def test_unique_formats(spark):
     patterns = {Fm.AADHAAR: r"[2-9]\d{11}", Fm.PAN: r"[A-Z]{5}\d{4}[A-Z]",
                 Fm.IFSC: r"(SBIN|HDFC|ICIC|AXIS|PUNB|UBIN|CNRB|KKBK)0\d{6}"}
