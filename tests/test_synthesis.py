@@ -135,6 +135,24 @@ def test_vocabularies_numbered_by_ranges_draw_the_same_values(spark, monkeypatch
     assert large == small and len(small) == 3000
 
 
+@pytest.mark.parametrize("make", [lambda df: S.generate_from_sample(df, 400)])
+def test_tables_of_large_vocabularies_are_the_same(spark, monkeypatch, make):
+    rows = [(i, i * 7 % 90, "OF"[i % 2], i * 31 % 1009 / 4) for i in range(400)]
+    sample = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    small = sorted(map(str, make(sample).collect()))
+    monkeypatch.setattr(L, "VOCABULARY_ROWS", 10)
+    monkeypatch.setattr(L, "dense_position", partial(L.dense_position, small=10, partitions=6))
+    assert sorted(map(str, make(sample).collect())) == small and len(small) == 400
+
+
+def test_only_positions_travel_through_the_lookups(spark, monkeypatch):
+    seen, plain = [], S.draw_values
+    monkeypatch.setattr(S, "draw_values", lambda rows, *a: seen.append(rows.columns) or plain(rows, *a))
+    sample = spark.range(50).select((F.col("id") * 7 % 41).alias("a_price"), (F.col("id") / 4).alias("b_price"))
+    S.synthesize(fit(sample), T.row_source(spark, 50), preserve_correlations=False)
+    assert len(seen) == 2 and not any(c.startswith("_draw_") for columns in seen for c in columns)
+
+
 def test_unique_formats(spark):
     patterns = {Fm.AADHAAR: r"[2-9]\d{11}", Fm.PAN: r"[A-Z]{5}\d{4}[A-Z]",
                 Fm.IFSC: r"(SBIN|HDFC|ICIC|AXIS|PUNB|UBIN|CNRB|KKBK)0\d{6}"}
