@@ -135,7 +135,9 @@ def test_vocabularies_numbered_by_ranges_draw_the_same_values(spark, monkeypatch
     assert large == small and len(small) == 3000
 
 
-@pytest.mark.parametrize("make", [lambda df: S.generate_from_sample(df, 400)])
+@pytest.mark.parametrize("make", [
+    lambda df: S.generate_from_sample(df, 400),
+    lambda df: S.synthesize(fit(df.select("o_custkey", "o_totalprice")), T.rows_of(df, "o_orderkey"))])
 def test_tables_of_large_vocabularies_are_the_same(spark, monkeypatch, make):
     rows = [(i, i * 7 % 90, "OF"[i % 2], i * 31 % 1009 / 4) for i in range(400)]
     sample = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
