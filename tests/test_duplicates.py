@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from quiltframe.functions import similarity as S
 from quiltframe.functions.similarity import matching_ratio
 from quiltframe.operators import dedup as D
 from quiltframe.operators import near as N
+from quiltframe.operators import shared_grams as G
 from quiltframe.operators import skew
 
 
@@ -272,3 +274,40 @@ def test_report_counts_in_the_jobs_that_compute_the_steps(spark, tmp_path):
     assert [tuple(r) for r in empty.report().collect()][-1] == ("total", 0, 0, 0)
     none = D.deduplicate(table, remove_exact=False, remove_near=False, consistency_check=False, auto_resolve=False)
     assert [tuple(r) for r in none.report().collect()] == [("total", 400, 400, 0)]
+
+
+def test_numbers_in_planes():
+    for values in ([], [0, 0], [5, 255, 256], [2 ** 48 - 1, 0, 2 ** 33], [2 ** 64 - 1]):
+        values = np.array(values, np.uint64)
+        assert list(G.unplaned(G.planes(values))) == list(values)
+        assert list(G._risen(G._rising(np.sort(values)))) == sorted(values)
+
+
+@pytest.mark.parametrize("unit,block", [("word", 300), ("character", 1000), ("word", 10 ** 6)])
+def test_rarest_shared_grams_by_brute_force(spark, unit, block):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i * 10 - 400, " ".join(rng.choices(words, k=rng.randrange(0, 60)))) for i in range(120)]
+    rows += [(5001, rows[3][1]), (5002, "a b"), (5003, "")]
+    size = (lambda t: len(t)) if unit == "character" else (lambda t: len(t.split(" ")) if t else 0)
+    grams = {at: [int(g) >> 16 for g in S.gram_hashes(t, unit, 3).view(np.uint64)] for at, t in rows}
+    df = Counter(g for own in grams.values() for g in own)
+    want = set()
+    for at, text in rows:
+        if grams[at]:
+            needed = S.keys_needed(np.array([size(text)]), 3, 0.85)[0]
+            kept = [g for n, g in sorted((df[g], g) for g in grams[at])[:needed] if n > 1]
+            want |= {(at, size(text), g, len(kept)) for g in kept}
+    texts = spark.createDataFrame([(at, size(t), t) for at, t in rows], "at long, len int, text string").repartition(5)
+    got = G.rarest_shared_grams(texts, unit, 3, 0.85, block_grams=block)
+    assert got.dtypes == [("at", "bigint"), ("len", "int"), ("key", "bigint"), ("n_keys", "bigint")]
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_few_bytes_of_a_gram_are_sent(spark):
+    """A gram took some 35 bytes in three shuffles."""
+    texts = spark.range(200).select(F.col("id").alias("at"), F.lit(400).alias("len"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(1), F.lit(400)), lambda i: F.hash("id", i).cast("string"))).alias("text"))
+    sent = texts.coalesce(1).mapInPandas(G._packed("word", 3, 8, 10 ** 6), G.PACKET).agg(
+        F.sum(F.length("grams") + F.length("texts") + F.length("head"))).first()[0]
+    assert sent <= 8 * 200 * 398
