@@ -147,6 +147,15 @@ def test_tables_of_large_vocabularies_are_the_same(spark, monkeypatch, make):
     assert sorted(map(str, make(sample).collect())) == small and len(small) == 400
 
 
+def test_texts_of_a_large_vocabulary_are_the_same(spark, monkeypatch):
+    sample = spark.range(120).select(F.concat(F.lit("note "), (F.col("id") * 7 % 97).cast("string"), F.lit(
+        " was sent to the customer by the branch")).alias("notes"))
+    small = sorted(map(str, S.synthesize(fit(sample), T.row_source(spark, 120)).collect()))
+    monkeypatch.setattr(L, "VOCABULARY_ROWS", 10)
+    monkeypatch.setattr(L, "dense_position", partial(L.dense_position, small=10, partitions=4))
+    assert sorted(map(str, S.synthesize(fit(sample), T.row_source(spark, 120)).collect())) == small and len(small) == 120
+
+
 def test_only_positions_travel_through_the_lookups(spark, monkeypatch):
     seen, plain = [], S.draw_values
     monkeypatch.setattr(S, "draw_values", lambda rows, *a: seen.append(rows.columns) or plain(rows, *a))
